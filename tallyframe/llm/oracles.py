@@ -16,4 +16,5 @@ ranked as (
 ORACLES: dict[str, str] = {
     "p2_found": _TOP + "select encoder, target, run_id from ranked where place <= 5",
     "p2_top_runs": _TOP + "select encoder, target, run_id, rmse, place from ranked where place <= 5",
+    "p5_found": "select row_id from transcription where length(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g'))) > 1200",
 }

@@ -38,6 +38,50 @@ def p2_top_runs(spark: SparkSession, sf: str) -> DataFrame:
     return top_n_by_group(table(spark, sf, "experiment_log"), ["encoder", "target"], "rmse", "logged_at", "run_id", 5)
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_sentences(spark, sf).select("row_id", "sent_start", "sent_end")
+
+
+def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.sentences import split_sentences
+
+    return split_sentences(table(spark, sf, "transcription"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_pieces(spark, sf).where(F.col("piece") == 1).select("row_id").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.chunking import split_oversized
+
+    return split_oversized(table(spark, sf, "transcription"), limit=1200, overlap=100)
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.packing import pack
+
+    return pack(table(spark, sf, "documents"), capacity=512)
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.packing import fill_report
+
+    return fill_report(p6_containers(spark, sf), 512)
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.mixing import mix
+
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.mixing import mix
+
+    return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_top_runs)
+    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_top_runs, p3_found, p3_sentences, p5_found, p5_pieces, p6_containers, p6_fill, p7_mixture, p7_shares)
 }

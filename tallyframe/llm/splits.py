@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.union_find import connected_components
 from tallyframe.operators.ranking import class_rank
-from tallyframe.session import materialise, parallelism
+from tallyframe.session import materialise
 
 SESSION = r"(?i)(?<![a-z])(?!aug|fold|seed|run|data|part|ses)([a-z]{2,6})[\s_\-.]*0*([0-9]+)"
 
@@ -163,7 +164,6 @@ def link_sessions(
     the smallest one; after union-find, members that landed in different components are compared across components,
     so a bucket of many near-copies costs its size, not its square, and loses no link.
     """
-    spark = answers.sparkSession
     chars = F.char_length(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
     long = answers.select(F.col(ident).cast("bigint").alias("rid"), session_of(F.col(participant)).alias("session"), F.col(text).alias("text")).where(F.col("session").isNotNull() & (chars >= least_chars))
     all_docs = materialise(long.mapInPandas(word_ids, "rid bigint, session string, same bigint, ids binary"), "answers")
@@ -172,9 +172,10 @@ def link_sessions(
     docs = materialise(docs, "texts")
     copies = all_docs.join(docs.select("same", F.col("ids").alias("i"), F.col("session").alias("session_b")), "same").where(F.col("ids") == F.col("i")).where(F.col("session") != F.col("session_b")).select(F.col("session").alias("session_a"), "session_b").distinct()
 
-    banded = docs.mapInPandas(band_keys(shingle, bands, rows, seed), "key bigint, rid bigint").repartition(parallelism(spark), "key")
-    met = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where(F.col("n") > 1)
+    banded = docs.mapInPandas(band_keys(shingle, bands, rows, seed), "key bigint, rid bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    met = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("lo"), F.max("rid").alias("hi")).where(F.col("n") > 1), "met")
     crowded = materialise(banded.join(met.where(F.col("n") > 2).select("key", "lo"), "key"), "buckets")
+    banded.unpersist()
     first = met.where(F.col("n") == 2).select(F.col("lo").alias("a"), F.col("hi").alias("b")).where("a <> b").union(crowded.where(F.col("rid") != F.col("lo")).select(F.col("lo").alias("a"), F.col("rid").alias("b"))).distinct()
     sure = materialise(_confirm(first, docs, share), "links")
 

@@ -146,7 +146,7 @@ def top_n_by_group(
     footers = listed.mapInPandas(read_footers(names), FOOTER)
     wanted = plan_reading(footers, n).groupBy("path").agg(F.collect_list(F.struct("rg", "s_min")).alias("parts"))
     fields = ", ".join(f"{k} string" for k in names) + ", s double, t bigint, i bigint"
-    near = wanted.repartition(files, "path").mapInPandas(best_first(n, names), fields)
+    near = wanted.repartition(files).mapInPandas(best_first(n, names), fields)
     place = F.row_number().over(Window.partitionBy(*names).orderBy("s", "t", "i"))
     final = near.withColumn("place", place).where(F.col("place") <= n)
     return final.select(*[F.col(k).alias(g) for k, g in zip(names, groups)], F.col("i").alias(ident), F.col("s").alias(score), "place")
