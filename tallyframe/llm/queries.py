@@ -82,6 +82,19 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.langid import doubtful
+
+    return doubtful(p8_segments(spark, sf))
+
+
+def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.langid import fit_on, identify
+
+    docs = table(spark, sf, "documents")
+    return identify(docs, fit_on(docs)).distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_top_runs, p3_found, p3_sentences, p5_found, p5_pieces, p6_containers, p6_fill, p7_mixture, p7_shares)
+    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_top_runs, p3_found, p3_sentences, p5_found, p5_pieces, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_segments)
 }

@@ -185,6 +185,8 @@ def candidates(line: str) -> list[tuple[int, int, frozenset[str]]]:
             kind_of, f"{kind_of}|{kind}", f"{kind_of}|{kind}|{bool(closers)}|{regime}", f"{kind_of}|{cls}|{kind}", f"{kind_of}|{cls}|{kind}|{regime}", f"{kind_of}|gap{gap}|{kind}",
             f"{kind_of}|nocase{prev_nocase}|{kind}|{bool(closers)}",
         ]
+        if closers and prev_nocase:
+            feats += [f"{kind_of}|close>{line[nxt : nxt + 1]}", f"{kind_of}|close|{closers[0]}|{gap}"]
         if cls in ("goes_on", "may_end", "initial"):
             feats += [f"abbr:{last}", f"abbr:{last}|{kind}|{regime}", f"abbr:{last}>{follows}"]
         if cls == "number":
@@ -206,9 +208,9 @@ SEED = {
     "de": """Am 12. Mai um 8.30 Uhr war ich da.|Es dauert 2,5 Wochen, d. h. bis zum 3. Oktober, und dann Schluss.|Ich mag z. B. Tee.|„Geht es dir gut?“, fragte Tom.|Was nun?|Halt!|Ich bin... müde.|Wir kauften Brot usw. und gingen.|Er wohnt in Haus 7.""",
     "ca": """El Dr. [NOMBRE] diu que calen 2,5 setmanes.|«Com estàs?», va preguntar la mare.|Què fas?|Quin dia!|No ho sé... potser demà.|Visc al núm. 4.""",
     "ru": """Я сплю 4,5 часа, т. е. мало.|«Как ты?» — спросила мама.|Я не знаю... может быть, завтра.|Что делать?|Стой!|Он сказал: «Подожди.»|Мы взяли хлеб и т. д.|Дома тихо.""",
-    "zh": """我每天只睡4.5个小时，很累。|“你好吗？”妈妈问我，我点头。|你说呢？|太好了！|我……我也不知道。|今天没有课。""",
-    "ja": """毎日4.5時間しか寝ていません。|「大丈夫？」と母に聞かれました。|どうでしょうか？|すごい！|その…うまく言えません。|今日は休みです。""",
-    "ar": """قال د. [NOMBRE] إن الأمر بسيط.|هل تظن ذلك؟|أنام 4.5 ساعات فقط.|لا أعرف... ربما غدا.|يا له من يوم!|أمشي كل صباح.""",
+    "zh": """我每天只睡4.5个小时，很累。|“你好吗？”妈妈问我，我点头。|你说呢？|太好了！|他说：“别担心。”|我说：“没关系。”|我……我也不知道。|今天没有课。""",
+    "ja": """毎日4.5時間しか寝ていません。|「大丈夫？」と母に聞かれました。|どうでしょうか？|すごい！|母は「大丈夫。」と言いました。|その…うまく言えません。|今日は休みです。""",
+    "ar": """قال د. [NOMBRE] إن الأمر بسيط.|هل تظن ذلك؟|أنام 4.5 ساعات فقط.|لا أعرف... ربما غدا.|يا له من يوم!|قالت لي: "لا تقلق."|أمشي كل صباح.""",
     "hi": """डॉ. [NOMBRE] ने कहा कि समय लगेगा।|क्या यह सच है?|मैं 4.5 घंटे सोता हूँ।|पता नहीं... शायद कल।|मैं घर पर हूँ।|वाह!""",
     "th": """ฉันนอนแค่ 4.5 ชั่วโมงต่อคืน|แม่บอกว่าไม่เป็นไร|ฉันตื่น 3 ครั้งแล้วก็หลับ|วันนี้อากาศดี|คุณคิดอย่างไร|ฉันชอบอ่านหนังสือ""",
 }
