@@ -48,6 +48,22 @@ def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return split_sentences(table(spark, sf, "transcription"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_mentions(spark, sf).select("row_id", "kind", "char_start").distinct()
+
+
+def p4_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.pii import find_mentions
+
+    return find_mentions(table(spark, sf, "transcription"), table(spark, sf, "given_names"))
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.pii import redact
+
+    return redact(table(spark, sf, "transcription"), table(spark, sf, "given_names"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_pieces(spark, sf).where(F.col("piece") == 1).select("row_id").distinct()
 
@@ -96,5 +112,5 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_top_runs, p3_found, p3_sentences, p5_found, p5_pieces, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_segments)
+    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_top_runs, p3_found, p3_sentences, p4_found, p4_mentions, p4_redacted, p5_found, p5_pieces, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_segments)
 }
