@@ -192,7 +192,7 @@ class Finder:
             ok = False
             if inside and any(a < m.start() < b for a, b in inside):
                 ok = False
-            elif len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w):
+            elif len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w) and (fold(w) in given or fold(w) not in seed.COMMON):
                 if regime == "mixed":
                     if w[0].isupper() and (not w.isupper() or len(w) > 3):
                         first = k == 0 or bool(_END.search(text, tokens[k - 1].end(), m.start()))
@@ -213,6 +213,9 @@ class Finder:
             end = k + 1
             while end < len(tokens) and end - k < 5 and like[end] and text[tokens[end - 1].end() : tokens[end].start()] == " ":
                 end += 1
+            if end == k + 1 and regime == "mixed" and fold(tokens[k].group()) not in given and self._german_noun(text, tokens, k):
+                k = end
+                continue
             for i in range(k, end):
                 for j in range(i + 1, min(end, i + 4) + 1):
                     if j == end or j - i == 1 or j - i >= 2:
@@ -220,6 +223,13 @@ class Finder:
             k = end
         return out
 
+    @staticmethod
+    def _german_noun(text: str, tokens: list[re.Match], k: int) -> bool:
+        """A lone capital among German words says nothing, unless a word before it announces a name."""
+        near = [t.group().lower() for t in tokens[max(0, k - 6) : k + 7]]
+        before = fold(tokens[k - 1].group()) if k else ""
+        return sum(w in GERMAN for w in near) >= 2 and before not in seed.TITLES and before not in ("heiße", "heisse", "heißt", "namens")
+
     # Features --------------------------------------------------------------------------------------------------
 
     def features(self, text: str, regime: str, kind: str, a: int, b: int) -> list[float]:
@@ -313,7 +323,7 @@ def _odds(rows: list[tuple[str, int]]) -> dict[str, float]:
     return {k: float(np.log((c[1] + 0.5) / total[1]) - np.log((c[0] + 0.5) / total[0])) for k, c in count.items() if sum(c) >= 3}
 
 
-def train(given: list[str], documents: int = 6000, random_seed: int = 23) -> tuple[dict[str, Boosted], dict[str, dict[str, float]]]:
+def train(given: list[str], documents: int = 9000, random_seed: int = 23) -> tuple[dict[str, Boosted], dict[str, dict[str, float]]]:
     """Models and context odds from composed documents."""
     rng = random.Random(random_seed)
     composed = [seed.compose(rng, given) for _ in range(documents)]
