@@ -57,7 +57,7 @@ _COMPOUND = re.compile(rf"(?<!\w){_L}+(?:straße|strasse|str\.|gasse|weg|platz|a
 _COUNTED = re.compile(rf"\d|\b(?:{_NUMBER_WORD})\b", re.IGNORECASE)
 _TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+(?:['’-](?:[^\W\d_][\u0300-\u036f]*)+)*")
 _ELIDED = re.compile(r"(?:[jlmntsc]|qu)['’]", re.IGNORECASE)
-_END = re.compile(r"[.!?…\n¿¡。！？]")
+_END = re.compile(r"[.!?…\n¿¡。！？:«\"“(]")
 
 
 def fold(word: str) -> str:
@@ -116,7 +116,7 @@ def count_case(text: str, capital: dict[int, int], small: dict[int, int], initia
             counts = small
         elif w[0].isupper() and (len(w) == 1 or not w.isupper()):
             gap = plain[before : m.start()]
-            if before and not _END.search(gap) and '"' not in gap and "«" not in gap:
+            if before and not _END.search(gap):
                 counts = capital
             else:
                 counts = initial
@@ -192,7 +192,7 @@ class Finder:
             ok = False
             if inside and any(a < m.start() < b for a, b in inside):
                 ok = False
-            elif len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w) and (fold(w) in given or fold(w) not in seed.COMMON):
+            elif len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w) and (fold(w) in given or fold(w) not in seed.COMMON and fold(w) not in seed.TITLES):
                 if regime == "mixed":
                     if w[0].isupper() and (not w.isupper() or len(w) > 3):
                         first = k == 0 or bool(_END.search(text, tokens[k - 1].end(), m.start()))
@@ -368,7 +368,7 @@ def train(given: list[str], documents: int = 9000, random_seed: int = 23) -> tup
                             feats[k] = 0.0
             x[kind].append(feats)
             y[kind].append(int((a, b) in exact if kind == "name" else (kind, a) in truth))
-    models = {k: Boosted(rounds=70).fit(np.array(x[k]), np.array(y[k])) for k in KINDS}
+    models = {k: Boosted(rounds=70, least=15).fit(np.array(x[k]), np.array(y[k])) for k in KINDS}
     return models, finder.odds
 
 
