@@ -36,7 +36,7 @@ THREE = {"spa": "es", "eng": "en", "por": "pt", "cat": "ca", "fra": "fr", "fre":
 NO_LANGUAGE = ["", "und", "unknown", "unk", "none", "null", "nan", "na", "n/a", "mul", "mis", "zxx", "xx", "?"]
 
 WINDOW, WIDTHS = 64, (2, 3, 4, 5)
-_DROP = re.compile(r"\[[^\[\]\n]{1,40}\]|<[^<>\n]{1,60}>|https?://\S+|\S+@\S+|#\w+|[\d_]+")
+_DROP = re.compile(r"\[[^\[\]\n]{1,40}\]|<[^<>\n]{1,60}>|https?://\S+|(?<!\S)\S{1,64}@\S+|#\w+|[\d_]+")
 _QUOTED = re.compile(r"\"[^\"\n]{1,60}\"|«[^»\n]{1,60}»|“[^”\n]{1,60}”|„[^“\n]{1,60}“|「[^」\n]{1,40}」")
 _SPACE = re.compile(r"\s+")
 

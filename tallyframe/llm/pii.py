@@ -38,8 +38,9 @@ HALF = CELLS // 2
 _L = r"[^\W\d_]"
 _PLACE = re.compile(r"\[[^\[\]\n@]{1,40}\]")
 _AT, _DOT = r"(?:arroba|\[at\]|\(at\)|\bat\b|chiocciola|arobase|klammeraffe)", r"(?:punto|ponto|point|punkt|\[dot\]|\(dot\)|\bdot\b)"
+# A local part starts at the start of its token and has at most 64 characters, so a long token costs one look.
 _EMAIL = re.compile(
-    rf"[\w.+-]*[^\W_][\w.+-]*? ?@ ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}|[\w.+-]+(?: {_DOT} [\w+-]+){{0,3}} {_AT} [\w-]+(?: ?{_DOT} ?[\w-]+|\.[\w-]+){{1,3}}", re.IGNORECASE | re.ASCII
+    rf"(?<![\w.+-])(?:[\w.+-]{{1,64}} ?@ ?[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}}\.[A-Za-z]{{2,24}}|[\w.+-]{{1,64}}(?: {_DOT} [\w+-]{{1,64}}){{0,3}} {_AT} [\w-]{{1,63}}(?: ?{_DOT} ?[\w-]{{1,63}}|\.[\w-]{{1,63}}){{1,3}})", re.IGNORECASE | re.ASCII
 )
 _DIGITS = re.compile(r"(?<![A-Za-zÀ-ɏ0-9_$€£.,/:#-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\) ?)?(?:[A-Za-z]{1,3}-?)?\d+(?:[ .-]{1}\d+){0,6}(?: ?- ?[A-Za-z](?![\w])|[A-Za-z](?!\w))?")
 _NUMBER_WORD = "|".join(sorted(seed.DIGIT_WORDS, key=len, reverse=True))
@@ -185,12 +186,12 @@ class Finder:
 
     def names(self, text: str, regime: str) -> list[tuple[str, int, int]]:
         tokens, given, out = list(_TOKEN.finditer(text)), self.lexicon.given, []
-        inside = [m.span() for m in _PLACE.finditer(text)] if "[" in text else []
+        inside = {t for m in _PLACE.finditer(text) for t in range(m.start(), m.end())} if "[" in text else ()
         like = []
         for k, m in enumerate(tokens):
             w = m.group()
             ok = False
-            if inside and any(a < m.start() < b for a, b in inside):
+            if m.start() in inside:
                 ok = False
             elif len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w) and (fold(w) in given or fold(w) not in seed.COMMON and fold(w) not in seed.TITLES):
                 if regime == "mixed":
@@ -295,8 +296,10 @@ class Finder:
         """Of overlapping spans the surest; e-mail addresses and street addresses come before numbers, numbers before names."""
         rank = {"email": 3, "address": 2, "phone": 1, "id_number": 1, "name": 0}
         taken: list[tuple[int, int, str, float]] = []
+        covered = bytearray(max((s[3] for s in scored), default=0))
         for p, kind, a, b in sorted(scored, key=lambda s: (-rank[s[1]], -round(s[0], 3), -(s[3] - s[2]), s[2])):
-            if all(b <= x or a >= y for x, y, _, _ in taken):
+            if not any(covered[a:b]):
+                covered[a:b] = b"\1" * (b - a)
                 taken.append((a, b, kind, p))
         return sorted(taken)
 
