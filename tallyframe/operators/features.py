@@ -124,7 +124,8 @@ def clinical() -> dict[str, Column]:
     groups = F.transform(_alpha(), lambda t: F.struct(subscale_of(t["form"], t["lemma"], t["pos"]).alias("g"), tx.fold(t["lemma"]).alias("l")))
     hits = F.filter(groups, lambda g: g["g"].isNotNull())
     terms = len({t for group in lex.SUBSCALES.values() for t in group})
-    out = {f"clin_{n}": _rate(F.size(F.filter(hits, lambda g, n=n: g["g"] == n))) for n in lex.SUBSCALES}
+    in_group = lambda n: F.size(F.filter(hits, lambda g: g["g"] == n))
+    out = {f"clin_{n}": _rate(in_group(n)) for n in lex.SUBSCALES}
     return out | {"clin_total_rate": _rate(F.size(hits)), "clin_coverage": tx.ratio(F.size(F.array_distinct(F.transform(hits, lambda g: g["l"]))), F.lit(terms))}
 
 
