@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bits_for(rows: int, each: int = 50_000) -> int:
+    """Leading hash bits that leave about ``each`` rows a bucket, between 6 and 24."""
+    return min(24, max(6, (rows // each).bit_length()))
+
+
 def class_rank(df: DataFrame, classes: list[str], keys: list[str], out: str = "rank", bits: int = 8) -> DataFrame:
     """Add ``out``, the 0-based rank of each row in its class, in the order of a hash of ``keys`` (then ``keys``).
 
     Each class is cut into ``2**bits`` buckets by the leading bits of the hash, so that a class with a third of all
     rows is still ranked by that many tasks; bucket counts are summed before they move, and offsets come from a window
-    over at most ``2**bits`` rows a class. The rank depends on the keys alone, not on ``bits`` or on partitioning.
+    over at most ``2**bits`` rows a class; ``bits_for`` gives the bits for a number of rows. The rank depends on the keys alone, not on ``bits`` or on partitioning.
     Rows with equal keys get consecutive ranks. NULL is a class of its own.
     """
     hashed = df.withColumn("__h", F.xxhash64(*[F.col(k) for k in keys]))
