@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.tokens import TOKENIZER, token_sizes
+from tallyframe.operators.ranking import bits_for
 from tallyframe.session import materialise
 
 MOST_SOURCES = 10_000
@@ -68,7 +69,6 @@ def mix(
     source: str = "source",
     block_tokens: int = 2048,
     seed: str = "mix",
-    bits: int = 8,
     tokenizer: str = TOKENIZER,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (``slot``, ``place``, ``source``, ``ident``, ``copy``, ``n_tokens``) and the report of shares.
@@ -81,6 +81,7 @@ def mix(
         raise ValueError(f"more than {MOST_SOURCES} sources in the targets")
     wanted = sorted(wanted, key=lambda r: r["source"])
     sizes = materialise(token_sizes(docs, [ident, source], text, tokenizer), "sizes")
+    bits = bits_for(sizes.count())
     names = [r["source"] for r in wanted]
     weight = sum(r["w"] for r in wanted)
     share = {r["source"]: r["w"] / weight for r in wanted}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.tokens import TOKENIZER, token_sizes
-from tallyframe.operators.ranking import class_rank
+from tallyframe.operators.ranking import bits_for, class_rank
 from tallyframe.session import materialise
 
 
@@ -194,15 +194,15 @@ def pack(
     """
     spark = df.sparkSession
     sizes = materialise(token_sizes(df, [ident], text, tokenizer), "sizes")
-    cap = F.lit(capacity)
+    cap, bits = F.lit(capacity), bits_for(sizes.count())
     none = sizes.where("n_tokens = 0").select(F.lit(None).cast("string").alias("container"), F.lit(0).alias("position"), "k0", F.lit(0).cast("bigint").alias("token_start"), F.lit(0).cast("bigint").alias("token_end"))
-    over = class_rank(sizes.where(F.col("n_tokens") > capacity).withColumn("pieces", F.expr(f"n_tokens div {capacity}")), ["pieces"], ["k0"])
+    over = class_rank(sizes.where(F.col("n_tokens") > capacity).withColumn("pieces", F.expr(f"n_tokens div {capacity}")), ["pieces"], ["k0"], bits=bits)
     full = over.select("k0", "pieces", "rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("p")).select(
         F.concat_ws(":", F.lit("full"), "pieces", "rank", "p").alias("container"), F.lit(1).alias("position"), "k0", (F.col("p") * cap).alias("token_start"), ((F.col("p") + 1) * cap).alias("token_end")
     )
     items = sizes.where("n_tokens > 0").withColumn("token_start", F.when(F.col("n_tokens") > capacity, F.expr(f"n_tokens div {capacity}") * cap).otherwise(F.lit(0)).cast("bigint"))
     items = items.withColumn("len", (F.col("n_tokens") - F.col("token_start")).cast("int")).where("len > 0")
-    ranked = materialise(class_rank(items, ["len"], ["k0", "token_start"]), "ranked")
+    ranked = materialise(class_rank(items, ["len"], ["k0", "token_start"], bits=bits), "ranked")
     histogram = _collect_histogram(ranked, "len")
     edge = int(capacity * small_share)
     large = {s: n for s, n in histogram.items() if s > edge}
@@ -216,7 +216,7 @@ def pack(
     placed = materialise(placed, "large")
 
     room = placed.groupBy("c").agg((cap - F.sum("len")).cast("int").alias("room")).where("room > 0")
-    ranked_room = materialise(class_rank(room, ["room"], ["c"], out="crank"), "room")
+    ranked_room = materialise(class_rank(room, ["room"], ["c"], out="crank", bits=bits), "room")
     fit = best_fit(_collect_histogram(ranked_room, "room"), small, capacity)
     fit_rows = spark.createDataFrame(fit, "plen int, lo bigint, hi bigint, cls int, first bigint, per int")
     little = ranked.where(F.col("len") <= edge).join(F.broadcast(fit_rows), on).select("k0", "token_start", "len", "cls", (F.col("first") + F.expr("(rank - lo) div per")).alias("want"))

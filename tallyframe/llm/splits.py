@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.union_find import connected_components
-from tallyframe.operators.ranking import class_rank
+from tallyframe.operators.ranking import bits_for, class_rank
 from tallyframe.session import materialise
 
 SESSION = r"(?i)(?<![a-z])(?!aug|fold|seed|run|data|part|ses)([a-z]{2,6})[\s_\-.]*0*([0-9]+)"
@@ -256,7 +256,7 @@ def assign_splits(predictions: DataFrame, answers: DataFrame, shares: dict[str,
     labels = list(shares)
     plan = greedy_shares(histogram, [shares[k] for k in labels])
     placed = spark.createDataFrame([(s, labels[k], a, b) for s, k, a, b in plan], "psize bigint, split string, lo bigint, hi bigint")
-    ranked = class_rank(groups, ["size"], ["person"])
+    ranked = class_rank(groups, ["size"], ["person"], bits=bits_for(sum(n for _, n in histogram)))
     chosen = ranked.join(F.broadcast(placed), (F.col("size") == F.col("psize")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return tagged.join(chosen.select("person", "split"), "person").select("source", "participant", "person", "rows", "split")
 
