@@ -114,3 +114,11 @@ def test_ridge_cross_validation(spark):
     df = spark.range(40).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("f"), (F.col("id") * 2.0).alias("y"), (F.col("id") % 4).alias("k"))
     got = models.cross_validate(df, "ridge", "f", "y", "k", [{"regParam": 0.0}, {"regParam": 100.0}]).collect()
     assert got[0]["cv_rmse"] < 1e-6 < got[1]["cv_rmse"]
+
+
+def test_written_steps_read_back_and_clear(spark):
+    from tallyframe.session import clear_scratch, materialise
+
+    df = materialise(spark.range(3))
+    assert df.count() == 3 and all("Parquet" in p or "parquet" in p for p in [df._jdf.queryExecution().toString()])
+    clear_scratch(spark)
