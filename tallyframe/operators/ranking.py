@@ -11,16 +11,18 @@ def bits_for(rows: int, each: int = 50_000) -> int:
     return min(24, max(6, (rows // each).bit_length()))
 
 
-def class_rank(df: DataFrame, classes: list[str], keys: list[str], out: str = "rank", bits: int = 8) -> DataFrame:
+def class_rank(df: DataFrame, classes: list[str], keys: list[str], out: str = "rank", bits: int = 8, draw: Column | None = None) -> DataFrame:
     """Add ``out``, the 0-based rank of each row in its class, in the order of a hash of ``keys`` (then ``keys``).
 
+    ``draw``, a number in [0, 2**32), takes the place of the hash where the order must be one that SQL can state.
+
     Each class is cut into ``2**bits`` buckets by the leading bits of the hash, so that a class with a third of all
     rows is still ranked by that many tasks; bucket counts are summed before they move, and offsets come from a window
     over at most ``2**bits`` rows a class; ``bits_for`` gives the bits for a number of rows. The rank depends on the keys alone, not on ``bits`` or on partitioning.
     Rows with equal keys get consecutive ranks. NULL is a class of its own.
     """
-    hashed = df.withColumn("__h", F.xxhash64(*[F.col(k) for k in keys]))
-    hashed = hashed.withColumn("__b", F.shiftright(F.col("__h"), 64 - bits).cast("int"))
+    hashed = df.withColumn("__h", F.xxhash64(*[F.col(k) for k in keys]) if draw is None else draw)
+    hashed = hashed.withColumn("__b", F.shiftright(F.col("__h"), (64 if draw is None else 32) - bits).cast("int"))
     named = [F.col(c).alias(f"__c{i}") for i, c in enumerate(classes)]
     sizes = hashed.groupBy(*named, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*[f"__c{i}" for i in range(len(classes))]).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.scores import band
 from tallyframe.functions.text import draw
+from tallyframe.operators.ranking import class_rank
 
 
 class LeakageError(ValueError):
@@ -20,27 +21,41 @@ def stratify_key(df: DataFrame, phq: str, gad: str, least: int = 2) -> DataFrame
     return keyed.join(F.broadcast(sizes), F.col("__k").eqNullSafe(F.col("__j"))).withColumn("stratum", F.when(F.col("__n") < least, 0).otherwise(F.col("__k"))).drop("__k", "__j", "__n")
 
 
-def rank_split(df: DataFrame, ident: str, stratum: str, test: float = 0.3, seed: str = "42") -> DataFrame:
-    """Adds ``split``: in each stratum the first round(n·test) units by md5 are the test set."""
-    order = Window.partitionBy(stratum).orderBy(draw(F.col(ident), F.lit(seed)), ident)
-    size = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return df.withColumn("split", F.when(F.row_number().over(order) <= F.bround(size * F.lit(test)), "test").otherwise("train"))
+def _sized(df: DataFrame, classes: list[str], size: str = "__n") -> DataFrame:
+    """Adds the number of rows of each class; the counts are broadcast only where Spark finds them small."""
+    counts = df.groupBy(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(classes)]).agg(F.count(F.lit(1)).alias(size))
+    on = F.lit(True)
+    for i, c in enumerate(classes):
+        on = on & F.col(c).eqNullSafe(F.col(f"__c{i}"))
+    return df.join(counts, on).drop(*[f"__c{i}" for i in range(len(classes))])
 
 
-def group_folds(df: DataFrame, group: str, stratum: str | None, k: int = 5, seed: str = "42") -> DataFrame:
+def rank_split(df: DataFrame, ident: str, stratum: str, test: float = 0.3, seed: str = "42", bits: int = 6) -> DataFrame:
+    """Adds ``split``: in each stratum the first round(n·test) units by md5 are the test set. No stratum is sorted in one task."""
+    ranked = class_rank(df, [stratum], [ident], "__r", bits, draw(F.col(ident), F.lit(seed)))
+    return _sized(ranked, [stratum]).withColumn("split", F.when(F.col("__r") < F.bround(F.col("__n") * F.lit(test)), "test").otherwise("train")).drop("__r", "__n")
+
+
+def group_folds(df: DataFrame, group: str, stratum: str | None, k: int = 5, seed: str = "42", bits: int = 6) -> DataFrame:
     """Adds ``fold``: groups are dealt to folds by md5 rank inside their stratum, then carried to the rows."""
-    groups = df.groupBy(group).agg(F.min(stratum).alias("__s") if stratum else F.lit(0).alias("__s"))
-    order = Window.partitionBy("__s").orderBy(draw(F.col(group), F.lit(seed)), group)
-    dealt = groups.select(F.col(group).alias("__g"), ((F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
+    groups = df.groupBy(F.col(group).alias("__g")).agg((F.min(stratum) if stratum else F.lit(0)).alias("__s"))
+    ranked = class_rank(groups, ["__s"], ["__g"], "__r", bits, draw(F.col("__g"), F.lit(seed)))
+    dealt = ranked.select("__g", (F.col("__r") % k).cast("int").alias("fold"))
     return df.join(dealt, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
-def hold_out_groups(df: DataFrame, source: str, group: str, fraction: float = 0.1, seed: str = "42") -> DataFrame:
+def group_split(df: DataFrame, group: str, test: float = 0.2, seed: str = "42", bits: int = 6) -> DataFrame:
+    """Adds ``split``: round(n·test) whole groups by md5 rank are the test set."""
+    groups = df.select(F.col(group).alias("__g")).distinct().withColumn("__s", F.lit(0))
+    marked = rank_split(groups, "__g", "__s", test, seed, bits).select("__g", "split")
+    return df.join(marked, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+
+
+def hold_out_groups(df: DataFrame, source: str, group: str, fraction: float = 0.1, seed: str = "42", bits: int = 6) -> DataFrame:
     """Adds ``validation``: in each source max(1, round half even(n·fraction)) whole groups are held out."""
-    groups = df.select(source, group).distinct()
-    order = Window.partitionBy(source).orderBy(draw(F.col(source), F.col(group), F.lit(seed)), group)
-    size = F.count(F.lit(1)).over(Window.partitionBy(source))
-    held = groups.select(F.col(source).alias("__s"), F.col(group).alias("__g"), (F.row_number().over(order) <= F.greatest(F.lit(1), F.bround(size * F.lit(fraction)))).alias("validation"))
+    groups = df.select(F.col(source).alias("__s"), F.col(group).alias("__g")).distinct()
+    ranked = _sized(class_rank(groups, ["__s"], ["__g"], "__r", bits, draw(F.col("__s"), F.col("__g"), F.lit(seed))), ["__s"])
+    held = ranked.select("__s", "__g", (F.col("__r") < F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(fraction)))).alias("validation"))
     return df.join(held, F.col(source).eqNullSafe(F.col("__s")) & F.col(group).eqNullSafe(F.col("__g"))).drop("__s", "__g")
 
 

@@ -129,11 +129,11 @@ O["a20_cv_score"] = f"with {log('encoder', 'target', 'search', 'split', 'fold',
 O["a22_metric_means"] = f"with {log('family', 'target', 'screening_f1', 'screening_auc', 'band_qwk')} select family, target, round(avg(screening_f1), 6) as screening_f1, round(avg(screening_auc), 6) as screening_auc, round(avg(band_qwk), 6) as band_qwk from log group by all"
 O["v2_strict_pivot"] = f"with {log('encoder', 'seed', 'target', 'rmse')}, b as (select *, row_number() over (partition by encoder, seed, target order by rmse, run_id) as k from log where rmse is not null) select encoder, seed, round(max(rmse) filter (target = 'phq9_total'), 6) as phq9_total, round(max(rmse) filter (target = 'gad7_total'), 6) as gad7_total from b where k = 1 and encoder is not null and seed is not null group by all"
 O["v3_pivot_mean"] = f"with {log('encoder', 'family', 'split', 'rmse')}, w as (select encoder, family, avg(rmse) filter (split = 'cv') as cv, avg(rmse) filter (split = 'test') as test from log where split in ('cv', 'test') group by all) select encoder, family, round(cv, 6) as cv, round(test, 6) as test, round(cv - test, 6) as cv_minus_holdout from w"
-O["p2_filter_isin"] = "select family, search, count(*) as n from experiment_log where family in ('frozen', 'lexical') and encoder_model like 'checkpoint/%' and encoder_model not like '%base' group by all"
-O["p7_label_map"] = "select case family when 'frozen' then 'Frozen' when 'fine-tuning' then 'Fine-tuned' when 'fine-tuning-cv' then 'Fine-tuned (CV)' when 'lexical' then 'Named features' else family end as label, count(*) as n from experiment_log group by all"
-O["p8_readable_arm"] = f"select case when e like 'e0%' then 'baseline' when e like 'l%' then 'named' when contains(e, '-ft') then 'fine-tuned' else 'frozen' end as kind, split_part(e, '_v', 1) as arm, count(*) as n from (select {label('encoder')} as e from experiment_log) where e is not null group by all"
-O["p10_numbers"] = f"select distinct run_id, try_cast(json_extract_string(config_json, '$.n_iter') as double) as n_iter, round({finite('rmse')}, 3) as rmse from experiment_log where run_id is not null"
-O["p12_labels"] = f"with {log('encoder', 'search', 'granularity')} select upper(regexp_replace(concat_ws('-', encoder, granularity), '[^A-Za-z0-9]+', '_', 'g')) as tag, case when search = 'defaults' then 'D' else 'S' end as kind, count(*) as n from log where encoder is not null group by all"
+O["proj2_filter_isin"] = "select family, search, count(*) as n from experiment_log where family in ('frozen', 'lexical') and encoder_model like 'checkpoint/%' and encoder_model not like '%base' group by all"
+O["proj7_label_map"] = "select case family when 'frozen' then 'Frozen' when 'fine-tuning' then 'Fine-tuned' when 'fine-tuning-cv' then 'Fine-tuned (CV)' when 'lexical' then 'Named features' else family end as label, count(*) as n from experiment_log group by all"
+O["proj8_readable_arm"] = f"select case when e like 'e0%' then 'baseline' when e like 'l%' then 'named' when contains(e, '-ft') then 'fine-tuned' else 'frozen' end as kind, split_part(e, '_v', 1) as arm, count(*) as n from (select {label('encoder')} as e from experiment_log) where e is not null group by all"
+O["proj10_numbers"] = f"select distinct run_id, try_cast(json_extract_string(config_json, '$.n_iter') as double) as n_iter, round({finite('rmse')}, 3) as rmse from experiment_log where run_id is not null"
+O["proj12_labels"] = f"with {log('encoder', 'search', 'granularity')} select upper(regexp_replace(concat_ws('-', encoder, granularity), '[^A-Za-z0-9]+', '_', 'g')) as tag, case when search = 'defaults' then 'D' else 'S' end as kind, count(*) as n from log where encoder is not null group by all"
 _CELL = "json_extract_string(screening_confusion_matrix, '$[{}][{}]')::bigint"
 O["f19_json"] = f"with {log('screening_confusion_matrix', 'selected_params')} select run_id, {_CELL.format(0, 0)} as tn, {_CELL.format(0, 1)} as fp, {_CELL.format(1, 0)} as fn, {_CELL.format(1, 1)} as tp, round(try_cast(json_extract_string(selected_params, '$.alpha') as double), 6) as alpha from log where screening_confusion_matrix is not null"
 O["f20_file_stem"] = f"with {log('encoder', 'target', 'search')} select distinct regexp_replace(concat_ws('__', encoder, target, search), '[^\\p{{L}}\\p{{N}}._-]', '_', 'g') as stem from log where encoder is not null and target is not null and search is not null"
@@ -270,5 +270,19 @@ O["t10_rank_correlation"] = f"with {EMB}, p as (select round(1 - {_COS}, 6) as d
 O["t5_scaling"] = f"with {EMB}, x as (select vec_id, unnest(range(0, len(v)))::int as i, unnest(v) as x from e) select vec_id, i, round(coalesce((x - avg(x) over (partition by i)) / nullif(stddev_pop(x) over (partition by i), 0), 0), 4) as z from x"
 O["m1_knn_regression"] = f"with {EMB}, p as (select a.vec_id, b.label, row_number() over (partition by a.vec_id order by round({_COS}, 6) desc, b.vec_id) as k from e a join e b on a.vec_id % 100 = 0 and b.vec_id % 100 <> 0) select vec_id, round(avg(label), 6) as y_pred from p where k <= 7 group by all"
 
+O["f18_cosine_to_mean"] = f"with {EMB}, x as (select label, unnest(range(0, len(v)))::int as i, unnest(v) as x from e), m as (select label, i, avg(x) as x from x group by all), l as (select label, list(x order by i) as m from m group by label) select vec_id, round(list_inner_product(v, m) / (n * sqrt(list_inner_product(m, m))), 5) as cosine from e join l using (label)"
+O["f4_normalise"] = f"""with t as (select row_id, trim(regexp_replace(text, '[\\s\\x{{00A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{0085}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g')) as t from transcription where text is not null),
+p as (select row_id, string_split_regex(t, '{_PH}') as p, regexp_extract_all(t, '{_PH}') as h from t)
+select row_id, md5(array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(translate(h[i], 'ÁÉÍÓÚ', 'AEIOU'), '')), '')) as normalised from p"""
+O["proj3_not_blank"] = f"select case when text is null then 'null' when {FLAT} = '' then 'blank' when upper({FLAT}) = 'OMITIDA' then 'omitted' else 'answer' end as kind, count(*) as n from transcription group by all"
+O["x13_sparse_features"] = f"with f as ({O['f7_membership']}), l as (" + " union all ".join(f"select '{k}_rate' as feature, {k}_rate as v from f" for k in _LISTS) + "), s as (select feature, round(100 * avg((v <> 0)::int), 4) as pct_nonzero from l group by all) select feature, pct_nonzero, pct_nonzero < 20 as sparse from s"
+O["d3_group_split"] = f"with {SCORED}, g as (select session, count(*) as n from scored group by session), m as (select *, case when row_number() over (order by {_FOLD}, session) <= round_even(count(*) over () * 0.2, 0) then 'test' else 'train' end as split from g) select split, sum(n)::bigint as rows, count(*) as people from m group by all"
+O["d6_named_corpora"] = f"with {ANSWERS} select 'interviews' as corpus, count(*) as texts, count(distinct participant) as people, sum(length(text))::bigint as chars from answers union all select 'documents', count(*), count(distinct author), sum(length(text))::bigint from documents where text is not null and author is not null"
+O["o1_mixed_sort"] = f"with {log('family', 'target', 'rmse')} select family, target, count(*) as n, round(min(rmse), 6) as best from log where rmse is not null group by all"
+O["o8_global_first"] = f"select min(doc_id) as doc_id, count(*) as copies from (select doc_id, {fold(FLAT)} as t from documents where text is not null) group by t having count(*) > 1"
+_W2 = wilcoxon("squared", "encoder, target", "ea", "eb")
+O["x8_paired_comparison"] = f"{BASE}, squared as (select encoder, target, round(ea ** 2, 9) as ea, round(eb ** 2, 9) as eb from pairs), {_W2}, m as (select encoder, target, round(avg(ea ** 2 - eb ** 2), 6) as d_squared from pairs group by all) select encoder, target, pairs, d_squared, round(p, 5) as p from m join tested using (encoder, target)"
+O["x10_all_equal_sets"] = f"with {SCORED}, s as (select encoder, target, list_sort(list(distinct seed) filter (seed is not null)) as seeds from scored where encoder is not null group by all) select encoder, count(distinct seeds) = 1 as same_seeds from s group by all"
+
 for _name in ORACLES:
     ORACLES[_name] = steady(ORACLES[_name])

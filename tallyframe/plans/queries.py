@@ -173,33 +173,33 @@ def v3_pivot_mean(spark, sf):
 
 
 @query
-def p2_filter_isin(spark, sf):
+def proj2_filter_isin(spark, sf):
     df = table(spark, sf, "experiment_log")
     return df.where(F.col("family").isin("frozen", "lexical") & F.col("encoder_model").startswith("checkpoint/") & ~F.col("encoder_model").endswith("base")).groupBy("family", "search").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
-def p7_label_map(spark, sf):
+def proj7_label_map(spark, sf):
     names = {"frozen": "Frozen", "fine-tuning": "Fine-tuned", "fine-tuning-cv": "Fine-tuned (CV)", "lexical": "Named features"}
     mapped = F.coalesce(F.create_map(*[F.lit(x) for p in names.items() for x in p])[F.col("family")], F.col("family"))
     return table(spark, sf, "experiment_log").groupBy(mapped.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
-def p8_readable_arm(spark, sf):
+def proj8_readable_arm(spark, sf):
     e = tx.label(F.col("encoder"))
     kind = F.when(e.startswith("e0"), "baseline").when(e.startswith("l"), "named").when(e.contains("-ft"), "fine-tuned").otherwise("frozen")
     return table(spark, sf, "experiment_log").where(e.isNotNull()).groupBy(kind.alias("kind"), F.substring_index(e, "_v", 1).alias("arm")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
-def p10_numbers(spark, sf):
+def proj10_numbers(spark, sf):
     df = table(spark, sf, "experiment_log").select("run_id", F.get_json_object("config_json", "$.n_iter").try_cast("double").alias("n_iter"), rnd(finite(F.col("rmse")), 3).alias("rmse")).distinct()
     return df.where("run_id is not null")
 
 
 @query
-def p12_labels(spark, sf):
+def proj12_labels(spark, sf):
     df = log(spark, sf, "encoder", "search", "granularity")
     tag = F.upper(F.regexp_replace(F.concat_ws("-", "encoder", "granularity"), "[^A-Za-z0-9]+", "_"))
     return df.where("encoder is not null").select(tag.alias("tag"), F.when(F.col("search") == "defaults", "D").otherwise("S").alias("kind")).groupBy("tag", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -786,3 +786,80 @@ def m1_knn_regression(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("y", F.col("label").cast("double"))
     got = models.knn(e.where("vec_id % 100 <> 0"), e.where("vec_id % 100 = 0"), "vec_id", "embedding", "y", 7)
     return got.select("vec_id", r6("y_pred").alias("y_pred"))
+
+
+@query
+def f18_cosine_to_mean(spark, sf):
+    e = table(spark, sf, "embeddings")
+    mean = vectors.mean_pool(e, ["label"], "embedding").select(F.col("label").alias("l"), F.col("embedding").alias("m"))
+    return e.join(F.broadcast(mean), F.col("label") == F.col("l")).select("vec_id", rnd(cosine(F.col("embedding"), F.col("m")), 5).alias("cosine"))
+
+
+@query
+def f4_normalise(spark, sf):
+    return table(spark, sf, "transcription").where("text is not null").select("row_id", F.md5(tx.normalise(F.col("text"))).alias("normalised"))
+
+
+@query
+def proj3_not_blank(spark, sf):
+    df = table(spark, sf, "transcription")
+    flat = F.trim(F.regexp_replace("text", r"[\s\u00A0]+", " "))
+    kind = F.when(F.col("text").isNull(), "null").when(flat == "", "blank").when(F.upper(flat) == "OMITIDA", "omitted").otherwise("answer")
+    return df.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def x13_sparse_features(spark, sf):
+    wide = f7_membership(spark, sf)
+    rates = [c for c in wide.columns if c.endswith("_rate")]
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in rates])).alias("s")).select("s.*")
+    share = long.groupBy("feature").agg(rnd(100 * F.avg((F.col("v") != 0).cast("double")), 4).alias("pct_nonzero"))
+    return share.select("feature", "pct_nonzero", (F.col("pct_nonzero") < 20).alias("sparse"))
+
+
+@query
+def d3_group_split(spark, sf):
+    rows = scored(spark, sf).select("session")
+    return splits.group_split(rows, "session").groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("session").alias("people"))
+
+
+@query
+def d6_named_corpora(spark, sf):
+    a = answers(spark, sf).select(F.lit("interviews").alias("corpus"), F.col("participant").alias("person"), "text")
+    b = table(spark, sf, "documents").where("text is not null and author is not null").select(F.lit("documents").alias("corpus"), F.col("author").alias("person"), "text")
+    both = runs_union([a, b])
+    return both.groupBy("corpus").agg(F.count(F.lit(1)).alias("texts"), F.countDistinct("person").alias("people"), F.sum(F.char_length("text")).alias("chars"))
+
+
+def runs_union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query
+def o1_mixed_sort(spark, sf):
+    df = log(spark, sf, "family", "target", "rmse").where("rmse is not null")
+    return df.groupBy("family", "target").agg(F.count(F.lit(1)).alias("n"), r6(F.min("rmse")).alias("best")).orderBy(F.col("n").desc(), "family", F.col("target").desc_nulls_last())
+
+
+@query
+def o8_global_first(spark, sf):
+    df = table(spark, sf, "documents").where("text is not null")
+    first = df.groupBy(tx.fold(F.trim(F.regexp_replace("text", r"[\s\u00A0]+", " "))).alias("t")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    return first.where("copies > 1").select("doc_id", "copies")
+
+
+@query
+def x8_paired_comparison(spark, sf):
+    pairs = _pairs(spark, sf)
+    tested = stats.wilcoxon(pairs.withColumns({"ea": F.round(F.col("ea") ** 2, 9), "eb": F.round(F.col("eb") ** 2, 9)}), ["encoder", "target"], "ea", "eb")
+    means = pairs.groupBy("encoder", "target").agg(r6(F.avg(F.col("ea") ** 2 - F.col("eb") ** 2)).alias("d_squared"))
+    return means.join(tested, ["encoder", "target"]).select("encoder", "target", "pairs", "d_squared", rnd("p", 5).alias("p"))
+
+
+@query
+def x10_all_equal_sets(spark, sf):
+    sets = scored(spark, sf).where("encoder is not null").groupBy("encoder", "target").agg(F.sort_array(F.collect_set("seed")).alias("seeds"))
+    return sets.groupBy("encoder").agg((F.countDistinct("seeds") == 1).alias("same_seeds"))

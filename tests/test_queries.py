@@ -55,3 +55,9 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_of_problems_are_left_to_their_subpackage():
+    import re
+
+    assert not [n for n in QUERIES if re.match(r"p\d+_", n)]
