@@ -70,16 +70,34 @@ def qwk(df: DataFrame, keys: list[str], t: str, p: str) -> DataFrame:
     return counted.select(*keys, (1 - F.try_divide(F.col("seen"), expected)).alias("qwk"))
 
 
+def running_sums(counts: DataFrame, keys: list[str], value: str, sums: list[str], parts: int = 32) -> DataFrame:
+    """Adds ``<sum>_below`` for each of ``sums``: its total over smaller values of the key. ``counts`` has a row for each value.
+
+    The values of a key are cut at approximate quantiles into ranges that are summed apart, so that a key with a third of
+    all values is no single task; the result is exact whatever the cuts are.
+    """
+    cuts = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 2000).alias("__cuts"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.lit(True))
+    met = counts.join(cuts, on) if keys else counts.crossJoin(F.broadcast(cuts))
+    part = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    placed = met.withColumn("__part", part).drop("__cuts", *[f"__{k}" for k in keys])
+    inside = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p")).agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])
+    across = Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__p", *[f"__{k}" for k in keys], *[F.coalesce(F.sum(f"__s_{c}").over(across), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    each = placed.withColumns({f"__i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    joined = each.join(before, on & (F.col("__part") == F.col("__p")))
+    return joined.select(*counts.columns, *[(F.col(f"__i_{c}") + F.col(f"__b_{c}")).alias(f"{c}_below") for c in sums])
+
+
 def average_rank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per distinct value: its count ``n`` and the average rank of its ties. Values are counted before anything is sorted."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(*keys, value, "n", (F.sum("n").over(upto) - (F.col("n") - 1) / 2.0).alias("avg_rank"))
+    return running_sums(counts, keys, value, ["n"]).select(*keys, value, "n", (F.col("n_below") + (F.col("n") + 1) / 2.0).alias("avg_rank"))
 
 
 def auc(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     """Area under the ROC curve by the rank sum; NULL unless both classes occur."""
     counts = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.sum(1 - F.col(y).cast("bigint")).alias("neg"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    won = counts.withColumn("w", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2.0))
+    won = running_sums(counts, keys, score, ["neg"]).withColumn("w", F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     return won.groupBy(*keys).agg(F.try_divide(F.sum("w"), F.sum("pos") * F.sum("neg")).alias("auc"))

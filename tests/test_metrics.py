@@ -48,6 +48,14 @@ def test_average_rank_gives_ties_their_mean(spark):
     assert {r["v"]: float(r["avg_rank"]) for r in got} == {1.0: 1.0, 2.0: 2.5, 5.0: 4.0}
 
 
+def test_running_sums_over_a_hot_key(spark):
+    df = spark.range(5000).select(F.when(F.col("id") < 4900, "hot").otherwise("x").alias("k"), ((F.col("id") * 7919) % 5003).cast("double").alias("v"), F.lit(2).alias("n"))
+    got = m.running_sums(df, ["k"], "v", ["n"]).collect()
+    for key in ("hot", "x"):
+        rows = sorted((r["v"], r["n_below"]) for r in got if r["k"] == key)
+        assert [b for _, b in rows] == [2 * i for i in range(len(rows))]
+
+
 def test_holm_stops_at_first_failure(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.03), ("f", "c", 0.02), ("f", "d", 0.04)], "f string, i string, p double")
     got = {r["i"]: (round(r["threshold"], 6), r["significant"]) for r in s.holm(df, ["f"], "p", "i").collect()}
