@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,7 @@ _ELIDED = re.compile(r"(?:[jlmntsc]|qu)['’]", re.IGNORECASE)
 _END = re.compile(r"[.!?…\n¿¡。！？:«\"“(]")
 
 
+@lru_cache(maxsize=200_000)
 def fold(word: str) -> str:
     flat = unicodedata.normalize("NFKD", word.lower())
     return flat if flat.isascii() else "".join(c for c in flat if not unicodedata.combining(c))
@@ -187,8 +189,10 @@ class Finder:
     def names(self, text: str, regime: str) -> list[tuple[str, int, int]]:
         tokens, given, out = list(_TOKEN.finditer(text)), self.lexicon.given, []
         inside = {t for m in _PLACE.finditer(text) for t in range(m.start(), m.end())} if "[" in text else ()
-        like = []
+        like = bytearray(len(tokens))
         for k, m in enumerate(tokens):
+            if regime == "mixed" and not text[m.start()].isupper():
+                continue
             w = m.group()
             ok = False
             if m.start() in inside:
@@ -205,23 +209,20 @@ class Finder:
             if not ok and len(w) >= 3 and k + 1 < len(tokens) and text[m.end() : tokens[k + 1].start()] == " " and (regime != "mixed" or w[0].isupper()) and fold(w) not in seed.COMMON:
                 after = tokens[k + 1].group()
                 ok = (regime != "mixed" or after[0].isupper()) and self.evidence.of(after)[0] > 0.75
-            like.append(ok)
-        k = 0
-        while k < len(tokens):
-            if not like[k]:
-                k += 1
-                continue
+            like[k] = ok
+        k = like.find(1)
+        while k >= 0:
             end = k + 1
             while end < len(tokens) and end - k < 5 and like[end] and text[tokens[end - 1].end() : tokens[end].start()] == " ":
                 end += 1
             if end == k + 1 and regime == "mixed" and fold(tokens[k].group()) not in given and self._german_noun(text, tokens, k):
-                k = end
+                k = like.find(1, end)
                 continue
             for i in range(k, end):
                 for j in range(i + 1, min(end, i + 4) + 1):
                     if j == end or j - i == 1 or j - i >= 2:
                         out.append(("name", tokens[i].start(), tokens[j - 1].end()))
-            k = end
+            k = like.find(1, end)
         return out
 
     @staticmethod
@@ -284,9 +285,12 @@ class Finder:
     @staticmethod
     def regime(text: str) -> str:
         plain = _EMAIL.sub(" ", _PLACE.sub(" ", text)) if "@" in text or "[" in text else text
-        ups = sum(c.isupper() for c in plain)
-        downs = sum(c.islower() for c in plain)
-        return "lower" if not ups and downs else "upper" if ups and downs <= 0.02 * ups else "mixed"
+        if plain.islower():
+            return "lower"
+        if plain.isupper():
+            return "upper"
+        ups, downs = sum(map(str.isupper, plain)), sum(map(str.islower, plain))
+        return "upper" if ups and downs <= 0.02 * ups else "mixed"
 
     def candidates(self, text: str) -> list[tuple[str, int, int, list[float]]]:
         regime = self.regime(text)
