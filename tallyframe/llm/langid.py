@@ -56,7 +56,7 @@ def clean(sentence: str) -> str:
     text = _DROP.sub(" ", unicodedata.normalize("NFC", sentence).lower())
     if any(c in text for c in '"«“„「'):
         rest = _QUOTED.sub(" ", text)
-        if sum(c.isalpha() for c in rest) >= 12:
+        if sum(map(str.isalpha, rest)) >= 12:
             text = rest
     return _SPACE.sub(" ", text).strip()
 
@@ -103,9 +103,16 @@ class ByteNet:
         return np.concatenate(pooled, 1), at, cols
 
     def log_probs(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
+        """Log probabilities of windows; only the maxima are needed here, not their places."""
         out = []
         for s in range(0, len(x), batch):
-            z = np.maximum(self._pool(x[s : s + batch])[0], 0) @ self.p["W"] + self.p["c"]
+            e = self.p["E"][x[s : s + batch]]
+            pooled = []
+            for w in WIDTHS:
+                n = WINDOW - w + 1
+                col = np.concatenate([e[:, k : k + n] for k in range(w)], axis=2)
+                pooled.append((col.reshape(-1, w * self.dim) @ self.p[f"K{w}"]).reshape(len(e), n, self.filters).max(1) + self.p[f"b{w}"])
+            z = np.maximum(np.concatenate(pooled, 1), 0) @ self.p["W"] + self.p["c"]
             z -= z.max(1, keepdims=True)
             out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, len(LANGS)), np.float32)
@@ -268,7 +275,7 @@ def _segments(weights: dict[str, float], net: ByteNet):
                 spans, letters = [], []
                 for a, b in model.spans(text):
                     plain = clean(text[a:b])
-                    n = sum(c.isalpha() for c in plain)
+                    n = sum(map(str.isalpha, plain))
                     if n:
                         spans.append((a, b))
                         letters.append(n)

@@ -71,10 +71,14 @@ def _kind_after(text: str, at: int) -> tuple[str, int]:
 
 
 def _regime(text: str, at: int, reach: int = 160) -> str:
-    part = _PLACE.sub(" ", text[max(0, at - reach) : at + reach])
-    if not any(c.islower() for c in part):
-        return "upper" if any(c.isupper() for c in part) else "nocase"
-    return "mixed" if any(c.isupper() for c in part) else "lower"
+    part = text[max(0, at - reach) : at + reach]
+    if "[" in part:
+        part = _PLACE.sub(" ", part)
+    if part.islower():
+        return "lower"
+    if part.isupper():
+        return "upper"
+    return "mixed" if part.lower() != part.upper() else "nocase"
 
 
 class _Quotes:
