@@ -153,12 +153,23 @@ def richness() -> dict[str, Column]:
     }
 
 
+def _sentence_lengths() -> tuple[Column, Column]:
+    """Mean and population deviation of the words in a sentence, from one fold: tokens come in the order of their sentences."""
+    zero = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("n"), F.lit(0.0).alias("squares"))
+
+    def step(a: Column, t: Column) -> Column:
+        same = a["at"] == t["sent"]
+        return F.struct(t["sent"].alias("at"), F.when(same, a["n"] + 1).otherwise(1.0).alias("n"), F.when(same, a["squares"]).otherwise(a["squares"] + a["n"] * a["n"]).alias("squares"))
+
+    squares = F.aggregate(_alpha(), zero, step, lambda a: a["squares"] + a["n"] * a["n"])
+    mean = _n() / F.col("n_sentences")
+    return mean, F.sqrt(F.greatest(F.lit(0.0), squares / F.col("n_sentences") - mean * mean))
+
+
 @block("discourse", ["discourse_marker_rate", "hesitation_rate", "repetition_rate", "mean_sentence_len", "sentence_len_sd"], tags=False)
 def discourse() -> dict[str, Column]:
     markers = _count(lambda t: _listed(t, lex.MARKERS, lemma=False)) + tx.phrase_count(F.col("text"), lex.MARKER_PHRASES)
-    lengths = F.transform(F.sequence(F.lit(0), F.col("n_sentences") - 1), lambda s: F.size(F.filter(_alpha(), lambda t: t["sent"] == s)).cast("double"))
-    mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / F.size(lengths)
-    spread = F.sqrt(F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(lengths))
+    mean, spread = _sentence_lengths()
     return {"discourse_marker_rate": _rate(markers), "hesitation_rate": _rate(tx.ellipses(F.col("text"))), "repetition_rate": _rate(tx.adjacent_repeats(_lemmas())), "mean_sentence_len": mean, "sentence_len_sd": spread}
 
 
