@@ -45,7 +45,14 @@ def block(name: str, features: list[str], tags: bool):
 
 
 def _alpha() -> Column:
-    return F.filter(F.col("tokens"), lambda t: t["is_alpha"])
+    """The alphabetic tokens with folded form ``ff`` and lemma ``fl``, made once an answer by ``extract``."""
+    return F.col("__alpha")
+
+
+def _folded_tokens() -> Column:
+    alpha = F.filter(F.col("tokens"), lambda t: t["is_alpha"])
+    fields = ("form", "lemma", "pos", "morph", "sent")
+    return F.transform(alpha, lambda t: F.struct(*[t[f].alias(f) for f in fields], tx.fold(t["form"]).alias("ff"), tx.fold(t["lemma"]).alias("fl")))
 
 
 def _n() -> Column:
@@ -61,12 +68,13 @@ def _rate(count: Column) -> Column:
 
 
 def _lemmas() -> Column:
-    return F.transform(_alpha(), lambda t: tx.fold(t["lemma"]))
+    return F.transform(_alpha(), lambda t: t["fl"])
 
 
 def _listed(t: Column, terms: tuple[str, ...], lemma: bool = True) -> Column:
-    form = tx.is_any(t["form"], terms)
-    return (form | F.coalesce(tx.is_any(t["lemma"], terms), F.lit(False))) if lemma else form
+    known = sorted({tx.fold_word(w) for w in terms})
+    form = t["ff"].isin(known)
+    return (form | F.coalesce(t["fl"].isin(known), F.lit(False))) if lemma else form
 
 
 def _morph(t: Column, key: str, value: str) -> Column:
@@ -96,7 +104,7 @@ def person() -> dict[str, Column]:
 def negation() -> dict[str, Column]:
     negated = _count(lambda t: _morph(t, "Polarity", "Neg") | _listed(t, lex.NEGATION))
     hits = F.filter(_alpha(), lambda t: _listed(t, lex.ABSOLUTIST))
-    seen = F.size(F.array_distinct(F.transform(hits, lambda t: tx.fold(t["lemma"]))))
+    seen = F.size(F.array_distinct(F.transform(hits, lambda t: t["fl"])))
     return {"negation_rate": _rate(negated), "absolutist_rate": _rate(F.size(hits)), "absolutist_coverage": tx.ratio(seen, F.lit(len(lex.ABSOLUTIST))), "neg_per_sentence": tx.ratio(negated, F.col("n_sentences"))}
 
 
@@ -105,14 +113,14 @@ def _subscale_map() -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def subscale_of(form: Column, lemma: Column, pos: Column) -> Column:
+def subscale_of(form: Column, lemma: Column, pos: Column, folded: bool = False) -> Column:
     """Symptom group of a token: lemma, first word of a lemma of several words, form; a homograph of the wrong part of speech passes on to the next."""
     table = _subscale_map()
     adjective = [tx.fold_word(w) for w in lex.ADJECTIVE_ONLY]
     verb = [tx.fold_word(w) for w in lex.VERB_ONLY]
 
     def lookup(word: Column) -> Column:
-        w = tx.fold(word)
+        w = word if folded else tx.fold(word)
         wrong = (w.isin(adjective) & ~F.coalesce(pos == "ADJ", F.lit(False))) | (w.isin(verb) & ~F.coalesce(pos.isin("VERB", "AUX"), F.lit(False)))
         return F.when(~wrong, table[w])
 
@@ -121,7 +129,7 @@ def subscale_of(form: Column, lemma: Column, pos: Column) -> Column:
 
 @block("clinical", [*(f"clin_{n}" for n in lex.SUBSCALES), "clin_total_rate", "clin_coverage"], tags=True)
 def clinical() -> dict[str, Column]:
-    groups = F.transform(_alpha(), lambda t: F.struct(subscale_of(t["form"], t["lemma"], t["pos"]).alias("g"), tx.fold(t["lemma"]).alias("l")))
+    groups = F.transform(_alpha(), lambda t: F.struct(subscale_of(t["ff"], t["fl"], t["pos"], folded=True).alias("g"), t["fl"].alias("l")))
     hits = F.filter(groups, lambda g: g["g"].isNotNull())
     terms = len({t for group in lex.SUBSCALES.values() for t in group})
     in_group = lambda n: F.size(F.filter(hits, lambda g: g["g"] == n))
@@ -133,7 +141,7 @@ def clinical() -> dict[str, Column]:
 def morphosyntax() -> dict[str, Column]:
     pos = lambda *p: _rate(_count(lambda t: t["pos"].isin(*p)))
     finite = lambda key, value: _rate(_count(lambda t: _morph(t, "VerbForm", "Fin") & _morph(t, key, value)))
-    modal = _count(lambda t: tx.is_any(t["lemma"], lex.MODALS)) + tx.phrase_count(F.col("text"), lex.MODAL_PHRASES)
+    modal = _count(lambda t: t["fl"].isin(sorted({tx.fold_word(w) for w in lex.MODALS}))) + tx.phrase_count(F.col("text"), lex.MODAL_PHRASES)
     return {
         "pos_pron_rate": pos("PRON"), "pos_verb_rate": pos("VERB", "AUX"), "pos_adj_rate": pos("ADJ"), "pos_adv_rate": pos("ADV"), "pos_noun_rate": pos("NOUN"), "pos_conj_rate": pos("CCONJ", "SCONJ"),
         "tense_past_rate": finite("Tense", "Past"), "tense_pres_rate": finite("Tense", "Pres"), "tense_fut_rate": finite("Tense", "Fut"), "mood_subjunctive_rate": finite("Mood", "Sub"),
@@ -210,7 +218,8 @@ def extract(annotated: DataFrame, blocks: tuple[str, ...] = SETS["lexical"], kee
         if tuple(made) != REGISTRY[b].features:
             raise ValueError(f"block {b} does not keep its declared order")
         columns |= made
-    return annotated.select(*(keep or []), *[F.coalesce(c, F.lit(0.0)).cast("double").alias(n) for n, c in columns.items()])
+    prepared = annotated.withColumn("__alpha", _folded_tokens())
+    return prepared.select(*(keep or []), *[F.coalesce(c, F.lit(0.0)).cast("double").alias(n) for n, c in columns.items()])
 
 
 def affect(annotated: DataFrame, norms: DataFrame, keep: list[str]) -> DataFrame:
