@@ -15,15 +15,26 @@ def mean_pool(df: DataFrame, keys: list[str], vector: str, renormalise: bool = F
     return rows.withColumn(vector, unit(F.col(vector))) if renormalise else rows
 
 
+def _scored(queries: DataFrame, base: DataFrame, ident: str, vector: str) -> DataFrame:
+    """Each query row with each other row of ``base``: (q, b, similarity)."""
+    q = queries.select(F.col(ident).alias("q"), unit(F.col(vector)).alias("u"))
+    b = base.select(F.col(ident).alias("b"), unit(F.col(vector)).alias("v"))
+    return b.join(q, F.col("q") != F.col("b")).select("q", "b", F.round(dot(F.col("u"), F.col("v")), 6).alias("similarity"))
+
+
+def similar(queries: DataFrame, base: DataFrame, ident: str, vector: str, least: float) -> DataFrame:
+    """All pairs of a query row and another row of ``base`` with at least that similarity, however many: (ident, neighbour, similarity). Nothing is sorted or shuffled."""
+    near = _scored(queries, base, ident, vector).where(F.col("similarity") >= least)
+    return near.select(F.col("q").alias(ident), F.col("b").alias("neighbour"), "similarity")
+
+
 def neighbours(queries: DataFrame, base: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
     """The k most similar rows of ``base`` for each query row, itself excluded: (ident, neighbour, similarity, place).
 
     The query set is stated by the caller. It is joined in blocks: each partition of ``base`` meets the queries, keeps k
     a query, and only those move.
     """
-    q = queries.select(F.col(ident).alias("q"), unit(F.col(vector)).alias("u"))
-    b = base.select(F.col(ident).alias("b"), unit(F.col(vector)).alias("v"))
-    scored = b.join(q, F.col("q") != F.col("b")).select("q", "b", F.round(dot(F.col("u"), F.col("v")), 6).alias("similarity"))
+    scored = _scored(queries, base, ident, vector)
     order = Window.partitionBy("q").orderBy(F.col("similarity").desc(), "b")
     top = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return top.select(F.col("q").alias(ident), F.col("b").alias("neighbour"), "similarity", "place")

@@ -752,8 +752,7 @@ def w7_knn(spark, sf):
 @query
 def j11_similar(spark, sf):
     e = table(spark, sf, "embeddings")
-    near = vectors.neighbours(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 20)
-    return near.where("similarity >= 0.2").select("vec_id", "neighbour", "similarity")
+    return vectors.similar(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 0.2)
 
 
 @query
