@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.scores import normal_cdf
-from tallyframe.functions.text import draw
 from tallyframe.operators.metrics import average_rank, same_keys
 
 
@@ -93,18 +94,82 @@ def wilcoxon_exact(tested: DataFrame, most: int = 50) -> DataFrame:
     return tested.mapInPandas(run, tested.schema)
 
 
-def bootstrap_interval(df: DataFrame, keys: list[str], ident: str, value: str, resamples: int = 200, seed: str = "42") -> DataFrame:
-    """Percentile interval (2.5 %, 97.5 %) of the mean of ``value`` under Poisson resampling.
+def _poisson_steps() -> np.ndarray:
+    """The distribution function of Poisson(1) in units of 2**-64, as far as a double tells it from 1."""
+    steps, term, total, k = [], math.exp(-1), math.exp(-1), 0
+    while total < 1:
+        steps.append(int(total * 2**64))
+        k += 1
+        term /= k
+        total += term
+        if steps[-1] == int(min(total, 1) * 2**64):
+            break
+    return np.array(steps, dtype=np.uint64)
 
-    Each row gets a Poisson(1) weight for each resample, drawn from its id by md5: no row is moved to be drawn, weights
-    are summed before the shuffle, and the draw is the same on every run.
+
+def poisson_weights(seed: str, ident: str, resamples: int) -> np.ndarray:
+    """How often a row takes part in each resample: Poisson(1), from a Philox generator keyed by the md5 of seed and id."""
+    key = int.from_bytes(hashlib.md5(f"{seed}|{ident}".encode()).digest(), "big")
+    return np.searchsorted(_STEPS, np.random.Philox(key=key).random_raw(resamples), side="right").astype(np.uint8)
+
+
+_STEPS = _poisson_steps()
+
+
+def bootstrap_intervals(df: DataFrame, keys: list[str], ident: str, values: list[str], resamples: int = 2000, seed: str = "42") -> DataFrame:
+    """Percentile interval (2.5 %, 97.5 %) of the mean of each of ``values`` under Poisson resampling: ``<value>_low``, ``<value>_high``.
+
+    Rows where one of the values is NULL don't take part. The weights depend on the id alone, so they are the same on
+    every run, and an id has the same in all groups. A partition is read in the order of the keys with one running sum a
+    resample: no group is held, and nothing is multiplied by the number of resamples before it is summed. The sums are
+    numpy's, as the weights of one id are made once and met by all its rows.
     """
-    u = draw(F.lit(seed), F.col("b"), F.col(ident)) / F.lit(4294967296.0)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = df.where(F.col(value).isNotNull()).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).select(*keys, "b", F.col(value).alias("v"), weight.alias("w"))
-    means = drawn.groupBy(*keys, "b").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
-    return means.groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    cols = [F.col(v).cast("double").alias(v) for v in values]
+    rows = df.dropna(subset=values).select(*keys, F.col(ident).cast("string").alias("__id"), *cols)
+    apart = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys)
+    out = [f"{v}_{side}" for v in values for side in ("low", "high")]
+
+    def interval(group: tuple, sums: np.ndarray) -> tuple:
+        drawn = sums[-1] > 0
+        means = sums[:-1, drawn] / sums[-1, drawn]
+        return (*group, *(np.quantile(means, [0.025, 0.975], axis=1).T.ravel().tolist() if drawn.any() else [None] * len(out)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, np.ndarray] = {}
+        group, sums = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = np.stack([pd.factorize(batch[k])[0] for k in keys] or [np.zeros(len(batch), int)])
+            at = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1), len(batch)]
+            ids, done = batch["__id"].to_numpy(), []
+            of = np.vstack([batch[values].to_numpy(float).T, np.ones(len(batch))])
+            for start, stop in zip(at, at[1:]):
+                name = tuple(None if pd.isna(batch[k].iat[start]) else batch[k].iat[start] for k in keys)
+                if name != group or sums is None:
+                    if sums is not None:
+                        done.append(interval(group, sums))
+                    group, sums = name, np.zeros((len(of), resamples))
+                for i in range(start, stop, 500):
+                    some = ids[i : min(i + 500, stop)]
+                    for x in some:
+                        if x not in known:
+                            if len(known) >= 32_768:
+                                known.clear()
+                            known[x] = poisson_weights(seed, x, resamples)
+                    sums += of[:, i : i + len(some)] @ np.stack([known[x] if x in known else poisson_weights(seed, x, resamples) for x in some]).astype(float)
+            yield pd.DataFrame(done, columns=[*keys, *out])
+        if sums is not None:
+            yield pd.DataFrame([interval(group, sums)], columns=[*keys, *out])
+
+    kinds = [*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema], *[f"`{c}` double" for c in out]]
+    return apart.mapInPandas(run, ", ".join(kinds))
+
+
+def bootstrap_interval(df: DataFrame, keys: list[str], ident: str, value: str, resamples: int = 2000, seed: str = "42") -> DataFrame:
+    """``bootstrap_intervals`` of one value, as ``low`` and ``high``."""
+    got = bootstrap_intervals(df, keys, ident, [value], resamples, seed)
+    return got.select(*keys, F.col(f"{value}_low").alias("low"), F.col(f"{value}_high").alias("high"))
 
 
 def paired(df: DataFrame, by: list[str], arm: str, a, b, y: str, p: str, keep: list[str]) -> DataFrame:

@@ -433,8 +433,8 @@ def w4_average_rank(spark, sf):
 
 @query
 def x7_bootstrap(spark, sf):
-    got = stats.bootstrap_interval(_pairs(spark, sf).where("encoder like 'l%'").withColumn("d", F.col("ea") - F.col("eb")), ["target"], "session", "d", 200)
-    return got.select("target", r6("low").alias("low"), r6("high").alias("high"))
+    got = stats.bootstrap_interval(_pairs(spark, sf).withColumn("d", F.col("ea") - F.col("eb")), ["encoder", "target"], "session", "d")
+    return got.select("encoder", "target", r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query

@@ -20,3 +20,39 @@ def test_similar_pairs_are_not_cut_at_a_number_of_neighbours(spark):
     got = {(r["vec_id"], r["neighbour"]): r["similarity"] for r in QUERIES["j11_similar"](spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got)
     assert max(np.unique([q for q, _ in got], return_counts=True)[1]) > 20
+
+
+def test_weights_follow_poisson_beyond_six():
+    from math import exp, factorial
+
+    from tallyframe.operators.stats import _STEPS, poisson_weights
+
+    assert len(_STEPS) > 12 and np.allclose(_STEPS[:3] / 2.0**64, [exp(-1), 2 * exp(-1), 2.5 * exp(-1)])
+    w = np.stack([poisson_weights("42", f"s{i}", 2000) for i in range(500)])
+    n = np.bincount(w.ravel(), minlength=9)
+    want = [1e6 * exp(-1) / factorial(k) for k in range(9)]
+    assert all(abs(a - b) < 5 * b**0.5 + 3 for a, b in zip(n, want)) and n[7:].sum() > 0
+    assert abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.1 and len({x.tobytes() for x in w}) == 500
+
+
+def test_intervals_are_near_those_of_index_draws_for_each_group(spark):
+    from tallyframe.operators.stats import bootstrap_intervals
+
+    rng = np.random.default_rng(7)
+    d = {k: rng.normal(m, 2, 300).round(6) for k, m in (("a", 1.0), ("b", -1.0), (None, 0.0))}
+    rows = [(k, f"s{i}", float(x), -float(x) * 2) for k, v in d.items() for i, x in enumerate(v)] + [("a", "none", None, 1.0), ("one", "s1", 3.0, 4.0)]
+    got = {r["k"]: r for r in bootstrap_intervals(spark.createDataFrame(rows, "k string, i string, v double, w double"), ["k"], "i", ["v", "w"]).collect()}
+    assert got.keys() == {"a", "b", None, "one"} and got["one"]["v_low"] == got["one"]["v_high"] == 3.0
+    for k, v in d.items():
+        means = v[rng.integers(0, 300, (2000, 300))].mean(axis=1)
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert abs(got[k]["v_low"] - low) < 0.05 and abs(got[k]["v_high"] - high) < 0.05
+        assert abs(got[k]["w_low"] + 2 * got[k]["v_high"]) < 1e-9 and abs(got[k]["w_high"] + 2 * got[k]["v_low"]) < 1e-9
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_every_arm_and_target_has_an_interval_that_holds_its_mean(spark):
+    means = {(r["encoder"], r["target"]): r for r in QUERIES["j3_paired"](spark, DATA).collect()}
+    got = {(r["encoder"], r["target"]): r for r in QUERIES["x7_bootstrap"](spark, DATA).collect()}
+    assert got.keys() == means.keys() and len({e[:1] for e, _ in got}) > 1
+    assert all(got[k]["low"] - 1e-6 <= r["d_absolute"] <= got[k]["high"] + 1e-6 for k, r in means.items())
