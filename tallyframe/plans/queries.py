@@ -277,6 +277,35 @@ def x16_contrasts(spark, sf):
     return mean.select("encoder", "target", "granularity", d.alias("difference"), F.when(d < 0, "A").otherwise("B").alias("winner"))
 
 
+#: Arms by the checkpoint they use; an arm that isn't here is its own.
+CHECKPOINTS = {"e0_tfidf_base": "tf-idf", "e1_beto": "beto", "e5_beto-ft": "beto", "e6_beto-cv": "beto", "e2_e5-small": "e5-small", "e2_e5-base": "e5-base", "e2_e5-large": "e5-large", "e5_roberta-ft": "roberta"}
+
+
+@query
+def x16_checkpoint_contrasts(spark, sf):
+    """The contrasts of X16 beside ``x16_contrasts``, over test runs: difference is b - a of the mean rmse, ties go to b."""
+    df = log(spark, sf, "encoder", "target", "family", "granularity", "augmentation", "split", "rmse").where("split = 'test' and encoder is not null and target is not null and rmse is not null")
+    arm = F.substring_index("encoder", "_v", 1)
+    checkpoint = F.coalesce(F.create_map(*[F.lit(x) for p in CHECKPOINTS.items() for x in p])[arm], arm)
+    is_ = lambda **want: F.expr(" and ".join(f"{k} = '{v}'" for k, v in want.items()))
+    tuned_cv = is_(family="fine-tuning-cv", augmentation="augmented")
+    contrasts = {
+        "granularity": ("participant", is_(family="frozen", augmentation="no_augmentation", granularity="participant"), "question", is_(family="frozen", augmentation="no_augmentation", granularity="question")),
+        "stopping": ("holdout", is_(family="fine-tuning"), "cross-validation", tuned_cv),
+        "fine_tuning": ("frozen", is_(family="frozen", augmentation="augmented", granularity="question"), "fine-tuned", tuned_cv),
+    }
+    marks = [F.when(when, F.struct(F.lit(c).alias("contrast"), F.lit(x[0]).alias("name_a"), F.lit(x[2]).alias("name_b"), F.lit(side).alias("side"))) for c, x in contrasts.items() for side, when in (("a", x[1]), ("b", x[3]))]
+    marked = df.select("target", "rmse", checkpoint.alias("arm"), F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).select("m.*", "arm", "target", "rmse")
+    keys = ["contrast", "name_a", "name_b", "arm", "target"]
+    paired = marked.groupBy(*keys, F.lit(None).cast("string").alias("granularity")).pivot("side", ["a", "b"]).agg(F.avg("rmse")).dropna(subset=["a", "b"])
+    plain = df.where("augmentation = 'no_augmentation'").withColumn("kind", arm)
+    base = plain.where("kind = 'e2_e5-small'").groupBy("target", "granularity").agg(F.avg("rmse").alias("a"))
+    adapted = plain.where("kind = 'e3_e5-tsdae'").groupBy("encoder", "target", "granularity").agg(F.avg("rmse").alias("b"))
+    tsdae = adapted.join(base, ["target", "granularity"]).withColumns({"contrast": F.lit("tsdae"), "name_a": F.lit("e5-small"), "name_b": F.lit("e5-small adapted"), "arm": F.col("encoder")}).drop("encoder")
+    both = paired.unionByName(tsdae).withColumns({"a": r6("a"), "b": r6("b")})
+    return both.select("contrast", "arm", "target", "granularity", "a", "b", r6(F.col("b") - F.col("a")).alias("difference"), F.when(F.col("a") < F.col("b"), F.col("name_a")).otherwise(F.col("name_b")).alias("winner"))
+
+
 @query
 def x17_family_difference(spark, sf):
     df = log(spark, sf, "family", "target", "seed", "rmse").where("rmse is not null")
@@ -457,13 +486,21 @@ def x12_collinear(spark, sf):
 
 @query
 def x15_contrast_table(spark, sf):
-    df = metrics.aggregate_predictions(scored(spark, sf).where("family is not null and target is not null"), ["family", "target"], "session").withColumns({"y_true": F.round("y_true", 9), "y_pred": F.round("y_pred", 9)})
-    contrasts = spark.createDataFrame([("tuned_vs_frozen", "fine-tuning", "frozen"), ("named_vs_frozen", "lexical", "frozen"), ("cv_vs_tuned", "fine-tuning-cv", "fine-tuning")], "contrast string, a string, b string")
-    left = df.join(F.broadcast(contrasts), F.col("family") == F.col("a")).select("contrast", "target", "session", "b", F.col("y_true").alias("y"), F.col("y_pred").alias("pa"))
-    both = left.join(df.select(F.col("family").alias("b"), "target", "session", F.col("y_pred").alias("pb")), ["b", "target", "session"])
-    d = both.select("contrast", "target", rnd((F.col("pa") - F.col("y")) ** 2, 6).alias("sa"), rnd((F.col("pb") - F.col("y")) ** 2, 6).alias("sb"))
-    tested = stats.wilcoxon(d, ["contrast", "target"], "sa", "sb").withColumn("p", rnd("p", 5))
-    return stats.holm(tested, ["target"], "p", "contrast").select("contrast", "target", "pairs", "p", "significant")
+    """Holm within one search, granularity and target; a side is a family or, for the named features, an arm over its versions."""
+    contrasts = [("tuned_vs_frozen", "fine-tuning", "frozen"), ("named_vs_frozen", "lexical", "frozen"), ("cv_vs_tuned", "fine-tuning-cv", "fine-tuning"), ("affect_on_lexical", "l1_lexical", "l2_lexical__affect")]
+    used = sorted({x for c in contrasts for x in c[1:]})
+    sides = F.filter(F.array("family", F.substring_index("encoder", "_v", 1)), lambda x: x.isin(used))
+    keys = ["search", "granularity", "target"]
+    rows = scored(spark, sf).where("target is not null").withColumn("side", F.explode(sides))
+    df = metrics.aggregate_predictions(rows, [*keys, "side"], "session").withColumns({"y_true": F.round("y_true", 9), "y_pred": F.round("y_pred", 9)})
+    left = df.join(F.broadcast(spark.createDataFrame(contrasts, "contrast string, a string, b string")), F.col("side") == F.col("a")).select(*keys, "contrast", "session", "b", F.col("y_true").alias("y"), F.col("y_pred").alias("pa"))
+    both = left.join(df.select(*keys, F.col("side").alias("b"), "session", F.col("y_pred").alias("pb")), [*keys, "b", "session"])
+    d = both.select(*keys, "contrast", "session", rnd((F.col("pa") - F.col("y")) ** 2, 6).alias("sa"), rnd((F.col("pb") - F.col("y")) ** 2, 6).alias("sb")).withColumn("d", F.col("sa") - F.col("sb"))
+    tested = stats.wilcoxon(d, [*keys, "contrast"], "sa", "sb").withColumn("p", rnd("p", 5))
+    means = d.groupBy(*keys, "contrast").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("d_squared"))
+    intervals = stats.bootstrap_interval(d, [*keys, "contrast"], "session", "d")
+    whole = stats.holm(tested, keys, "p", "contrast").join(means, [*keys, "contrast"]).join(intervals, [*keys, "contrast"])
+    return whole.select("contrast", *keys, "n", "pairs", "d_squared", r6("low").alias("low"), r6("high").alias("high"), "p", "significant")
 
 
 # Splits and guards -------------------------------------------------------------------------------------------

@@ -56,3 +56,51 @@ def test_every_arm_and_target_has_an_interval_that_holds_its_mean(spark):
     got = {(r["encoder"], r["target"]): r for r in QUERIES["x7_bootstrap"](spark, DATA).collect()}
     assert got.keys() == means.keys() and len({e[:1] for e, _ in got}) > 1
     assert all(got[k]["low"] - 1e-6 <= r["d_absolute"] <= got[k]["high"] + 1e-6 for k, r in means.items())
+
+
+def test_each_contrast_of_the_sheet_is_there(spark, tmp_path):
+    """By hand: two runs a side are averaged, a side that is missing gives no row, ties go to b."""
+    made = []
+
+    def run(encoder, family, granularity, augmentation, rmse, split="test", target="PHQ9_Total"):
+        made.append((len(made), encoder, target, family, granularity, augmentation, split, rmse))
+
+    run("E1_beto_v1", "frozen", "participant", "no_augmentation", 4.0)
+    run("e1_BETO_v2", "frozen", "participant", "no_augmentation", 6.0)
+    run("E1_beto_v1", "frozen", "question", "no_augmentation", 5.0)
+    run("E1_beto_v1", "frozen", "question", "no_augmentation", 9.0, "cv")
+    run("E1_beto_v1", "frozen", "question", "augmented", 7.0)
+    run("E5_beto-ft_v1", "fine-tuning", "participant", "no_augmentation", 5.0)
+    run("E6_beto-cv_v1", "fine-tuning-cv", "question", "augmented", 6.0)
+    run("E6_beto-cv_v1", "fine-tuning-cv", "question", "no_augmentation", 1.0)
+    run("E2_e5-small_v1", "frozen", "participant", "no_augmentation", 5.5)
+    run("E3_e5-tsdae_v1", "frozen", "participant", "no_augmentation", 5.0)
+    run("E3_e5-tsdae_v2", "frozen", "participant", "no_augmentation", 6.0)
+    run("E3_e5-tsdae_v3", "frozen", "question", "no_augmentation", 6.0)
+    spark.createDataFrame(made, "run_id bigint, encoder string, target string, family string, granularity string, augmentation string, split string, rmse double").write.parquet(str(tmp_path / "experiment_log.parquet"))
+    got = {(r["contrast"], r["arm"]): (r["a"], r["b"], r["difference"], r["winner"]) for r in QUERIES["x16_checkpoint_contrasts"](spark, str(tmp_path)).collect()}
+    assert got.pop(("granularity", "e3_e5-tsdae"))[:2] == (5.5, 6.0)
+    assert got == {
+        ("granularity", "beto"): (5.0, 5.0, 0.0, "question"),
+        ("stopping", "beto"): (5.0, 6.0, 1.0, "holdout"),
+        ("fine_tuning", "beto"): (7.0, 6.0, -1.0, "fine-tuned"),
+        ("tsdae", "e3_e5-tsdae_v1"): (5.5, 5.0, -0.5, "e5-small adapted"),
+        ("tsdae", "e3_e5-tsdae_v2"): (5.5, 6.0, 0.5, "e5-small"),
+    }
+
+
+def test_contrast_table_keeps_searches_and_granularities_apart(spark, tmp_path):
+    made = []
+    for search, granularity, far in (("defaults", "participant", 0), ("defaults", "question", 1), ("random15", "question", 2)):
+        for i in range(1, 25):
+            for encoder, family, off in (("L1_lexical_v1", "lexical", 1 + far), ("L2_lexical__affect_v1", "lexical", 2), ("E1_beto_v1", "frozen", 3)):
+                made.append((f"UTB_{i}", 10.0, 10.0 + off + i / 100, encoder, "PHQ9_Total", 1, search, family, "no_augmentation", granularity))
+    spark.createDataFrame(made, "participant string, y_true double, y_pred double, encoder string, target string, seed int, search string, family string, augmentation string, granularity string").write.parquet(str(tmp_path / "predictions.parquet"))
+    got = {(r["contrast"], r["search"], r["granularity"]): r for r in QUERIES["x15_contrast_table"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {(c, *k) for c in ("affect_on_lexical", "named_vs_frozen") for k in (("defaults", "participant"), ("defaults", "question"), ("random15", "question"))}
+    for (c, s, g), r in got.items():
+        far = {("defaults", "participant"): 0, ("defaults", "question"): 1, ("random15", "question"): 2}[s, g]
+        a, b = (1 + far, 2) if c == "affect_on_lexical" else (1.5 + far / 2, 3)
+        d = np.mean([round((a + i / 100) ** 2, 6) - round((b + i / 100) ** 2, 6) for i in range(1, 25)])
+        assert r["n"] == 24 and abs(r["d_squared"] - d) < 2e-6 and r["low"] - 1e-6 <= d <= r["high"] + 1e-6
+        assert r["significant"] == (abs(a - b) > 0) and r["pairs"] == (24 if a != b else 0)
