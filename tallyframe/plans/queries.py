@@ -899,3 +899,16 @@ def x8_paired_comparison(spark, sf):
 def x10_all_equal_sets(spark, sf):
     sets = scored(spark, sf).where("encoder is not null").groupBy("encoder", "target").agg(F.sort_array(F.collect_set("seed")).alias("seeds"))
     return sets.groupBy("encoder").agg((F.countDistinct("seeds") == 1).alias("same_seeds"))
+
+
+@query
+def x8_both_errors(spark, sf):
+    """Both sides of the paired comparison: squared and absolute errors, each with difference, interval and Wilcoxon p."""
+    keys = ["encoder", "target"]
+    pairs = _pairs(spark, sf).withColumns({"qa": F.round(F.col("ea") ** 2, 9), "qb": F.round(F.col("eb") ** 2, 9), "squared": F.col("ea") ** 2 - F.col("eb") ** 2, "absolute": F.col("ea") - F.col("eb")})
+    test = lambda a, b, p: stats.wilcoxon(pairs, keys, a, b).select(*keys, rnd("p", 5).alias(p))
+    means = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("squared")).alias("d_squared"), r6(F.avg("absolute")).alias("d_absolute"))
+    intervals = stats.bootstrap_intervals(pairs, keys, "session", ["squared", "absolute"])
+    whole = means.join(intervals, keys).join(test("qa", "qb", "p_squared"), keys).join(test("ea", "eb", "p_absolute"), keys)
+    sides = [c for s in ("squared", "absolute") for c in (F.col(f"d_{s}"), r6(f"{s}_low").alias(f"{s}_low"), r6(f"{s}_high").alias(f"{s}_high"), F.col(f"p_{s}"))]
+    return whole.select(*keys, "n", *sides)

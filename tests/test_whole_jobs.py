@@ -104,3 +104,14 @@ def test_contrast_table_keeps_searches_and_granularities_apart(spark, tmp_path):
         d = np.mean([round((a + i / 100) ** 2, 6) - round((b + i / 100) ** 2, 6) for i in range(1, 25)])
         assert r["n"] == 24 and abs(r["d_squared"] - d) < 2e-6 and r["low"] - 1e-6 <= d <= r["high"] + 1e-6
         assert r["significant"] == (abs(a - b) > 0) and r["pairs"] == (24 if a != b else 0)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_paired_comparison_has_both_errors_with_intervals(spark):
+    rows = {n: {(r["encoder"], r["target"]): r for r in QUERIES[n](spark, DATA).collect()} for n in ("x8_both_errors", "x8_paired_comparison", "j3_paired", "x9_wilcoxon", "x7_bootstrap")}
+    got = rows.pop("x8_both_errors")
+    assert got and all(got.keys() == r.keys() for r in rows.values())
+    for k, r in got.items():
+        old, mean, test, interval = (rows[n][k] for n in ("x8_paired_comparison", "j3_paired", "x9_wilcoxon", "x7_bootstrap"))
+        assert (r["n"], r["d_squared"], r["p_squared"], r["d_absolute"], r["p_absolute"]) == (mean["n"], old["d_squared"], old["p"], mean["d_absolute"], test["p"])
+        assert (r["absolute_low"], r["absolute_high"]) == (interval["low"], interval["high"]) and r["squared_low"] - 1e-6 <= r["d_squared"] <= r["squared_high"] + 1e-6
