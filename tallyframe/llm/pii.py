@@ -443,8 +443,15 @@ def _redact(models, odds, given: list[str], shared, chunk: int = 500):
     return run
 
 
+#: Given names are collected; more than these are refused, not cut.
+MOST_NAMES = 100_000
+
+
 def _prepare(df: DataFrame, names: DataFrame, text: str):
-    given = sorted({r[0] for r in names.select("given_name").where(F.col("given_name").isNotNull()).limit(100_000).collect()})
+    rows = names.select("given_name").where(F.col("given_name").isNotNull()).distinct().limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} given names: they are held by every worker")
+    given = sorted(r[0] for r in rows)
     models, odds = models_for(given)
     found = case_evidence(df, text)
     return models, odds, given, df.sparkSession.sparkContext.broadcast((found.capital, found.small, found.initial))

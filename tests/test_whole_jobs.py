@@ -115,3 +115,15 @@ def test_paired_comparison_has_both_errors_with_intervals(spark):
         old, mean, test, interval = (rows[n][k] for n in ("x8_paired_comparison", "j3_paired", "x9_wilcoxon", "x7_bootstrap"))
         assert (r["n"], r["d_squared"], r["p_squared"], r["d_absolute"], r["p_absolute"]) == (mean["n"], old["d_squared"], old["p"], mean["d_absolute"], test["p"])
         assert (r["absolute_low"], r["absolute_high"]) == (interval["low"], interval["high"]) and r["squared_low"] - 1e-6 <= r["d_squared"] <= r["squared_high"] + 1e-6
+
+
+def test_given_names_are_refused_not_cut(spark, monkeypatch):
+    from tallyframe.llm import pii
+
+    monkeypatch.setattr(pii, "MOST_NAMES", 2)
+    monkeypatch.setattr(pii, "models_for", lambda given: (given, None))
+    monkeypatch.setattr(pii, "case_evidence", lambda df, text: type("E", (), {"capital": 0, "small": 0, "initial": 0}))
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "given_name string")
+    assert pii._prepare(names("a"), names("b", "a", None, "b"), "given_name")[2] == ["a", "b"]
+    with pytest.raises(ValueError):
+        pii._prepare(names("a"), names("a", "b", "c"), "given_name")
