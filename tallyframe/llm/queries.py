@@ -39,7 +39,9 @@ def p2_top_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p3_sentences(spark, sf).select("row_id", "sent_start", "sent_end")
+    from tallyframe.llm.sentences import split_sentences
+
+    return split_sentences(table(spark, sf, "transcription"), with_text=False).select("row_id", "sent_start", "sent_end")
 
 
 def p3_sentences(spark: SparkSession, sf: str) -> DataFrame:

@@ -84,3 +84,47 @@ def test_operator(spark):
     got = s.split_sentences(df)
     assert {tuple(r) for r in got.select("row_id", "sent_start", "sent_end").collect()} == {(1, 0, 5), (1, 6, 12)}
     assert s.split_sentences(df.where("false")).count() == 0
+
+
+def test_the_chain_decides(model, capsys):
+    """Share of places with one admissible tag, and of open ones where the path differs from the place's own score."""
+    rng = random.Random(77)
+    places = fixed = changed = 0
+    for _ in range(400):
+        for line in s.compose(rng)[0].split("\n"):
+            found = s.places(line)
+            for (_, _, tag, key), got in zip(found, model.decode(line, found)[0]):
+                places += 1
+                fixed += tag >= 0
+                changed += tag < 0 and (model.score(key) > 0) != bool(got)
+    with capsys.disabled():
+        print(f"\nplaces {places}, fixed {fixed / places:.3f}, decided by the chain against the place's own score {changed}")
+    assert fixed / places < 0.25 and changed > 20
+
+
+def test_quotations_at_any_distance(model):
+    for middle in (5, 200):
+        text = 'Mi tía gritó "' + "¡no corras! " * middle + '¡ya!" y siguió. Luego calló.'
+        assert len(model.spans(text)) == 2
+    assert [t for t in ("Fue así (creo. Luego volví. No sé.", "«Hola. Fui. Volví.") if len(model.spans(t)) != 3] == []
+
+
+def test_unpunctuated_scripts_on_held_out_sentences(capsys):
+    train, held = s.bare_pools((0, 0.7)), s.bare_pools((0.7, 1))
+    model, scores = s.Tagger(s._train_gaps(400, 4, 11, train)), {}
+    for lang, pool in held.items():
+        rng = random.Random(5)
+        hit = said = true = 0
+        for _ in range(300):
+            line, ends = s.stripped(rng, lang, pool)
+            got = model.decode_gaps(line)
+            hit, said, true = hit + len(set(got) & set(ends)), said + len(got), true + len(ends)
+        scores[lang] = (hit / max(1, said), hit / true)
+    with capsys.disabled():
+        print(f"\nunpunctuated, precision and recall of gaps: {scores}")
+    assert scores["ja"][0] > 0.9 and scores["ja"][1] > 0.6
+
+
+def test_unpunctuated_japanese(model):
+    assert [("今日は休みです明日は学校に行きます")[a:b] for a, b in model.spans("今日は休みです明日は学校に行きます")] == ["今日は休みです", "明日は学校に行きます"]
+    assert len(model.spans("真希望父母离婚的事快点过去")) == 1
