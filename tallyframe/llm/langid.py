@@ -2,16 +2,17 @@
 
 The network looks at windows of 64 bytes: an embedding of each byte, filters of widths 2 to 5, maximum over the window,
 softmax over 13 languages. It is trained here in numpy, on the seed texts and on a bounded sample of labelled rows (at
-most ``per_lang`` rows a label, by hash). Labels are often wrong, so the network first learns from the seeds, keeps the
-sampled sentences whose label it finds plausible, learns again, keeps those it agrees with, and learns once more.
+most ``per_lang`` rows a label, of 20 to 4000 characters, by hash). Labels are often wrong, so the network first learns from
+the seeds, keeps the sampled sentences whose label it finds plausible (or doubts only between sentences it is sure of),
+learns again, keeps those it agrees with, and learns once more.
 
 Each document is cut into sentences; a sentence's score is the mean over its windows; a chain over the sentences with a
 price for each change of language smooths them. Neighbouring sentences of one language form a segment. A language is in
 a document if all of it, or at least two neighbouring sentences, are in it; a shorter stretch counts to the text around
 it. Where no language has two neighbouring sentences, the document has the one most of its letters are in.
 
-In documents of one or two sentences the label adds a little weight to its language, so that it decides what the
-network is unsure of; it never outweighs a clear text.
+The label has no part in the decision; it only serves to choose training rows, and afterwards to tell the cases. Equal
+sentences are scored once a task (a bounded memory, emptied when full, that never changes a score).
 
 Before scoring, bracketed placeholders, tags, addresses, digits and short quotations inside a longer sentence go.
 
@@ -38,11 +39,10 @@ LANGS = list(SEEDS)
 THREE = {"spa": "es", "eng": "en", "por": "pt", "cat": "ca", "fra": "fr", "fre": "fr", "ita": "it", "deu": "de", "ger": "de", "rus": "ru", "zho": "zh", "chi": "zh", "cmn": "zh", "jpn": "ja", "ara": "ar", "hin": "hi", "tha": "th"}
 NO_LANGUAGE = ["", "und", "unknown", "unk", "none", "null", "nan", "na", "n/a", "mul", "mis", "zxx", "xx", "?"]
 
-LABEL_WEIGHT = 2.0
 WINDOW, WIDTHS = 64, (2, 3, 4, 5)
 _DROP = re.compile(r"\[[^\[\]\n]{1,40}\]|<[^<>\n]{1,60}>|https?://\S+|(?<!\S)\S{1,64}@\S+|#\w+|[\d_]+")
 _QUOTED = re.compile(r"\"[^\"\n]{1,60}\"|«[^»\n]{1,60}»|“[^”\n]{1,60}”|„[^“\n]{1,60}“|「[^」\n]{1,40}」")
-_SPACE = re.compile(r"\s+")
+_MAY_DROP = re.compile(r"[\[<@#_\d/]")
 
 
 def code_of(label: Column) -> Column:
@@ -53,12 +53,16 @@ def code_of(label: Column) -> Column:
 
 
 def clean(sentence: str) -> str:
-    text = _DROP.sub(" ", unicodedata.normalize("NFC", sentence).lower())
+    text = sentence.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    if _MAY_DROP.search(text):
+        text = _DROP.sub(" ", text)
     if any(c in text for c in '"«“„「'):
         rest = _QUOTED.sub(" ", text)
         if sum(map(str.isalpha, rest)) >= 12:
             text = rest
-    return _SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def windows(text: str) -> list[bytes]:
@@ -79,7 +83,7 @@ def matrix(parts: list[bytes]) -> np.ndarray:
 class ByteNet:
     """Embedding, multi-width filters, max pooling, softmax; Adam on cross entropy."""
 
-    def __init__(self, dim: int = 10, filters: int = 40, seed: int = 3) -> None:
+    def __init__(self, dim: int = 8, filters: int = 28, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         self.dim, self.filters = dim, filters
         self.p = {"E": rng.normal(0, 0.5, (256, dim)), "W": rng.normal(0, 0.1, (filters * len(WIDTHS), len(LANGS))), "c": np.zeros(len(LANGS))}
@@ -89,30 +93,38 @@ class ByteNet:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def _pool(self, x: np.ndarray):
+        """Maxima of each filter over a window and their places; places come last in memory, where looking for a maximum is cheapest."""
         e = self.p["E"][x]
-        pooled, at, cols = [], [], []
+        pooled, at = [], []
         for w in WIDTHS:
             n = WINDOW - w + 1
-            col = np.concatenate([e[:, k : k + n] for k in range(w)], axis=2)
-            out = col.reshape(-1, w * self.dim) @ self.p[f"K{w}"]
-            out = out.reshape(len(x), n, self.filters)
+            col = np.concatenate([e[:, k : k + n] for k in range(w)], axis=2).reshape(-1, w * self.dim)
+            out = (self.p[f"K{w}"].T @ col.T).reshape(-1, n)
             where = out.argmax(1)
-            pooled.append(np.take_along_axis(out, where[:, None], 1)[:, 0] + self.p[f"b{w}"])
-            at.append(where)
-            cols.append(col)
-        return np.concatenate(pooled, 1), at, cols
-
-    def log_probs(self, x: np.ndarray, batch: int = 512) -> np.ndarray:
-        """Log probabilities of windows; only the maxima are needed here, not their places."""
-        out = []
+            pooled.append(out[np.arange(len(out)), where].reshape(self.filters, -1).T + self.p[f"b{w}"])
+            at.append(where.reshape(self.filters, -1).T)
+        return np.concatenate(pooled, 1), at
+
+    def merged(self) -> np.ndarray:
+        """The filters of all widths side by side, as one matrix over as many bytes as the widest sees."""
+        widest = max(WIDTHS)
+        out = np.zeros((widest * self.dim, self.filters * len(WIDTHS)), np.float32)
+        for k, w in enumerate(WIDTHS):
+            out[: w * self.dim, k * self.filters : (k + 1) * self.filters] = self.p[f"K{w}"]
+        return out
+
+    def log_probs(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+        """Log probabilities of windows: one product for the filters of all widths, then each width's maximum over its own places."""
+        kernel, bias, widest, f = self.merged(), np.concatenate([self.p[f"b{w}"] for w in WIDTHS]), max(WIDTHS), self.filters
+        places, out = WINDOW - min(WIDTHS) + 1, []
         for s in range(0, len(x), batch):
-            e = self.p["E"][x[s : s + batch]]
-            pooled = []
-            for w in WIDTHS:
-                n = WINDOW - w + 1
-                col = np.concatenate([e[:, k : k + n] for k in range(w)], axis=2)
-                pooled.append((col.reshape(-1, w * self.dim) @ self.p[f"K{w}"]).reshape(len(e), n, self.filters).max(1) + self.p[f"b{w}"])
-            z = np.maximum(np.concatenate(pooled, 1), 0) @ self.p["W"] + self.p["c"]
+            rows = x[s : s + batch]
+            e = np.zeros((len(rows), places + widest - 1, self.dim), np.float32)
+            e[:, :WINDOW] = self.p["E"][rows]
+            seen = np.lib.stride_tricks.as_strided(e, (len(rows), places, widest * self.dim), (e.strides[0], e.strides[1], e.strides[2]))
+            got = (seen.reshape(-1, widest * self.dim) @ kernel).reshape(len(rows), places, -1)
+            pooled = np.concatenate([got[:, : WINDOW - w + 1, k * f : (k + 1) * f].max(1) for k, w in enumerate(WIDTHS)], 1) + bias
+            z = np.maximum(pooled, 0) @ self.p["W"] + self.p["c"]
             z -= z.max(1, keepdims=True)
             out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))
         return np.concatenate(out) if out else np.zeros((0, len(LANGS)), np.float32)
@@ -126,7 +138,7 @@ class ByteNet:
             for s in range(0, len(order), batch):
                 pick = order[s : s + batch]
                 xb = x[pick]
-                pooled, at, cols = self._pool(xb)
+                pooled, at = self._pool(xb)
                 h = np.maximum(pooled, 0)
                 keep = (rng.random(h.shape) > 0.2).astype(np.float32) / 0.8
                 z = (h * keep) @ self.p["W"] + self.p["c"]
@@ -135,16 +147,17 @@ class ByteNet:
                 q /= q.sum(1, keepdims=True)
                 q[np.arange(len(pick)), y[pick]] -= 1
                 q /= len(pick)
-                g = {"W": (h * keep).T @ q, "c": q.sum(0), "E": np.zeros_like(self.p["E"])}
+                g = {"W": (h * keep).T @ q, "c": q.sum(0), "E": np.zeros(self.p["E"].size)}
+                columns = np.arange(self.dim)
                 dh = (q @ self.p["W"].T) * keep * (pooled > 0)
                 for k, w in enumerate(WIDTHS):
                     d = dh[:, k * self.filters : (k + 1) * self.filters]
-                    rows = np.take_along_axis(cols[k], at[k][:, :, None], 1)
-                    g[f"K{w}"] = np.einsum("bf,bfc->cf", d, rows)
+                    where = xb[np.arange(len(pick))[:, None, None], at[k][:, :, None] + np.arange(w)].astype(np.int64)
+                    g[f"K{w}"] = np.einsum("bf,bfc->cf", d, self.p["E"][where].reshape(len(pick), self.filters, -1))
                     g[f"b{w}"] = d.sum(0)
                     back = (d[:, :, None] * self.p[f"K{w}"].T[None]).reshape(len(pick), self.filters, w, self.dim)
-                    where = xb[np.arange(len(pick))[:, None, None], at[k][:, :, None] + np.arange(w)]
-                    np.add.at(g["E"], where.ravel(), back.reshape(-1, self.dim))
+                    g["E"] += np.bincount((where.reshape(-1, 1) * self.dim + columns).ravel(), back.ravel(), g["E"].size)
+                g["E"] = g["E"].reshape(self.p["E"].shape).astype(np.float32)
                 step += 1
                 for name, a in self.p.items():
                     m[name] = 0.9 * m[name] + 0.1 * g[name]
@@ -172,21 +185,46 @@ def _balanced(x: np.ndarray, y: np.ndarray, each: int, rng: np.random.Generator)
     return x[pick], y[pick]
 
 
-def train(labelled: list[tuple[str, str]], model: Tagger, most_windows: int = 12_000, seed: int = 17) -> ByteNet:
-    """The network from seed texts and labelled texts (language, text); at most ``most_windows`` windows of the latter."""
+def train(labelled: list[tuple[str, str]], model: Tagger, most_windows: int = 60_000, seed: int = 17) -> ByteNet:
+    """The network from seed texts and labelled texts (language, text); at most ``most_windows`` windows of the latter.
+
+    A labelled sentence is kept where the network so far finds its label plausible, or where it doubts it between
+    sentences of the same text that it is sure of.
+    """
     rng = np.random.default_rng(seed)
     sx, sy = _examples(list(SEEDS.items()), stride=13)
     net = ByteNet()
-    net.fit(*_balanced(sx, sy, 120, rng), 14)
-    if not labelled:
+    net.fit(*_balanced(sx, sy, 300, rng), 12)
+    parts, owner, said, ends = [], [], [], []
+    for k in rng.permutation(len(labelled)):
+        lang, text = labelled[k]
+        if len(parts) >= most_windows:
+            break
+        for a, b in model.spans(text):
+            mine = [w for w in windows(clean(text[a:b])) if len(w) >= 12]
+            if mine:
+                parts += mine
+                owner += [len(said)] * len(mine)
+                said.append(LANGS.index(lang))
+        ends.append(len(said))
+    if not parts:
         return net
-    x, y = _examples([(lang, text[a:b]) for lang, text in labelled for a, b in model.spans(text)])
-    pick = rng.permutation(len(x))[:most_windows]
-    x, y = x[pick], y[pick]
-    for ratio, each, epochs in ((0.5, 250, 4), (0.5, 350, 4), (1.0, 500, 6)):
-        score = np.exp(net.log_probs(x))
-        sure = score[np.arange(len(x)), y] >= ratio * score.max(1)
-        bx, by = _balanced(x[sure], y[sure], each, rng)
+    x, owner, said = matrix(parts), np.array(owner), np.array(said)
+    each_has = np.bincount(owner, minlength=len(said))[:, None]
+    first = np.zeros(len(said) + 1, bool)
+    first[[0, *ends]] = True
+    for ratio, each, epochs in ((0.5, 500, 2), (0.5, 800, 2), (1.0, 1200, 4)):
+        score = np.zeros((len(said), len(LANGS)))
+        np.add.at(score, owner, net.log_probs(x))
+        score = np.exp(score / each_has)
+        own = score[np.arange(len(said)), said] / score.max(1)
+        sure = own >= 1.0
+        beside = np.ones(len(said), bool)
+        beside[1:] &= first[1:-1] | sure[:-1]
+        beside[:-1] &= first[1:-1] | sure[1:]
+        beside &= ~(first[:-1] & first[1:])
+        keep = ((own >= ratio) | beside & (own >= 0.02))[owner]
+        bx, by = _balanced(x[keep], said[owner][keep], each, rng)
         tx, ty = _balanced(sx, sy, 80, rng)
         net.fit(np.concatenate([bx, tx]), np.concatenate([by, ty]), epochs)
     return net
@@ -195,7 +233,7 @@ def train(labelled: list[tuple[str, str]], model: Tagger, most_windows: int = 12
 _TRAINED: dict[tuple, ByteNet] = {}
 
 
-def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", ident: str = "doc_id", per_lang: int = 150) -> ByteNet:
+def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", ident: str = "doc_id", per_lang: int = 500) -> ByteNet:
     """Train on the seeds and on at most ``per_lang`` labelled rows of each language, chosen by a hash of text and id."""
     order = Window.partitionBy("code").orderBy(F.xxhash64("id", "text"), "id")
     rows = docs.select(code_of(F.col(label)).alias("code"), F.col(ident).alias("id"), F.col(text).alias("text")).where(F.col("code").isin(LANGS) & F.col("text").isNotNull() & (F.char_length("text").between(20, 4000)))
@@ -209,8 +247,9 @@ def fit_on(docs: DataFrame, text: str = "text", label: str = "lang", ident: str
 
 def smooth(scores: np.ndarray, change: float = 4.0) -> np.ndarray:
     """Viterbi over the sentences of a document; a change of language costs ``change``."""
-    if len(scores) == 1:
-        return scores.argmax(1)
+    alone = scores.argmax(1)
+    if (alone == alone[0]).all():
+        return alone
     best, back = scores[0].copy(), []
     for row in scores[1:]:
         top = int(best.argmax())
@@ -223,93 +262,93 @@ def smooth(scores: np.ndarray, change: float = 4.0) -> np.ndarray:
     return np.array(path[::-1])
 
 
+def long_runs(path: np.ndarray, letters: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first sentence, end, language) of the runs of a path; a run of one sentence joins the long run before it, the first ones the long run after them.
+
+    One pass: short runs never split a long one, as equal neighbours are one run. Where there is no long run, all sentences have the language
+    most of the letters are in.
+    """
+    cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+    runs = [(a, b, int(path[a])) for a, b in zip(cuts, cuts[1:])]
+    if len(runs) == 1:
+        return runs
+    kept = [r for r in runs if r[1] - r[0] >= 2]
+    if not kept:
+        return [(0, len(path), int(np.bincount(path, weights=letters, minlength=len(LANGS)).argmax()))]
+    out: list[tuple[int, int, int]] = []
+    for a, b, lang in kept:
+        if out and out[-1][2] == lang:
+            out[-1] = (out[-1][0], b, lang)
+        else:
+            out.append((a if out else 0, b, lang))
+    edges = [a for a, _, _ in out] + [len(path)]
+    return [(a, b, lang) for (a, _, lang), b in zip(out, edges[1:])]
+
+
 def segment(spans: list[tuple[int, int]], letters: np.ndarray, scores: np.ndarray) -> list[list]:
-    """[start, end, language, letters, sentences, confidence] of each run; runs of one sentence join their surroundings."""
+    """[start, end, language, letters, sentences, confidence] of each stretch in one language."""
     path = smooth(np.maximum(scores, -8.0) * np.minimum(1.0, letters / 10.0)[:, None])
-    runs: list[list[int]] = []
-    for k, lang in enumerate(path):
-        if runs and runs[-1][2] == lang:
-            runs[-1][1] = k + 1
-        else:
-            runs.append([k, k + 1, int(lang)])
-    if len(runs) > 1:
-        if all(b - a < 2 for a, b, _ in runs):
-            weight = np.bincount(path, weights=letters, minlength=len(LANGS))
-            runs = [[0, len(path), int(weight.argmax())]]
-        else:
-            k = 0
-            while k < len(runs):
-                a, b, _ = runs[k]
-                if b - a < 2 and len(runs) > 1:
-                    into = k - 1 if k and (k + 1 == len(runs) or runs[k - 1][1] - runs[k - 1][0] >= 2) else k + 1
-                    runs[into][0], runs[into][1] = min(runs[into][0], a), max(runs[into][1], b)
-                    del runs[k]
-                    if 0 < into <= len(runs) - 1 and runs[into - 1][2] == runs[into][2]:
-                        runs[into - 1][1] = runs[into][1]
-                        del runs[into]
-                    k = 0
-                else:
-                    k += 1
-            merged = [runs[0]]
-            for r in runs[1:]:
-                if r[2] == merged[-1][2]:
-                    merged[-1][1] = r[1]
-                else:
-                    merged.append(r)
-            runs = merged
     out = []
-    for a, b, lang in runs:
+    for a, b, lang in long_runs(path, letters):
         weight = letters[a:b]
         sure = float((np.exp(scores[a:b, lang]) * weight).sum() / max(weight.sum(), 1e-9))
         out.append([spans[a][0], spans[b - 1][1], lang, int(weight.sum()), b - a, round(sure, 4)])
     return out
 
 
-def _segments(weights: dict[str, float], net: ByteNet):
+#: Distinct sentences a task remembers the scores of before it forgets them all.
+REMEMBERED = 100_000
+
+
+class Scorer:
+    """Number of letters and mean log probabilities of sentences; equal ones are scored once."""
+
+    def __init__(self, net: ByteNet) -> None:
+        self.net, self.known = net, {}
+
+    def learn(self, sentences: set[str]) -> None:
+        new = [s for s in sentences if s not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list(sentences)
+        parts, owner, letters = [], [], []
+        for k, raw in enumerate(new):
+            plain = clean(raw)
+            n = sum(map(str.isalpha, plain))
+            letters.append(n)
+            if n:
+                mine = windows(plain)
+                parts += mine
+                owner += [k] * len(mine)
+        sums = np.zeros((len(new), len(LANGS)))
+        if parts:
+            np.add.at(sums, owner, self.net.log_probs(matrix(parts)))
+            sums /= np.maximum(1, np.bincount(owner, minlength=len(new)))[:, None]
+        self.known.update(zip(new, zip(letters, sums)))
+
+
+def _segments(weights: dict[str, float], net: ByteNet, chunk: int = 500):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Tagger(weights)
-        for batch in batches:
-            docs, parts, owner = [], [], []
-            count = 0
-            for ident, label, text in zip(batch["ident"], batch["label"], batch["text"]):
-                spans, letters = [], []
-                for a, b in model.spans(text):
-                    plain = clean(text[a:b])
-                    n = sum(map(str.isalpha, plain))
-                    if n:
-                        spans.append((a, b))
-                        letters.append(n)
-                        mine = windows(plain)
-                        parts += mine
-                        owner += [count] * len(mine)
-                        count += 1
-                docs.append((ident, label, spans, np.array(letters, dtype=float)))
-            if not count:
-                continue
-            logp = net.log_probs(matrix(parts))
-            sums = np.zeros((count, len(LANGS)))
-            np.add.at(sums, np.array(owner), logp)
-            sums /= np.bincount(owner, minlength=count)[:, None]
-            out, at = [], 0
-            for ident, label, spans, letters in docs:
-                if not spans:
-                    continue
-                mine = sums[at : at + len(spans)]
-                if len(spans) <= 2 and label in LANGS:
-                    # One or two sentences: the label, right nine times in ten, settles what the net is unsure of.
-                    mine = mine.copy()
-                    mine[:, LANGS.index(label)] += LABEL_WEIGHT
-                    mine -= np.log(np.exp(mine).sum(1, keepdims=True))
-                found = segment(spans, letters, mine)
-                at += len(spans)
-                total: dict[int, int] = {}
-                for r in found:
-                    total[r[2]] = total.get(r[2], 0) + r[3]
-                main = max(total, key=lambda k: (total[k], -k))
-                for k, (a, b, lang, n, sents, sure) in enumerate(found):
-                    out.append((ident, label, k, a, b, LANGS[lang], sure, n, sents, LANGS[main], len(total)))
-            if out:
-                yield pd.DataFrame(out, columns=["ident", "label", "segment", "char_start", "char_end", "seg_lang", "confidence", "letters", "sentences", "doc_lang", "doc_langs"])
+        model, scorer = Tagger(weights), Scorer(net)
+        for whole in batches:
+            for s in range(0, len(whole), chunk):
+                batch = whole.iloc[s : s + chunk]
+                docs = [(ident, label, text, model.spans(text)) for ident, label, text in zip(batch["ident"], batch["label"], batch["text"])]
+                scorer.learn({text[a:b] for _, _, text, spans in docs for a, b in spans})
+                out = []
+                for ident, label, text, every in docs:
+                    known = [scorer.known[text[a:b]] for a, b in every]
+                    spans = [x for x, (n, _) in zip(every, known) if n]
+                    if not spans:
+                        continue
+                    found = segment(spans, np.array([n for n, _ in known if n], dtype=float), np.stack([v for n, v in known if n]))
+                    total: dict[int, int] = {}
+                    for r in found:
+                        total[r[2]] = total.get(r[2], 0) + r[3]
+                    main = max(total, key=lambda k: (total[k], -k))
+                    for k, (a, b, lang, n, sents, sure) in enumerate(found):
+                        out.append((ident, label, k, a, b, LANGS[lang], sure, n, sents, LANGS[main], len(total)))
+                if out:
+                    yield pd.DataFrame(out, columns=["ident", "label", "segment", "char_start", "char_end", "seg_lang", "confidence", "letters", "sentences", "doc_lang", "doc_langs"])
 
     return run
 
