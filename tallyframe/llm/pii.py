@@ -1,13 +1,15 @@
 """Personal information in free text: found by candidate gradient boosting, replaced by typed placeholders.
 
-High-recall generators propose spans that may overlap: e-mail addresses (also written out), runs of digits and of number
-words, street words with what follows, runs of capitalised or name-like words. Boosted trees, one set for each kind,
-score them by format and context; calibrated thresholds decide; of overlapping spans the surest stays, with e-mail
-addresses and street addresses before the names and numbers inside them. The trees are trained here, on sentences composed from
-the templates in ``pii_seed`` (about two seconds, the same every time).
+High-recall generators propose spans that may overlap: whatever stands around an at sign or a word for it, runs of digits
+and of number words, every street word with what follows, runs of capitalised or name-like words. Boosted trees, one set
+for each kind, score them by format and context; calibrated thresholds decide; of overlapping spans the surest stays, with
+e-mail addresses and street addresses before the names and numbers inside them. The trees are trained here, on sentences
+composed from the templates in ``pii_seed`` (the same every time; a quarter of a minute on one core).
 
-Case as evidence: how often a word is written with a capital inside sentences, counted over the whole corpus in a fixed
-number of hash cells (2**19, so its size never grows), tells names from words also in texts without capitals.
+Case as evidence: how often a word is written with a capital inside sentences, at their start, and in small letters,
+counted over the whole corpus, tells names from words also in texts without capitals. Of the counts those of words are
+kept that make up at least ``LEAST_SHARE`` of all words; there can't be more than 1 / ``LEAST_SHARE`` = 500,000 of those, at
+any size of the corpus. A rarer word counts as unseen.
 
 Defined results: NULL and blank texts have no mention; placeholders are no mentions; everything outside a mention stays
 as it is, byte for byte; repeated rows give equal rows; texts are searched whole.
@@ -18,10 +20,11 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-import zlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,20 +33,26 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import pii_seed as seed
 from tallyframe.llm.boosting import Boosted
+from tallyframe.session import materialise
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
-CELLS = 2**19
-HALF = CELLS // 2
+LEAST_SHARE = 2e-6
 
 _L = r"[^\W\d_]"
 _PLACE = re.compile(r"\[[^\[\]\n@]{1,40}\]")
 _AT, _DOT = r"(?:arroba|\[at\]|\(at\)|\bat\b|chiocciola|arobase|klammeraffe)", r"(?:punto|ponto|point|punkt|\[dot\]|\(dot\)|\bdot\b)"
-# A local part starts at the start of its token and has at most 64 characters, so a long token costs one look.
+# A local part starts at the start of its token and has at most 64 characters (RFC 5321), so a long token costs one look.
 _EMAIL = re.compile(
     rf"(?<![\w.+-])(?:[\w.+-]{{1,64}} ?@ ?[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,4}}\.[A-Za-z]{{2,24}}|[\w.+-]{{1,64}}(?: {_DOT} [\w+-]{{1,64}}){{0,3}} {_AT} [\w-]{{1,63}}(?: ?{_DOT} ?[\w-]{{1,63}}|\.[\w-]{{1,63}}){{1,3}})", re.IGNORECASE | re.ASCII
 )
+# Looser: handles, at signs between words, words for the sign without a point after them.
+_NEAR_AT = re.compile(r"(?<![\w.+-])[\w.+-]{0,64} ?@ ?[\w-]{1,63}(?:\.[\w-]{1,63}){0,5}", re.IGNORECASE | re.ASCII)
+_SAID_AT = re.compile(rf"(?<![\w.+-])[\w.+-]{{1,64}} (?:arroba|\[at\]|\(at\)|chiocciola|arobase|klammeraffe) [\w-]{{1,63}}", re.IGNORECASE | re.ASCII)
+_AT_WORDS = ("arroba", "[at]", "(at)", " at ", "chiocciola", "arobase", "klammeraffe")
 _DIGITS = re.compile(r"(?<![A-Za-zÀ-ɏ0-9_$€£.,/:#-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\) ?)?(?:[A-Za-z]{1,3}-?)?\d+(?:[ .-]{1}\d+){0,6}(?: ?- ?[A-Za-z](?![\w])|[A-Za-z](?!\w))?")
+_DIGIT_RUN = re.compile(r"\d(?:[ .()-]{0,2}\d){5,}")
+_ANY_DIGIT = re.compile(r"\d")
 _NUMBER_WORD = "|".join(sorted(seed.DIGIT_WORDS, key=len, reverse=True))
 _SPOKEN = re.compile(rf"(?<!\w)(?:{_NUMBER_WORD})(?:[ ,-]+(?:{_NUMBER_WORD})){{5,}}(?!\w)", re.IGNORECASE)
 _STREET = "|".join(sorted(map(re.escape, seed.STREETS), key=len, reverse=True))
@@ -56,10 +65,14 @@ _ADDRESS = re.compile(
 )
 _HOUSE_FIRST = re.compile(rf"(?<![\w.,#-])\d{{1,5}}[A-Za-z]?,? (?:(?:{'|'.join(seed.FRENCH_STREETS)}) (?:(?:de|du|des|la|le|les) )*{_L}[\w'-]+|(?:{_L}[\w'-]+ ){{1,3}}(?:{'|'.join(seed.ENGLISH_STREETS)})\b\.?){_UNIT}", re.IGNORECASE)
 _COMPOUND = re.compile(rf"(?<!\w){_L}+(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer) \d{{1,4}}[a-z]?\b", re.IGNORECASE)
-_COUNTED = re.compile(rf"\d|\b(?:{_NUMBER_WORD})\b", re.IGNORECASE)
+_COMPOUND_END = re.compile(r"(?:straße|strasse|str|gasse|weg|platz|allee|ufer)\Z", re.IGNORECASE)
+_HOUSE_WORDS = frozenset({*seed.FRENCH_STREETS, *seed.ENGLISH_STREETS})
+_SIGN = re.compile("[\u0300-\u036f]")
 _TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+(?:['’-](?:[^\W\d_][\u0300-\u036f]*)+)*")
+_PLAIN_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ELIDED = re.compile(r"(?:[jlmntsc]|qu)['’]", re.IGNORECASE)
 _END = re.compile(r"[.!?…\n¿¡。！？:«\"“(]")
+_GERMAN_NAMING = ("heiße", "heisse", "heißt", "namens")
 
 
 @lru_cache(maxsize=200_000)
@@ -68,69 +81,42 @@ def fold(word: str) -> str:
     return flat if flat.isascii() else "".join(c for c in flat if not unicodedata.combining(c))
 
 
-def cells(word: str) -> tuple[int, int]:
-    """Two cells, one in each half; a count is the smaller of the two, so that a clash in one does no harm."""
-    raw = fold(word).encode()
-    return zlib.crc32(raw) % HALF, HALF + zlib.crc32(raw[::-1] + b"|") % HALF
+class Evidence:
+    """Counts of a folded word: with a capital inside a sentence, in small letters, with a capital at a start."""
 
+    def __init__(self, counts: dict[str, tuple[int, int, int]] | None = None) -> None:
+        self.counts = counts or {}
 
-_CELLS: dict[str, tuple[int, int]] = {}
+    def of(self, folded: str) -> tuple[float, float, float]:
+        """Share of capitals inside sentences (0.5: unseen), count, and how much more often the word opens sentences than it has a capital inside them (near 1: no name)."""
+        a, b, c = self.counts.get(folded, (0, 0, 0))
+        return (a + 0.5) / (a + b + 1.0), float(a + b), c / (a + c + 2.0) if c > 2 * a else 0.0
 
 
-class Evidence:
-    """Counts by cell: words with a capital inside a sentence, with a capital at its start, and in small letters."""
-
-    def __init__(self, capital: np.ndarray | None = None, small: np.ndarray | None = None, initial: np.ndarray | None = None) -> None:
-        self.capital, self.small, self.initial = (np.zeros(CELLS, dtype=np.int32) if a is None else a for a in (capital, small, initial))
-        self.memo: dict[str, tuple[float, float]] = {}
-
-    def opener(self, word: str) -> float:
-        """How much more often the word opens sentences than it has a capital inside them: near 1 for words that are no names."""
-        k = cells(word)
-        a, b = int(min(self.capital[k[0]], self.capital[k[1]])), int(min(self.initial[k[0]], self.initial[k[1]]))
-        return b / (a + b + 2.0) if b > 2 * a else 0.0
-
-    def of(self, word: str) -> tuple[float, float]:
-        """Share of capitals (0.5: unseen) and count of the word."""
-        if word not in self.memo:
-            if len(self.memo) > 300_000:
-                self.memo.clear()
-            k = cells(word)
-            a, b = int(min(self.capital[k[0]], self.capital[k[1]])), int(min(self.small[k[0]], self.small[k[1]]))
-            self.memo[word] = ((a + 0.5) / (a + b + 1.0), float(a + b))
-        return self.memo[word]
-
-
-def _without_mail(text: str) -> str:
-    low = text.lower()
-    return _EMAIL.sub(" ", text) if "@" in text or "arroba" in low or "[at]" in low else text
-
-
-def count_case(text: str, capital: dict[int, int], small: dict[int, int], initial: dict[int, int]) -> None:
-    """Add a text's words to the counts; texts without both cases say nothing."""
-    plain = _without_mail(_PLACE.sub(" ", text) if "[" in text else text)
-    if plain.islower() or plain.isupper():
-        return
-    before = 0
-    for m in _TOKEN.finditer(plain):
-        w = m.group()
-        counts = None
-        if w[0].islower():
-            counts = small
-        elif w[0].isupper() and (len(w) == 1 or not w.isupper()):
-            gap = plain[before : m.start()]
-            if before and not _END.search(gap):
-                counts = capital
-            else:
-                counts = initial
-        if counts is not None:
-            if w not in _CELLS:
-                if len(_CELLS) > 300_000:
-                    _CELLS.clear()
-                _CELLS[w] = cells(w)
-            for k in _CELLS[w]:
-                counts[k] += 1
-        before = m.end()
+#: Capital letters of Latin, Greek and Cyrillic and of the other scripts that have them.
+_UPPER = "".join(c for c in map(chr, range(0x41, 0x1F00)) if c.isupper() or c.istitle())
+_CAPITAL = re.compile(rf"(?:([.!?…\n¿¡。！？:«\"“(])[^\w]*|(?<![^\W\d_])(?<!['’-]))([{_UPPER}][^\W\d_]*(?:['’-][^\W\d_]+)*)")
+
+
+def count_case(texts: list[str], into: dict[str, list[int]]) -> None:
+    """Add the words of texts to the counts; texts without both cases say nothing, placeholders and e-mail addresses are no words.
+
+    All words are counted at once; only those with a capital are looked at in their place, and taken off again.
+    """
+    kept = []
+    for text in texts:
+        plain = _PLACE.sub(" ", text) if "[" in text else text
+        if "@" in plain or "arroba" in plain or "[at]" in plain:
+            plain = _EMAIL.sub(" ", plain)
+        if not (plain.islower() or plain.isupper()):
+            kept.append(unicodedata.normalize("NFC", plain) if _SIGN.search(plain) else plain)
+    whole = "\n".join(["", *kept])
+    for word, n in Counter(_PLAIN_TOKEN.findall(whole)).items():
+        if word[0].islower():
+            into[fold(word)][1] += n
+    for (start, word), n in Counter(_CAPITAL.findall(whole)).items():
+        if len(word) == 1 or not word.isupper():
+            into[fold(word)][2 if start else 0] += n
 
 
 class Lexicon:
@@ -144,10 +130,24 @@ GERMAN = frozenset(
 )
 
 
-def _near(text: str, a: int, b: int, reach: int = 34) -> tuple[list[str], list[str]]:
-    left = [fold(w) for w in _TOKEN.findall(text[max(0, a - reach) : a])]
-    right = [fold(w) for w in _TOKEN.findall(text[b : b + reach])]
-    return left, right
+class Word(NamedTuple):
+    """What is known of a word whatever its place."""
+
+    folded: str
+    given: bool
+    common: bool
+    title: bool
+    capital: bool
+    all_capitals: bool
+    letters: bool
+    share: float
+    count: float
+    opener: float
+    german: bool
+    calendar: bool
+    street: bool
+    digit: bool
+    house: bool
 
 
 def _key(words: list[str], keys: frozenset[str], last: int) -> float:
@@ -158,127 +158,204 @@ def _key(words: list[str], keys: frozenset[str], last: int) -> float:
     return 0.0
 
 
+class Prepared:
+    """A text with its words: their places and what is known of them."""
+
+    __slots__ = ("ends", "regime", "starts", "text", "words")
+
+    def __init__(self, text: str, regime: str, finder: Finder) -> None:
+        self.text, self.regime = text, regime
+        pattern = _TOKEN if _SIGN.search(text) else _PLAIN_TOKEN
+        self.starts, self.ends, self.words = [], [], []
+        known = finder.words
+        for m in pattern.finditer(text):
+            w = m.group()
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            self.words.append(known.get(w) or finder.word(w))
+
+    def around(self, a: int, b: int, before: int = 6, after: int = 4) -> tuple[list[str], list[str]]:
+        """Folded words before and after a span."""
+        i, j = bisect_left(self.ends, a + 1), bisect_left(self.starts, b)
+        return [w.folded for w in self.words[max(0, i - before) : i]], [w.folded for w in self.words[j : j + after]]
+
+    def opens(self, k: int) -> bool:
+        """Whether word ``k`` stands at the start of a sentence."""
+        return k == 0 or bool(_END.search(self.text, self.ends[k - 1], self.starts[k]))
+
+    def joined(self, k: int) -> bool:
+        """Whether one blank stands between word ``k`` and the next."""
+        return k + 1 < len(self.words) and self.starts[k + 1] - self.ends[k] == 1 and self.text[self.ends[k]] == " "
+
+
 class Finder:
     """Generators, features and models."""
 
     def __init__(self, models: dict[str, Boosted], odds: dict[str, dict[str, float]], lexicon: Lexicon, evidence: Evidence) -> None:
         self.models, self.odds, self.lexicon, self.evidence = models, odds, lexicon, evidence
+        self.words: dict[str, Word] = {}
+
+    def word(self, w: str) -> Word:
+        if len(self.words) > 300_000:
+            self.words.clear()
+        f = fold(w)
+        share, count, opener = self.evidence.of(f)
+        named = len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w)
+        made = self.words[w] = Word(
+            f, f in self.lexicon.given, f in seed.COMMON, f in seed.TITLES, w[0].isupper(), w.isupper(), named, share, count, opener, w.lower() in GERMAN, f in seed.CALENDAR, w.lower() in seed.STREETS, w.lower() in seed.DIGIT_WORDS,
+            w.lower() in _HOUSE_WORDS or bool(_COMPOUND_END.search(w)),
+        )
+        return made
 
     # Generators ------------------------------------------------------------------------------------------------
 
-    def spans(self, text: str, regime: str) -> list[tuple[str, int, int]]:
-        out = []
-        low = text.lower()
-        if "@" in text or "arroba" in low or "[at]" in low or "(at)" in low or " at " in low or "chiocciola" in low or "arobase" in low:
-            for m in _EMAIL.finditer(text):
-                a = m.start()
-                while a < m.end() and text[a] in ".+-":
-                    a += 1
-                out.append(("email", a, m.end()))
-        for m in _DIGITS.finditer(text):
-            n = sum(c.isdigit() for c in m.group())
-            if n >= 6:
+    def spans(self, t: Prepared) -> list[tuple[str, int, int]]:
+        out, text = [], t.text
+        low = text.lower() if "@" not in text else ""
+        if "@" in text or any(w in low for w in _AT_WORDS):
+            for pattern in (_EMAIL, _NEAR_AT, _SAID_AT):
+                for m in pattern.finditer(text):
+                    a = m.start()
+                    while a < m.end() and text[a] in ".+- ":
+                        a += 1
+                    if a < m.end():
+                        out.append(("email", a, m.end()))
+        digits = bool(_ANY_DIGIT.search(text))
+        if digits:
+            at = 0
+            for run in _DIGIT_RUN.finditer(text):
+                if run.start() < at:
+                    continue
+                for m in _DIGITS.finditer(text, max(at, run.start() - 12)):
+                    if m.start() >= run.end():
+                        break
+                    at = m.end()
+                    if sum(map(str.isdigit, m.group())) >= 6:
+                        out += [("phone", *m.span()), ("id_number", *m.span())]
+        run = street = house = 0
+        spoken = False
+        for w in t.words:
+            run = run + 1 if w.digit else 0
+            spoken = spoken or run >= 6
+            street = street or w.street
+            house = house or w.house
+        if spoken:
+            for m in _SPOKEN.finditer(text):
                 out += [("phone", *m.span()), ("id_number", *m.span())]
-        for m in _SPOKEN.finditer(text):
-            out += [("phone", *m.span()), ("id_number", *m.span())]
-        for pattern in (_ADDRESS, _HOUSE_FIRST, _COMPOUND):
-            out += [("address", *m.span()) for m in pattern.finditer(text) if _COUNTED.search(m.group())]
-        out += self.names(text, regime)
+        if street:
+            at = 0
+            for k, w in enumerate(t.words):
+                if w.street and t.starts[k] >= at and (m := _ADDRESS.match(text, t.starts[k])):
+                    out.append(("address", *m.span()))
+                    at = m.end()
+        if house and digits:
+            for pattern in (_HOUSE_FIRST, _COMPOUND):
+                out += [("address", *m.span()) for m in pattern.finditer(text)]
+        out += [("name", t.starts[i], t.ends[j - 1]) for i, j in self.names(t)]
         return out
 
-    def names(self, text: str, regime: str) -> list[tuple[str, int, int]]:
-        tokens, given, out = list(_TOKEN.finditer(text)), self.lexicon.given, []
-        inside = {t for m in _PLACE.finditer(text) for t in range(m.start(), m.end())} if "[" in text else ()
-        like = bytearray(len(tokens))
-        for k, m in enumerate(tokens):
-            if regime == "mixed" and not text[m.start()].isupper():
+    def names(self, t: Prepared) -> list[tuple[int, int]]:
+        """Runs of words that may be names, as (first word, end), and all their stretches of up to four words."""
+        words, mixed, out = t.words, t.regime == "mixed", []
+        taken = [(m.start(), m.end()) for m in _PLACE.finditer(t.text)] if "[" in t.text else []
+        where = [a for a, _ in taken]
+        like = bytearray(len(words))
+        some = False
+        for k, w in enumerate(words):
+            if mixed and not w.capital or w.common and not w.given:
                 continue
-            w = m.group()
-            ok = False
-            if m.start() in inside:
-                ok = False
-            elif len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w) and (fold(w) in given or fold(w) not in seed.COMMON and fold(w) not in seed.TITLES):
-                if regime == "mixed":
-                    if w[0].isupper() and (not w.isupper() or len(w) > 3):
-                        first = k == 0 or bool(_END.search(text, tokens[k - 1].end(), m.start()))
-                        share, count = self.evidence.of(w)
-                        ok = not first or fold(w) in given or (share > 0.2 or count < 0.5) and self.evidence.opener(w) < 0.5
+            if w.letters and not w.title:
+                if w.given:
+                    ok = not mixed or not w.all_capitals or len(w.folded) > 3
+                elif mixed:
+                    ok = (not w.all_capitals or len(w.folded) > 3) and (not t.opens(k) or (w.share > 0.1 or w.count < 0.5) and w.opener < 0.7)
                 else:
-                    share, count = self.evidence.of(w)
-                    ok = fold(w) in given or (share > 0.6 or count < 0.5 and len(w) > 3) and self.evidence.opener(w) < 0.5
-            if not ok and len(w) >= 3 and k + 1 < len(tokens) and text[m.end() : tokens[k + 1].start()] == " " and (regime != "mixed" or w[0].isupper()) and fold(w) not in seed.COMMON:
-                after = tokens[k + 1].group()
-                ok = (regime != "mixed" or after[0].isupper()) and self.evidence.of(after)[0] > 0.75
-            like[k] = ok
+                    ok = (w.share > 0.5 or w.count < 0.5 and len(w.folded) > 3) and w.opener < 0.6
+            else:
+                ok = False
+            if not ok and len(w.folded) >= 3 and t.joined(k):
+                after = words[k + 1]
+                ok = (not mixed or after.capital) and after.share > 0.75
+            if ok and taken:
+                p = bisect_left(where, t.starts[k] + 1) - 1
+                ok = p < 0 or t.starts[k] >= taken[p][1]
+            if ok:
+                like[k] = some = True
+        if not some:
+            return out
         k = like.find(1)
         while k >= 0:
             end = k + 1
-            while end < len(tokens) and end - k < 5 and like[end] and text[tokens[end - 1].end() : tokens[end].start()] == " ":
+            while end < len(words) and like[end] and t.joined(end - 1):
                 end += 1
-            if end == k + 1 and regime == "mixed" and fold(tokens[k].group()) not in given and self._german_noun(text, tokens, k):
-                k = like.find(1, end)
-                continue
-            for i in range(k, end):
-                for j in range(i + 1, min(end, i + 4) + 1):
-                    if j == end or j - i == 1 or j - i >= 2:
-                        out.append(("name", tokens[i].start(), tokens[j - 1].end()))
+            out += [(i, j) for i in range(k, end) for j in range(i + 1, min(end, i + 4) + 1)]
+            if end - k > 4:
+                out.append((k, end))
             k = like.find(1, end)
         return out
 
-    @staticmethod
-    def _german_noun(text: str, tokens: list[re.Match], k: int) -> bool:
-        """A lone capital among German words says nothing, unless a word before it announces a name."""
-        near = [t.group().lower() for t in tokens[max(0, k - 6) : k + 7]]
-        before = fold(tokens[k - 1].group()) if k else ""
-        return sum(w in GERMAN for w in near) >= 2 and before not in seed.TITLES and before not in ("heiße", "heisse", "heißt", "namens")
-
     # Features --------------------------------------------------------------------------------------------------
 
-    def features(self, text: str, regime: str, kind: str, a: int, b: int) -> list[float]:
+    def context(self, t: Prepared, i: int, j: int) -> tuple[str, str, str, str]:
+        """Words before (the nearest first) and after the words ``i`` to ``j``, cut at sentence ends."""
+        p1 = p2 = "^"
+        if not t.opens(i):
+            p1 = t.words[i - 1].folded
+            p2 = t.words[i - 2].folded if i > 1 else "^"
+        n1 = n2 = "$"
+        if j < len(t.words) and t.text[t.ends[j - 1] : t.ends[j - 1] + 1] not in ".!?\n":
+            n1 = t.words[j].folded
+            n2 = t.words[j + 1].folded if j + 1 < len(t.words) else "$"
+        return p1, p2, n1, n2
+
+    def features(self, t: Prepared, kind: str, a: int, b: int) -> list[float]:
+        text = t.text
         span = text[a:b]
-        left, right = _near(text, a, b)
+        if kind == "name":
+            return self.name_features(t, bisect_left(t.starts, a), bisect_left(t.starts, b))
+        left, right = t.around(a, b)
         if kind == "email":
-            return [float("@" in span), float(len(span)), float(span.count(".")), float(bool(re.search(_AT, span, re.I))), float(len(re.findall(_DOT, span, re.I))), float(len(span.split())), _key(left, seed.MAIL_KEYS, 4)]
+            host = re.split(rf"@|{_AT}", span, maxsplit=1, flags=re.I)[-1].strip()
+            return [
+                float("@" in span), float(len(span)), float(host.count(".")), float(bool(re.search(_AT, span, re.I))), float(len(re.findall(_DOT, host, re.I))), float(len(span.split())), _key(left, seed.MAIL_KEYS, 4),
+                float(span[:1] == "@"), float(len(host)), float(bool(re.search(r"[.t] ?[A-Za-z]{2,24}\Z", host))), float(text[b : b + 1] == "."), float(span.count(" @") + span.count("@ ")), float(any(c.isdigit() for c in span)),
+            ]
         if kind in ("phone", "id_number"):
             digits = re.sub(r"\D", "", span)
-            groups = re.findall(r"\d+", span)
-            sizes = [len(g) for g in groups]
+            sizes = [len(g) for g in re.findall(r"\d+", span)]
             before, after = text[max(0, a - 2) : a], text[b : b + 2]
             return [
-                float(len(digits)), float(span[:1] == "+"), float("(" in span), float(len(groups)), float(max(sizes, default=0)), float(sizes[-1] if sizes else 0), float("." in span), float("-" in span), float(" " in span),
+                float(len(digits)), float(span[:1] == "+"), float("(" in span), float(len(sizes)), float(max(sizes, default=0)), float(sizes[-1] if sizes else 0), float("." in span), float("-" in span), float(" " in span),
                 float(span[:1].isalpha() and len(digits) > 0), float(span[-1:].isalpha() and len(digits) > 0), float(int(digits[0]) if digits else -1), float(len(digits) == 0), float(all(s == 3 for s in sizes[1:]) and len(sizes) > 2),
                 _key(left, seed.ID_KEYS, 4), _key(left, seed.PHONE_KEYS, 5), _key(right[:3][::-1], seed.PHONE_KEYS, 3), float(any(c in before for c in "$€£")), float(bool(right[:1]) and right[0] in seed.UNITS), float(len(left) > 0 and left[-1] in seed.UNITS),
                 float(bool(re.fullmatch(r"\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2}", span))), float(len(span)), float(after[:1] in ("%", "/", ":")), float(bool(re.fullmatch(r"\d{3}-\d{2}-\d{4}", span))),
-            ]
-        if kind == "address":
-            words = _TOKEN.findall(span)
-            first = fold(words[0]) if words else ""
-            return [
-                float(any(c.isdigit() for c in span)), float(len(re.findall(r"\d+", span))), float("#" in span), float(bool(re.search(_NUMBER, span, re.I))), float(" con " in span), float(len(span)), float(span[:1].isdigit()), float(span[:1].isupper()),
-                float(any(w[0].isupper() for w in words[1:])), float(bool(re.search(r"\d\s*-\s*\d", span))), _key(left, seed.PLACE_KEYS, 3), float(bool(left) and left[-1] in ("la", "las", "una", "the", "uma", "die")), float(first in ("carrera", "calle", "avenida", "via", "st", "cr", "av", "cl")),
-                float(bool(re.search(r",? \d{1,4}\b", span))), float(len(words)), self.evidence.of(words[1])[0] if len(words) > 1 else 0.5, float(bool(_COMPOUND.fullmatch(span))), float(bool(right[:1]) and right[0] in seed.UNITS),
-            ]
-        words = [m.group() for m in _TOKEN.finditer(span)]
+            ]
+        words = [w for w in t.words[bisect_left(t.starts, a) : bisect_left(t.starts, b)]]
+        first = words[0].folded if words else ""
+        return [
+            float(any(c.isdigit() for c in span)), float(len(re.findall(r"\d+", span))), float("#" in span), float(bool(re.search(_NUMBER, span, re.I))), float(" con " in span), float(len(span)), float(span[:1].isdigit()), float(span[:1].isupper()),
+            float(any(w.capital for w in words[1:])), float(bool(re.search(r"\d\s*-\s*\d", span))), _key(left, seed.PLACE_KEYS, 3), float(bool(left) and left[-1] in ("la", "las", "una", "the", "uma", "die")), float(first in ("carrera", "calle", "avenida", "via", "st", "cr", "av", "cl")),
+            float(bool(re.search(r",? \d{1,4}\b", span))), float(len(words)), words[1].share if len(words) > 1 else 0.5, float(bool(_COMPOUND.fullmatch(span))), float(bool(right[:1]) and right[0] in seed.UNITS), float(words[1].common) if len(words) > 1 else 0.0,
+        ]
+
+    def name_features(self, t: Prepared, i: int, j: int) -> list[float]:
+        text, words, odds = t.text, t.words[i:j], self.odds
         first, last = words[0], words[-1]
-        s1 = self.evidence.of(first)[0]
-        s2, _ = self.evidence.of(last)
-        initial = a == 0 or bool(_END.search(text[max(0, a - 4) : a])) or text[:a].strip() == ""
-        runs_on = bool(re.match(rf" {_L}", text[b:]) and (text[b + 1 : b + 2].isupper() if regime == "mixed" else self.evidence.of(_TOKEN.match(text, b + 1).group())[0] > 0.6))
-        prev = text[:a].rstrip()
-        p1, p2 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^")
-        if initial:
-            p1 = p2 = "^"
-        glue = text[b : b + 1]
-        n1 = right[0] if right and glue not in ".!?\n" else "$"
-        n2 = right[1] if len(right) > 1 and n1 != "$" else "$"
-        odds = self.odds
-        around = _near(text, a, b, 80)
+        mixed = t.regime == "mixed"
+        initial = t.opens(i)
+        p1, p2, n1, n2 = self.context(t, i, j)
+        runs_on = t.joined(j - 1) and (t.words[j].capital if mixed else t.words[j].share > 0.6)
+        before = t.words[i - 1] if i else None
+        follows_capital = before is not None and not initial and t.joined(i - 1) and mixed and before.capital and not before.title
+        german = sum(w.german for w in t.words[max(0, i - 12) : i]) + sum(w.german for w in t.words[j : j + 12])
+        announced = before is not None and (before.title or before.folded in _GERMAN_NAMING)
+        glue = text[t.ends[j - 1] : t.ends[j - 1] + 1]
         return [
-            float(len(words)), float(fold(first) in self.lexicon.given), float(sum(fold(w) in self.lexicon.given for w in words[1:])), s1, self.evidence.opener(first), s2, float(initial), float(regime == "mixed"), float(regime == "upper"),
-            odds["p1"].get(p1, 0.0), odds["p2"].get(f"{p2} {p1}", 0.0), odds["n1"].get(n1, 0.0), odds["n2"].get(f"{n1} {n2}", 0.0), float(runs_on), float(bool(prev) and bool(left) and not initial and text[a - 1 : a] == " " and p1 not in seed.TITLES and regime == "mixed" and _TOKEN.findall(prev[-30:])[-1][:1].isupper() and prev[-1:].isalpha()),
-            float(p1 in seed.TITLES), float(sum(w in GERMAN for w in around[0] + around[1])), float(fold(first) in seed.CALENDAR), float(len(first)), float(fold(first) in seed.COMMON), float(fold(last) in seed.COMMON), float(glue == ","), float(min(self.evidence.of(w)[0] for w in words)),
-            float(fold(first) in seed.TITLES), float(any(fold(w) in seed.STREET_WORDS for w in words)),
-        ]
+            float(len(words)), float(first.given), float(sum(w.given for w in words[1:])), first.share, first.opener, last.share, float(initial), float(mixed), float(t.regime == "upper"),
+            odds["p1"].get(p1, 0.0), odds["p2"].get(f"{p2} {p1}", 0.0), odds["n1"].get(n1, 0.0), odds["n2"].get(f"{n1} {n2}", 0.0), float(runs_on), float(follows_capital),
+            float(before is not None and before.title), float(german), float(first.calendar), float(len(first.folded)), float(first.common), float(last.common), float(glue == ","), min(w.share for w in words),
+            float(first.title), float(any(w.street or w.folded in seed.STREET_WORDS for w in words)), float(german > 1 and not announced and not first.given and not runs_on and not follows_capital and len(words) == 1), first.count,
+        ]
 
     # Decision --------------------------------------------------------------------------------------------------
 
@@ -293,8 +370,8 @@ class Finder:
         return "upper" if ups and downs <= 0.02 * ups else "mixed"
 
     def candidates(self, text: str) -> list[tuple[str, int, int, list[float]]]:
-        regime = self.regime(text)
-        return [(k, a, b, self.features(text, regime, k, a, b)) for k, a, b in self.spans(text, regime)]
+        t = Prepared(text, self.regime(text), self)
+        return [(k, a, b, self.features(t, k, a, b)) for k, a, b in sorted(set(self.spans(t)))]
 
     def decide(self, scored: list[tuple[float, str, int, int]]) -> list[tuple[int, int, str, float]]:
         """Of overlapping spans the surest; e-mail addresses and street addresses come before numbers, numbers before names."""
@@ -330,18 +407,14 @@ def _odds(rows: list[tuple[str, int]]) -> dict[str, float]:
     return {k: float(np.log((c[1] + 0.5) / total[1]) - np.log((c[0] + 0.5) / total[0])) for k, c in count.items() if sum(c) >= 3}
 
 
-def train(given: list[str], documents: int = 9000, random_seed: int = 23) -> tuple[dict[str, Boosted], dict[str, dict[str, float]]]:
+def train(given: list[str], documents: int = 14000, random_seed: int = 23) -> tuple[dict[str, Boosted], dict[str, dict[str, float]]]:
     """Models and context odds from composed documents."""
     rng = random.Random(random_seed)
     composed = [seed.compose(rng, given) for _ in range(documents)]
-    counts = [defaultdict(int) for _ in range(3)]
-    for text, _ in composed:
-        count_case(text, *counts)
-    evidence = Evidence()
-    for found, array in zip(counts, (evidence.capital, evidence.small, evidence.initial)):
-        for k, v in found.items():
-            # Some words stay unseen, as in a small corpus.
-            array[k] = v if rng.random() > 0.1 else 0
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    count_case([text for text, _ in composed], counts)
+    # Some words stay unseen, as in a small corpus.
+    evidence = Evidence({w: tuple(c) for w, c in counts.items() if rng.random() > 0.1})
     empty: dict[str, dict[str, float]] = {"p1": {}, "p2": {}, "n1": {}, "n2": {}}
     finder = Finder({}, empty, Lexicon(given), evidence)
     # Context odds come from the first half of the documents, trees from the second, so that odds are not learned by heart.
@@ -349,15 +422,13 @@ def train(given: list[str], documents: int = 9000, random_seed: int = 23) -> tup
     rows: dict[str, list[tuple[str, int]]] = {k: [] for k in empty}
     for text, gold in composed[:half]:
         truth = {(a, b) for kind, a, b in gold if kind == "name"}
-        for _, a, b in finder.names(text, finder.regime(text)):
+        t = Prepared(text, finder.regime(text), finder)
+        for i, j in finder.names(t):
+            a, b = t.starts[i], t.ends[j - 1]
             y = int((a, b) in truth)
-            if not y and any(a < t and s < b for s, t in truth):
+            if not y and any(a < e and s < b for s, e in truth):
                 continue
-            left, right = _near(text, a, b)
-            initial = a == 0 or bool(_END.search(text[max(0, a - 4) : a]))
-            p1, p2 = ("^", "^") if initial else ((left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"))
-            n1 = right[0] if right and text[b : b + 1] not in ".!?\n" else "$"
-            n2 = right[1] if len(right) > 1 and n1 != "$" else "$"
+            p1, p2, n1, n2 = finder.context(t, i, j)
             for name, key in (("p1", p1), ("p2", f"{p2} {p1}"), ("n1", n1), ("n2", f"{n1} {n2}")):
                 rows[name].append((key, y))
     finder.odds = {k: _odds(v) for k, v in rows.items()}
@@ -389,29 +460,39 @@ def models_for(given: list[str]) -> tuple[dict[str, Boosted], dict[str, dict[str
     return _TRAINED[key]
 
 
-def _count_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = [defaultdict(int) for _ in range(3)]
+#: Distinct words a task counts before it hands its counts on.
+MOST_WORDS = 500_000
+
+
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+
+    def rows() -> pd.DataFrame:
+        found = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 3)
+        return pd.DataFrame({"word": pd.Series(list(counts), dtype=object), "capital": found[:, 0], "small": found[:, 1], "initial": found[:, 2]})
+
     for batch in batches:
-        for text in batch["text"]:
-            count_case(text, *counts)
-    keys = sorted(set().union(*counts))
-    yield pd.DataFrame({"cell": keys, **{name: [c.get(k, 0) for k in keys] for name, c in zip(("capital", "small", "initial"), counts)}}).astype("int64")
+        count_case(batch["text"].tolist(), counts)
+        if len(counts) > MOST_WORDS:
+            yield rows()
+            counts.clear()
+    yield rows()
 
 
 def case_evidence(df: DataFrame, text: str = "text") -> Evidence:
-    """Counts over all texts; at most ``CELLS`` rows reach the driver."""
+    """Counts over all texts; of the words those reach the driver that make up at least ``LEAST_SHARE`` of all, at most 1 / ``LEAST_SHARE``."""
     rows = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
     names = ("capital", "small", "initial")
-    counted = rows.mapInPandas(_count_cells, "cell bigint, capital bigint, small bigint, initial bigint").groupBy("cell").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    out = Evidence()
-    for n in names:
-        getattr(out, n)[counted["cell"]] = np.minimum(counted[n], 2**31 - 1)
-    return out
+    counted = materialise(rows.mapInPandas(_count_words, "word string, capital bigint, small bigint, initial bigint").groupBy("word").agg(*[F.sum(n).alias(n) for n in names]), "words")
+    seen = F.col("capital") + F.col("small") + F.col("initial")
+    total = counted.agg(F.sum(seen)).first()[0] or 0
+    kept = counted.where(seen >= LEAST_SHARE * total).toPandas()
+    return Evidence(dict(zip(kept["word"], zip(*(kept[n].tolist() for n in names)))))
 
 
-def _find(models, odds, given: list[str], shared, chunk: int = 500):
+def _find(models, odds, given: list[str], shared, chunk: int = 2000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(models, odds, Lexicon(given), Evidence(*shared.value))
+        finder = Finder(models, odds, Lexicon(given), Evidence(shared.value))
         for batch in batches:
             for s in range(0, len(batch), chunk):
                 part = batch.iloc[s : s + chunk]
@@ -423,9 +504,9 @@ def _find(models, odds, given: list[str], shared, chunk: int = 500):
     return run
 
 
-def _redact(models, odds, given: list[str], shared, chunk: int = 500):
+def _redact(models, odds, given: list[str], shared, chunk: int = 2000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        finder = Finder(models, odds, Lexicon(given), Evidence(*shared.value))
+        finder = Finder(models, odds, Lexicon(given), Evidence(shared.value))
         for batch in batches:
             for s in range(0, len(batch), chunk):
                 part = batch.iloc[s : s + chunk]
@@ -453,8 +534,7 @@ def _prepare(df: DataFrame, names: DataFrame, text: str):
         raise ValueError(f"more than {MOST_NAMES} given names: they are held by every worker")
     given = sorted(r[0] for r in rows)
     models, odds = models_for(given)
-    found = case_evidence(df, text)
-    return models, odds, given, df.sparkSession.sparkContext.broadcast((found.capital, found.small, found.initial))
+    return models, odds, given, df.sparkSession.sparkContext.broadcast(case_evidence(df, text).counts)
 
 
 def find_mentions(df: DataFrame, names: DataFrame, ident: str = "row_id", text: str = "text") -> DataFrame:

@@ -61,7 +61,11 @@ OTHER_LINES = """Mi correo es {E}, por si acaso.|Me pueden escribir a {E} cuando
 Mi número es {P}, llámenme mañana.|El celular de mi mamá es {P}.|Estuve llamando al {P} toda la tarde.|Si no contesto, marque {P} y espere.|Anoté el tel. {P} de la línea de ayuda.|Quedó un mensaje de voz del {P} que no oí.|Contactos: {P}, {E} o con mi tía al {P}.|My number is {P}, call me.|Meine Nummer ist {P}, danke.|O meu telefone é {P}, liguem.|Mon numéro est le {P}, merci.|我的电话是{P}，谢谢。|電話番号は{P}です。
 Mi cédula es {I}, ya la di.|El DNI {I} estaba vencido.|Me pidieron la C.C. {I} en la entrada.|Firmé con {I} en la hoja.|Firmé con {I} en el acta de la reunión.|Quedé registrado con el documento {I} y se equivocaron.|Soy la del pasaporte {I} que perdió el turno.|My social security number is {I}, if needed.|My passport {I} expired.|O meu CPF é {I}, já informei.|Mein Ausweis hat die Nummer {I} seit Mai.|Mon passeport porte le numéro {I} depuis mai.
 Vivo en {A}, al lado de la tienda.|Me mudé a {A} con mi hermano.|Mándenme los papeles a {A}, por favor.|El bus me deja en {A} y de ahí camino.|Nos robaron saliendo de {A} el mes pasado.|La casa de mi abuela queda en {A} y allá duermo.|Pagamos el arriendo de {A} a medias.|Moro na {A}, perto da escola.|I live at {A}, next to a shop.|Ich wohne in der {A}, neben der Schule.|J'habite {A}, près du parc."""
-PLAIN_LINES = """La calle principal estaba llena.|Vivo por la calle principal, cerca del río, desde hace 3 años.|La avenida estaba vacía y llovía.|La Carrera de Derecho exige 4 prácticas y lecturas.|Mi hermana dejó la carrera.|La carrera de medicina dura 6 años.|Rosa era el color de la pared y del techo.|Sol y brisa en la playa, y aun así lloré.|Abril fue un mes largo, y luego llegó mayo.|Vi la luz del sol por la ventana.|La rosa que sembré se secó.|En abril tuve calma.|La luz entraba por la sala.|El sol salió tarde.
+PLAIN_LINES = """Aber jeden Dienstag bin ich müde.|Jeden Freitag gehe ich schwimmen.|Ich soll mehr trinken, aber jeden Sonntag vergesse ich es.|Jeden Mittwoch koche ich.|Seit Donnerstag habe ich Kopfweh.
+Denken Sie, dass das hilft?|Haben Sie morgen Zeit für mich?|Meinen Sie, dass es besser wird?|Können Sie mir helfen?|Wissen Sie, was ich meine?|Sind Sie sicher, dass ich gehen soll?|Glauben Sie mir das?|Verstehen Sie, warum ich müde bin?|Ein Freund hat mich nach Hause gebracht.|Wollen Sie, dass ich warte?|Kennen Sie das Gefühl?
+Mi amiga dejó la carrera. Bajé 4 kilos en un mes.|Terminó la carrera. Sacó 5 en la tesis.|Cerraron la plaza. Esperé 20 minutos y me fui.|Llegué a la avenida. Eran 8 buses seguidos.
+Sígueme en @luna_23, que ahí publico.|Nos vemos @ las 5 en la entrada.|Compré una arroba de papa en la plaza.|Me etiquetaron como @grupo en la foto.|Follow me @sunny for more.|La nota salió @prensa.|Cargamos dos arroba de yuca en el bus.|El ensayo es a las 3 @ la sala de música.
+La calle principal estaba llena.|Vivo por la calle principal, cerca del río, desde hace 3 años.|La avenida estaba vacía y llovía.|La Carrera de Derecho exige 4 prácticas y lecturas.|Mi hermana dejó la carrera.|La carrera de medicina dura 6 años.|Rosa era el color de la pared y del techo.|Sol y brisa en la playa, y aun así lloré.|Abril fue un mes largo, y luego llegó mayo.|Vi la luz del sol por la ventana.|La rosa que sembré se secó.|En abril tuve calma.|La luz entraba por la sala.|El sol salió tarde.
 El grupo se llama Esperanza y somos cinco.|El Depto. de Salud y la Fac. de Artes llamaron.|Mi tío vive en EE. UU. desde hace seis años.|Fueron 300 páginas, 15 capítulos y 40 entregas.|Gasté $380.000 en comida.|Guardé 1.020.000 pesos para el viaje.|Pagué 89.990 pesos por repetirla.|Entre 2019 y 2023 perdí dos materias.|El puntaje fue 14/27 y luego 11/21, el lunes 12/05/2024.|Empezó el 12.03.2024 en la sede.|El formulario 300-14 y el turno 0555 no aparecían.|El salón 2-14 queda lejos.
 El código era F32.1 según el informe, versión 2.0.1, y ya.|Tuve cita a las 10:30 en el consultorio 305 del piso 3.|Estuve en [LUGAR] con mi tía.|[NOMBRE] me llamó desde [LUGAR] ayer.|El Dr. [NOMBRE] me vio.|La Sra. [NOMBRE] no entiende.|Nadie en la casa sabe lo que pasa.|Trato de no pensar en eso mientras cocino.|Entonces me quedo mirando el techo.|Digamos que todo va mejor.|Bueno, eso es lo que siento.|Hay días en los que no quiero salir.|Lo que más me pesa es la beca.|La Ing. [NOMBRE] me ayudó.
 Before going to sleep I read.|Honestly, the exam on Tuesday scares me.|Meine Mutter sagt, ich soll schlafen, und der Arzt auch.|Am Montag habe ich eine Klausur und dann gehe ich an den Fluss.|Am 12. Mai war ich im Krankenhaus.|Vor jedem Vortrag bekomme ich Angst.|Seit der Prüfung schlafe ich kaum und trinke Kaffee.|Mein Bruder hat mir ein Buch gegeben.|Der Arzt meint, ich brauche Ruhe.|In letzter Zeit habe ich keinen Hunger und gehe ins Bett.|Je suis fatiguée depuis lundi.|O que mais me preocupa é o futuro.|Mi mamá y yo hablamos dos veces de la casa.|Tardé cinco días en contarle a mi papá.|El turno es de 7:30 a. m. a 10:15 p. m. siempre.|Uno dos tres, empezamos a correr.|Antes bailar me gustaba y ahora no.|Las clases, el ruido, etc. me cansan.|Además, no duermo bien.|Entonces, me voy a casa.|Pues, nada nuevo.|La verdad, estoy cansada.|Digamos que ya pasó.|Honestly, I sleep badly.|Después de comer camino.|Hace tres meses no salgo.|Mora na Av. principal com a mãe.|My flat is on the Main Road in May and June.|In May at 9 a.m. I was ill.|He lives in the U.S. in May and likes it.|I met the teacher on Tuesday.|La Universidad Nacional cierra el lunes.|Fui a Bogotá con mi tía.|Estudio Psicología en la tarde.|La luz de la calle no funciona.|Busco consuelo y paz en el mar.|La casa blanca es linda.|La reina del coro cantó.|Una flor y una perla, nada más.|Claro que sí, eso creo.|Pensé: «Ojalá llueva pronto.»|Le dije: «Calma, ya pasa.»|Sol y arena por todas partes.|Sol, playa y nada más.|Esto no me gusta.|Eso me pasa siempre.|Paz es lo que busco.|Luz no había en la casa.|I hope it gets better.|Hope is what I need.|Wir haben noch zwei Wochen bis Oktober.|Meine Eltern und mein Bruder wohnen im Norden.|Das Wohnheim hat kein Licht.|During the week I work.|Die neue Stadt macht mir Angst und mein Kopf tut weh.|Mein kleiner Bruder und meine Schwester gehen zur Schule.|In zwei Wochen beginnt die Arbeit an der Uni.|Am Abend sitze ich am Fenster und höre ein Lied.|Das Geld und die Schulden machen mir Sorgen.|Jeden Morgen trinke ich Kaffee und lese die Zeitung.|Mein Vater hat die Wohnung in der Stadt verkauft.|Nach der Prüfung schlafe ich den ganzen Tag.|Seit einem Jahr habe ich Schmerzen im Rücken und in den Händen.|Der Freund meiner Cousine hat ein Zimmer im Norden.|Nach drei Monaten war die Trennung vorbei.|Die Meinung der Leute ist mir egal.|Für die Zukunft habe ich keinen Plan."""
