@@ -93,15 +93,13 @@ class Evidence:
         return (a + 0.5) / (a + b + 1.0), float(a + b), c / (a + c + 2.0) if c > 2 * a else 0.0
 
 
-#: Capital letters of Latin, Greek and Cyrillic and of the other scripts that have them.
-_UPPER = "".join(c for c in map(chr, range(0x41, 0x1F00)) if c.isupper() or c.istitle())
-_CAPITAL = re.compile(rf"(?:([.!?…\n¿¡。！？:«\"“(])[^\w]*|(?<![^\W\d_])(?<!['’-]))([{_UPPER}][^\W\d_]*(?:['’-][^\W\d_]+)*)")
+_OPENING = re.compile(r"[.!?…\n¿¡。！？:«\"“(][^\w]*([^\W\d_]+(?:['’-][^\W\d_]+)*)")
 
 
 def count_case(texts: list[str], into: dict[str, list[int]]) -> None:
     """Add the words of texts to the counts; texts without both cases say nothing, placeholders and e-mail addresses are no words.
 
-    All words are counted at once; only those with a capital are looked at in their place, and taken off again.
+    All words are counted at once, and then those at the start of a sentence; what is left of a capital stands inside one.
     """
     kept = []
     for text in texts:
@@ -111,12 +109,14 @@ def count_case(texts: list[str], into: dict[str, list[int]]) -> None:
         if not (plain.islower() or plain.isupper()):
             kept.append(unicodedata.normalize("NFC", plain) if _SIGN.search(plain) else plain)
     whole = "\n".join(["", *kept])
+    opening = Counter(_OPENING.findall(whole))
     for word, n in Counter(_PLAIN_TOKEN.findall(whole)).items():
         if word[0].islower():
             into[fold(word)][1] += n
-    for (start, word), n in Counter(_CAPITAL.findall(whole)).items():
-        if len(word) == 1 or not word.isupper():
-            into[fold(word)][2 if start else 0] += n
+        elif word[0].isupper() and (len(word) == 1 or not word.isupper()):
+            counts, first = into[fold(word)], min(n, opening.get(word, 0))
+            counts[0] += n - first
+            counts[2] += first
 
 
 class Lexicon:
@@ -148,6 +148,7 @@ class Word(NamedTuple):
     street: bool
     digit: bool
     house: bool
+    flags: int
 
 
 def _key(words: list[str], keys: frozenset[str], last: int) -> float:
@@ -159,20 +160,29 @@ def _key(words: list[str], keys: frozenset[str], last: int) -> float:
 
 
 class Prepared:
-    """A text with its words: their places and what is known of them."""
-
-    __slots__ = ("ends", "regime", "starts", "text", "words")
-
-    def __init__(self, text: str, regime: str, finder: Finder) -> None:
-        self.text, self.regime = text, regime
-        pattern = _TOKEN if _SIGN.search(text) else _PLAIN_TOKEN
-        self.starts, self.ends, self.words = [], [], []
-        known = finder.words
-        for m in pattern.finditer(text):
-            w = m.group()
-            self.starts.append(m.start())
-            self.ends.append(m.end())
-            self.words.append(known.get(w) or finder.word(w))
+    """A text with its words: what is known of them and, when they are first asked for, their places."""
+
+    __slots__ = ("_ends", "_starts", "pattern", "regime", "text", "words")
+
+    def __init__(self, text: str, finder: Finder) -> None:
+        self.text = text
+        self.pattern = _TOKEN if _SIGN.search(text) else _PLAIN_TOKEN
+        known = finder.words.get
+        self.words = [known(w) or finder.word(w) for w in self.pattern.findall(text)]
+        self._starts: list[int] | None = None
+        self._ends: list[int] = []
+        self.regime = finder.regime(text, self.words)
+
+    @property
+    def starts(self) -> list[int]:
+        if self._starts is None:
+            places = [m.span() for m in self.pattern.finditer(self.text)]
+            self._starts, self._ends = [a for a, _ in places], [b for _, b in places]
+        return self._starts
+
+    @property
+    def ends(self) -> list[int]:
+        return self._ends if self._starts is not None else self.starts and self._ends
 
     def around(self, a: int, b: int, before: int = 6, after: int = 4) -> tuple[list[str], list[str]]:
         """Folded words before and after a span."""
@@ -201,9 +211,10 @@ class Finder:
         f = fold(w)
         share, count, opener = self.evidence.of(f)
         named = len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w)
+        low = w.lower()
+        street, digit, house = low in seed.STREETS, low in seed.DIGIT_WORDS, low in _HOUSE_WORDS or bool(_COMPOUND_END.search(w))
         made = self.words[w] = Word(
-            f, f in self.lexicon.given, f in seed.COMMON, f in seed.TITLES, w[0].isupper(), w.isupper(), named, share, count, opener, w.lower() in GERMAN, f in seed.CALENDAR, w.lower() in seed.STREETS, w.lower() in seed.DIGIT_WORDS,
-            w.lower() in _HOUSE_WORDS or bool(_COMPOUND_END.search(w)),
+            f, f in self.lexicon.given, f in seed.COMMON, f in seed.TITLES, w[0].isupper(), w.isupper(), named, share, count, opener, low in GERMAN, f in seed.CALENDAR, street, digit, house, street + 2 * house + 4 * digit,
         )
         return made
 
@@ -232,14 +243,9 @@ class Finder:
                     at = m.end()
                     if sum(map(str.isdigit, m.group())) >= 6:
                         out += [("phone", *m.span()), ("id_number", *m.span())]
-        run = street = house = 0
-        spoken = False
-        for w in t.words:
-            run = run + 1 if w.digit else 0
-            spoken = spoken or run >= 6
-            street = street or w.street
-            house = house or w.house
-        if spoken:
+        kinds = {w.flags for w in t.words}
+        street, house = any(k & 1 for k in kinds), any(k & 2 for k in kinds)
+        if any(k & 4 for k in kinds) and sum([w.digit for w in t.words]) >= 6:
             for m in _SPOKEN.finditer(text):
                 out += [("phone", *m.span()), ("id_number", *m.span())]
         if street:
@@ -257,6 +263,8 @@ class Finder:
     def names(self, t: Prepared) -> list[tuple[int, int]]:
         """Runs of words that may be names, as (first word, end), and all their stretches of up to four words."""
         words, mixed, out = t.words, t.regime == "mixed", []
+        if mixed and not any(w.capital and not (w.common and not w.given) for w in words):
+            return out
         taken = [(m.start(), m.end()) for m in _PLACE.finditer(t.text)] if "[" in t.text else []
         where = [a for a, _ in taken]
         like = bytearray(len(words))
@@ -360,17 +368,21 @@ class Finder:
     # Decision --------------------------------------------------------------------------------------------------
 
     @staticmethod
-    def regime(text: str) -> str:
+    def regime(text: str, words: list[Word]) -> str:
+        """Lower, upper (but for a fiftieth of small letters) or mixed case; placeholders and e-mail addresses do not count."""
         plain = _EMAIL.sub(" ", _PLACE.sub(" ", text)) if "@" in text or "[" in text else text
         if plain.islower():
             return "lower"
         if plain.isupper():
             return "upper"
+        small = sum([not w.all_capitals for w in words])
+        if small * 3 > len(words) and len(text) < 12 * len(words):
+            return "mixed"
         ups, downs = sum(map(str.isupper, plain)), sum(map(str.islower, plain))
         return "upper" if ups and downs <= 0.02 * ups else "mixed"
 
     def candidates(self, text: str) -> list[tuple[str, int, int, list[float]]]:
-        t = Prepared(text, self.regime(text), self)
+        t = Prepared(text, self)
         return [(k, a, b, self.features(t, k, a, b)) for k, a, b in sorted(set(self.spans(t)))]
 
     def decide(self, scored: list[tuple[float, str, int, int]]) -> list[tuple[int, int, str, float]]:
@@ -422,7 +434,7 @@ def train(given: list[str], documents: int = 14000, random_seed: int = 23) -> tu
     rows: dict[str, list[tuple[str, int]]] = {k: [] for k in empty}
     for text, gold in composed[:half]:
         truth = {(a, b) for kind, a, b in gold if kind == "name"}
-        t = Prepared(text, finder.regime(text), finder)
+        t = Prepared(text, finder)
         for i, j in finder.names(t):
             a, b = t.starts[i], t.ends[j - 1]
             y = int((a, b) in truth)
