@@ -113,17 +113,22 @@ class ByteNet:
             out[: w * self.dim, k * self.filters : (k + 1) * self.filters] = self.p[f"K{w}"]
         return out
 
-    def log_probs(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+    def log_probs(self, x: np.ndarray, batch: int = 64) -> np.ndarray:
         """Log probabilities of windows: one product for the filters of all widths, then each width's maximum over its own places."""
         kernel, bias, widest, f = self.merged(), np.concatenate([self.p[f"b{w}"] for w in WIDTHS]), max(WIDTHS), self.filters
         places, out = WINDOW - min(WIDTHS) + 1, []
+        room = np.zeros((batch, places + widest - 1, self.dim), np.float32)
         for s in range(0, len(x), batch):
             rows = x[s : s + batch]
-            e = np.zeros((len(rows), places + widest - 1, self.dim), np.float32)
+            e = room[: len(rows)]
             e[:, :WINDOW] = self.p["E"][rows]
             seen = np.lib.stride_tricks.as_strided(e, (len(rows), places, widest * self.dim), (e.strides[0], e.strides[1], e.strides[2]))
             got = (seen.reshape(-1, widest * self.dim) @ kernel).reshape(len(rows), places, -1)
-            pooled = np.concatenate([got[:, : WINDOW - w + 1, k * f : (k + 1) * f].max(1) for k, w in enumerate(WIDTHS)], 1) + bias
+            pooled = got[:, : WINDOW - widest + 1].max(1)
+            for k, w in enumerate(WIDTHS):
+                for at in range(WINDOW - widest + 1, WINDOW - w + 1):
+                    np.maximum(pooled[:, k * f : (k + 1) * f], got[:, at, k * f : (k + 1) * f], out=pooled[:, k * f : (k + 1) * f])
+            pooled += bias
             z = np.maximum(pooled, 0) @ self.p["W"] + self.p["c"]
             z -= z.max(1, keepdims=True)
             out.append(z - np.log(np.exp(z).sum(1, keepdims=True)))

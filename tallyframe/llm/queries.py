@@ -16,6 +16,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_person_pairs(table(spark, sf, "predictions"), table(spark, sf, "transcription"))
 
 
+def p1_persons(spark: SparkSession, sf: str) -> DataFrame:
+    from tallyframe.llm.splits import person_of_values
+
+    return person_of_values(table(spark, sf, "predictions"), table(spark, sf, "transcription"))
+
+
 def p1_splits(spark: SparkSession, sf: str) -> DataFrame:
     from tallyframe.llm.splits import assign_splits
 
@@ -114,5 +120,5 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_top_runs, p3_found, p3_sentences, p4_found, p4_mentions, p4_redacted, p5_found, p5_pieces, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_segments)
+    f.__name__: f for f in (p1_found, p1_persons, p1_splits, p1_shares, p2_found, p2_top_runs, p3_found, p3_sentences, p4_found, p4_mentions, p4_redacted, p5_found, p5_pieces, p6_containers, p6_fill, p7_mixture, p7_shares, p8_found, p8_segments)
 }

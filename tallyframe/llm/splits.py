@@ -31,13 +31,35 @@ from tallyframe.llm.union_find import connected_components
 from tallyframe.operators.ranking import bits_for, class_rank
 from tallyframe.session import materialise
 
-SESSION = r"(?i)(?<![a-z])(?!aug|fold|seed|run|data|part|ses)([a-z]{2,6})[\s_\-.]*0*([0-9]+)"
+_PLAIN = r"^\s*([A-Za-z]{2,})[\s_\-.]*[0-9]+\s*$"
+#: More sites than these are refused: their names make one pattern.
+MOST_SITES = 10_000
 
 
-def session_of(name: Column) -> Column:
-    """Site in upper case and number without leading zeros, or NULL."""
-    site, number = F.upper(F.regexp_extract(name, SESSION, 1)), F.regexp_extract(name, SESSION, 2)
-    return F.when(number != "", F.concat_ws("_", site, number))
+def known_sites(answers: DataFrame, participant: str = "participant") -> list[str]:
+    """Letters of the sites, from the answers' participants that are a site and a number and nothing else."""
+    site = F.upper(F.regexp_extract(participant, _PLAIN, 1)).alias("site")
+    rows = answers.select(site).where("site <> ''").distinct().limit(MOST_SITES + 1).collect()
+    if len(rows) > MOST_SITES:
+        raise ValueError(f"more than {MOST_SITES} sites")
+    return sorted(r["site"] for r in rows)
+
+
+def session_of(name: Column, sites: list[str] | None = None) -> Column:
+    """Site in upper case and number without leading zeros, or NULL.
+
+    A known site is found wherever it stands by itself before a number; a name without one is read from the start of its
+    last part between slashes.
+    """
+    start = r"(?:^|/)\s*([A-Za-z]{2,})[\s_\-.]*0*([0-9]+)[^/]*$"
+    patterns = [start]
+    if sites:
+        patterns.insert(0, rf"(?i)(?<![a-z])({'|'.join(sorted(map(re.escape, sites), key=len, reverse=True))})[\s_\-.]*0*([0-9]+)")
+    found = []
+    for p in patterns:
+        site, number = F.upper(F.regexp_extract(name, p, 1)), F.regexp_extract(name, p, 2)
+        found.append(F.when(number != "", F.concat_ws("_", site, number)))
+    return F.coalesce(*found)
 
 
 _WORD = re.compile(r"[฀-๿぀-ヿ㐀-鿿]|[^\W_฀-๿぀-ヿ㐀-鿿]+")
@@ -146,6 +168,68 @@ def _confirm(pairs: DataFrame, docs: DataFrame, share: float) -> DataFrame:
     return near.mapInPandas(verify(share), "a bigint, b bigint, session_a string, session_b string")
 
 
+#: Cells of the counts that order words by rarity; any order is right, so a shared cell only costs time.
+CELLS = 2**20
+
+
+def _numbered(w: np.ndarray) -> np.ndarray:
+    """Words with the number of their occurrence, as one number each: a multiset as a set."""
+    order = np.argsort(w, kind="stable")
+    sorted_w = w[order]
+    first = np.concatenate([[True], sorted_w[1:] != sorted_w[:-1]])
+    start = np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))
+    nth = np.empty(len(w), np.uint64)
+    nth[order] = np.arange(len(w)) - start
+    return _mix((w.astype(np.uint64) << np.uint64(20)) + nth)
+
+
+def _count_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for packed in batch["ids"]:
+            np.add.at(counts, (_numbered(np.frombuffer(packed, np.uint32)) % np.uint64(CELLS)).astype(np.int64), 1)
+    used = np.flatnonzero(counts)
+    yield pd.DataFrame({"cell": used, "n": counts[used]})
+
+
+def _rare_tokens(counts, share: float):
+    """The rarest ``share`` of the words of a text and one more: two texts with as many words in common as a link needs share one of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for rid, part, packed in zip(batch["rid"], batch["part"], batch["ids"]):
+                tokens = _numbered(np.frombuffer(packed, np.uint32))
+                # A link to a longer text of n / (1 - share) words may miss share of those.
+                most = int(share * int(len(tokens) / (1 - share) + 1e-9) + 1e-9) + 1
+                rare = tokens[np.lexsort((tokens, counts.value[(tokens % np.uint64(CELLS)).astype(np.int64)]))[:most]]
+                out.append(pd.DataFrame({"token": rare.view(np.int64), "rid": rid, "part": part, "size": len(tokens)}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"token": [], "rid": [], "part": [], "size": []}).astype("int64")
+
+    return run
+
+
+def _apart(mixed: DataFrame, docs: DataFrame, share: float) -> DataFrame:
+    """Pairs (a, b) of texts of one bucket (``key``) of ``mixed`` and different components (``part``) that share one of their rarest words and are nearly as long.
+
+    That is every pair of a bucket that can still be a link (prefix filter over multisets of words, rarest first), but few
+    of the pairs whose texts share a form and differ in what is filled in. Bucket and word together are the key of the
+    join, so that a crowded bucket falls into as many parts as it has rare words.
+    """
+    spark = docs.sparkSession
+    texts = materialise(docs.select("rid", "ids").join(mixed.select("rid", "part").distinct(), "rid"), "mixed")
+    if texts.isEmpty():
+        return spark.createDataFrame([], "a bigint, b bigint")
+    counted = texts.select("ids").mapInPandas(_count_tokens, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[counted["cell"]] = counted["n"]
+    tokens = materialise(texts.mapInPandas(_rare_tokens(spark.sparkContext.broadcast(counts), share), "token bigint, rid bigint, part bigint, size bigint"), "rare")
+    placed = mixed.select("key", "rid").distinct().join(tokens, "rid")
+    x, y = (placed.select("key", "token", F.col("rid").alias(r), F.col("part").alias(f"p{r}"), F.col("size").alias(f"s{r}")) for r in ("a", "b"))
+    near = F.abs(F.col("sa") - F.col("sb")) <= share * F.greatest("sa", "sb") + 1e-6
+    return x.join(y, ["key", "token"]).where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & near).select("a", "b").distinct()
+
+
 def link_sessions(
     answers: DataFrame,
     participant: str = "participant",
@@ -154,18 +238,20 @@ def link_sessions(
     least_chars: int = 300,
     share: float = 0.1,
     shingle: int = 3,
-    bands: int = 60,
+    bands: int = 90,
     rows: int = 5,
     seed: int = 7,
 ) -> DataFrame:
     """Links (session_a, session_b) between different sessions with nearly the same answer.
 
     No bucket is cut off. Exact copies hang on one representative. In a band bucket every member is first compared with
-    the smallest one; after union-find, members that landed in different components are compared across components,
-    so a bucket of many near-copies costs its size, not its square, and loses no link.
+    the smallest one; after union-find, the members of buckets that still hold several components are compared where they
+    share one of their rarest words (``_apart``). So a bucket of many near-copies costs its size, a bucket of texts that
+    look alike but don't link costs the pairs with a rare word in common, and no link is lost.
     """
     chars = F.char_length(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
-    long = answers.select(F.col(ident).cast("bigint").alias("rid"), session_of(F.col(participant)).alias("session"), F.col(text).alias("text")).where(F.col("session").isNotNull() & (chars >= least_chars))
+    sites = known_sites(answers, participant)
+    long = answers.select(F.col(ident).cast("bigint").alias("rid"), session_of(F.col(participant), sites).alias("session"), F.col(text).alias("text")).where(F.col("session").isNotNull() & (chars >= least_chars))
     all_docs = materialise(long.mapInPandas(word_ids, "rid bigint, session string, same bigint, ids binary"), "answers")
     hub = all_docs.groupBy("same", "ids").agg(F.min(F.struct("rid", "session")).alias("first"))
     docs = hub.select("same", "ids", F.col("first.rid").alias("rid"), F.col("first.session").alias("session"))
@@ -181,27 +267,29 @@ def link_sessions(
 
     parts = connected_components(sure.select("a", "b"), "a", "b").select(F.col("node").cast("bigint").alias("rid"), F.col("root").cast("bigint").alias("part"))
     member = crowded.select("key", "rid").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
-    blocks = member.select("key", "part").distinct()
-    across = blocks.alias("x").join(blocks.alias("y"), F.expr("x.key = y.key and x.part < y.part")).select("x.key", F.col("x.part").alias("pa"), F.col("y.part").alias("pb"))
-    left = member.select("key", F.col("part").alias("pa"), F.col("rid").alias("u"))
-    right = member.select("key", F.col("part").alias("pb"), F.col("rid").alias("v"))
-    rest = across.join(left, ["key", "pa"]).join(right, ["key", "pb"]).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    several = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    mixed = materialise(member.join(several, "key", "left_semi").select("key", "rid", "part"), "several")
+    rest = _apart(mixed, docs, share).join(first, ["a", "b"], "left_anti")
     late = _confirm(rest, docs, share)
     return copies.union(sure.select("session_a", "session_b")).union(late.select("session_a", "session_b")).distinct()
 
 
-def persons(names: DataFrame, links: DataFrame, participant: str = "participant") -> DataFrame:
-    """Distinct values of ``participant`` with ``session`` and ``person``."""
+def persons(names: DataFrame, links: DataFrame, sites: list[str], participant: str = "participant") -> DataFrame:
+    """Distinct values of ``participant`` with ``session`` and ``person``: the membership form of the pairs."""
     roots = connected_components(links, "session_a", "session_b")
-    values = names.select(participant).where(F.col(participant).isNotNull()).distinct().withColumn("session", session_of(F.col(participant)))
+    values = names.select(participant).where(F.col(participant).isNotNull()).distinct().withColumn("session", session_of(F.col(participant), sites))
     known = values.join(roots, F.col("session") == F.col("node"), "left")
     return known.select(participant, "session", F.coalesce("root", "session", F.concat(F.lit("value:"), F.col(participant))).alias("person"))
 
 
+def person_of_values(predictions: DataFrame, answers: DataFrame, **options) -> DataFrame:
+    """Each stored value of ``participant`` in predictions with its session and person."""
+    return persons(predictions, link_sessions(answers, **options), known_sites(answers))
+
+
 def same_person_pairs(predictions: DataFrame, answers: DataFrame, **options) -> DataFrame:
     """Each pair of different stored values of ``participant`` that belong to one person."""
-    who = persons(predictions, link_sessions(answers, **options)).select("participant", "person")
+    who = person_of_values(predictions, answers, **options).select("participant", "person")
     a, b = who.withColumnRenamed("participant", "participant_a"), who.withColumnRenamed("participant", "participant_b")
     return a.join(b, "person").where(F.col("participant_a") < F.col("participant_b")).select("participant_a", "participant_b")
 
@@ -249,7 +337,7 @@ def assign_splits(predictions: DataFrame, answers: DataFrame, shares: dict[str,
     spark = predictions.sparkSession
     counted = [t.groupBy("participant").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("source"), "participant", "rows") for name, t in (("predictions", predictions), ("transcription", answers))]
     names = counted[0].union(counted[1])
-    who = persons(names, link_sessions(answers, **options)).select(F.col("participant").alias("p"), "person")
+    who = persons(names, link_sessions(answers, **options), known_sites(answers)).select(F.col("participant").alias("p"), "person")
     tagged = materialise(names.join(who, F.col("participant") == F.col("p"), "left").select("source", "participant", "rows", F.coalesce("person", F.concat(F.lit("none:"), F.col("source"))).alias("person")), "persons")
     groups = tagged.groupBy("person").agg(F.sum("rows").alias("size"))
     histogram = [(r["size"], r["n"]) for r in groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()]

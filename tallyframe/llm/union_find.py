@@ -1,23 +1,28 @@
-"""Distributed union-find: local forests, merged level by level."""
+"""Distributed union-find: local forests, merged level by level on ever smaller graphs."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.session import materialise, parallelism
+from tallyframe.session import materialise
 
 FOREST = "node string, root string"
 
 
 class Forest:
-    """Union-find over strings; the root of a tree is its smallest member."""
+    """Union-find over strings. The root of a tree is its first member by the draw of the level, or, without one, its smallest member."""
 
-    def __init__(self) -> None:
+    def __init__(self, level: int | None = None) -> None:
         self.parent: dict[str, str] = {}
+        self.level = level
+
+    def rank(self, x: str) -> tuple[int, str]:
+        return (0 if self.level is None else zlib.crc32(f"{self.level}|{x}".encode()), x)
 
     def find(self, x: str) -> str:
         parent = self.parent
@@ -31,56 +36,62 @@ class Forest:
     def union(self, a: str, b: str) -> None:
         a, b = self.find(a), self.find(b)
         if a != b:
-            low, high = (a, b) if a < b else (b, a)
+            low, high = (a, b) if self.rank(a) < self.rank(b) else (b, a)
             self.parent[high] = low
             self.parent.setdefault(low, low)
 
     def rows(self) -> pd.DataFrame:
-        found = [(x, self.find(x)) for x in self.parent]
-        return pd.DataFrame([p for p in found if p[0] != p[1]], columns=["node", "root"], dtype=object)
-
-
-def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    forest = Forest()
-    for batch in batches:
-        for a, b in zip(batch["node"], batch["root"]):
-            forest.union(a, b)
-    yield forest.rows()
-
-
-def _contract(edges: DataFrame) -> DataFrame:
-    """Alternate large-star and small-star steps until nothing changes; used for forests too large for one task."""
-    spark_edges, seen = edges.select("node", "root"), None
-    while True:
-        both = spark_edges.union(spark_edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        low = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("m"))
-        large = both.join(low, "node").where(F.col("root") > F.col("node")).select(F.col("root").alias("node"), F.col("m").alias("root"))
-        down = large.where(F.col("node") > F.col("root")).distinct()
-        low = down.groupBy("node").agg(F.min("root").alias("m"))
-        small = down.join(low, "node")
-        spark_edges = materialise(small.select(F.col("root").alias("node"), F.col("m").alias("root")).where("node <> root").union(low.select("node", F.col("m").alias("root"))).distinct(), "star")
-        now = spark_edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return spark_edges
-        seen = now
-
-
-def connected_components(edges: DataFrame, a: str, b: str, fan_in: int = 8, most: int = 2_000_000) -> DataFrame:
+        return pd.DataFrame([(x, self.find(x)) for x in self.parent], columns=["node", "root"], dtype=object)
+
+
+def _local_forests(level: int | None, per_task: int):
+    """Forests of the edges of a partition; one is handed on when it holds ``per_task`` nodes, and the next begun."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest(level)
+        for batch in batches:
+            for a, b in zip(batch["node"], batch["root"]):
+                forest.union(a, b)
+                if len(forest.parent) >= per_task:
+                    yield forest.rows()
+                    forest = Forest(level)
+        yield forest.rows()
+
+    return run
+
+
+def _draw(level: int, node: str) -> Column:
+    return F.crc32(F.concat(F.lit(f"{level}|"), F.col(node)).cast("binary"))
+
+
+def connected_components(edges: DataFrame, a: str, b: str, per_task: int = 1_000_000) -> DataFrame:
     """Columns ``node``, ``root``: every node of ``edges`` with the smallest node of its component.
 
-    Level 0 turns each partition into a forest (at most one row for each of its nodes). A level merges ``fan_in``
-    forests into one, until one is left; it stops early and contracts by stars where the forests together hold more
-    than ``most`` rows, so that no task ever holds more than that. Self-links and NULL ends link nothing.
+    A level turns the edges of each task into forests of at most ``per_task`` nodes. A node of several forests goes to the
+    root that comes first by the level's draw; the next level has these roots for nodes and, for edges, the edges between
+    them, each once. So a level leaves a fraction of the nodes, whatever the shape of the graph, and the last one, whose
+    edges fit one task, is a single forest. No task holds more than ``per_task`` nodes, and a hot node is spread over all
+    tasks that meet it. Self-links and NULL ends link nothing.
     """
-    spark = edges.sparkSession
     links = edges.select(F.col(a).cast("string").alias("node"), F.col(b).cast("string").alias("root")).dropna()
-    nodes = links.select("node").union(links.select(F.col("root").alias("node")))
-    forest = materialise(links.where("node <> root").mapInPandas(_local_forest, FOREST), "forest")
-    parts = max(forest.rdd.getNumPartitions(), parallelism(spark))
-    while parts > 1:
-        if forest.count() > most:
-            forest = _contract(forest)
-            break
-        parts = -(-parts // fan_in)
-        forest = materialise(forest.repartition(parts, "root").mapInPandas(_local_forest, FOREST), "forest")
-    return nodes.distinct().join(forest, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    now = materialise(links.distinct(), "edges")
+    nodes = now.select("node").union(now.select(F.col("root").alias("node"))).distinct()
+    now = now.where("node <> root")
+    steps: list[DataFrame] = []
+    while (left := now.count()) > per_task:
+        level = len(steps)
+        forests = now.mapInPandas(_local_forests(level, per_task), FOREST)
+        step = materialise(forests.groupBy("node").agg(F.min(F.struct(_draw(level, "root").alias("d"), "root")).alias("m")).select("node", F.col("m.root").alias("to")), "forest")
+        steps.append(step)
+        x, y = step.select(F.col("node").alias("nx"), F.col("to").alias("x")), step.select(F.col("node").alias("ny"), F.col("to").alias("y"))
+        joined = now.join(x, F.col("node") == F.col("nx")).join(y, F.col("root") == F.col("ny"))
+        now = materialise(joined.where("x <> y").select(F.least("x", "y").alias("node"), F.greatest("x", "y").alias("root")).distinct(), "edges")
+    last = now.repartition(1).mapInPandas(_local_forests(None, 2 * per_task + 2), FOREST) if left else now.select("node", "root").limit(0)
+    if not steps:
+        return nodes.join(last, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    found = nodes.withColumn("at", F.col("node"))
+    for step in steps:
+        found = found.join(step.select(F.col("node").alias("f"), "to"), F.col("at") == F.col("f"), "left").select("node", F.coalesce("to", "at").alias("at"))
+    found = materialise(found.join(last.select(F.col("node").alias("f"), "root"), F.col("at") == F.col("f"), "left").select("node", F.coalesce("root", "at").alias("at")), "components")
+    first = found.groupBy(F.col("at").alias("f")).agg(F.min("node").alias("root"))
+    return found.join(first, F.col("at") == F.col("f")).select("node", "root")

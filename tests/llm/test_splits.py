@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.llm import splits as s
-from tallyframe.llm.union_find import _contract, connected_components
+from tallyframe.llm.union_find import connected_components
 
 VOCAB = [f"palabra{i}x" for i in range(400)]
 
@@ -34,18 +34,21 @@ def components(pairs):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("most", [10**6, 3])
-def test_components_against_plain_union_find(spark, most):
+@pytest.mark.parametrize("per_task", [10**6, 20])
+def test_components_against_plain_union_find(spark, per_task):
     rng = random.Random(4)
     pairs = [(f"n{rng.randrange(120)}", f"n{rng.randrange(120)}") for _ in range(90)]
     df = spark.createDataFrame([*pairs, ("n1", None), ("n500", "n500")], "a string, b string")
-    got = {r["node"]: r["root"] for r in connected_components(df, "a", "b", fan_in=2, most=most).collect()}
+    got = {r["node"]: r["root"] for r in connected_components(df, "a", "b", per_task=per_task).collect()}
     assert got == components([*pairs, ("n500", "n500")])
 
 
-def test_contract_a_long_chain(spark):
-    df = spark.createDataFrame([(f"{i:03d}", f"{i + 1:03d}") for i in range(60)], "node string, root string")
-    assert {r["root"] for r in _contract(df).collect()} == {"000"}
+@pytest.mark.parametrize("shape", ["chain", "star"])
+def test_graphs_larger_than_a_task(spark, shape):
+    """Neither a long chain nor a hot node needs a task that holds all of it."""
+    ends = [(f"{i:03d}", f"{i + 1:03d}") if shape == "chain" else ("000", f"{i + 1:03d}") for i in range(120)]
+    got = connected_components(spark.createDataFrame(ends, "a string, b string").repartition(4), "a", "b", per_task=30)
+    assert {(r["node"], r["root"]) for r in got.collect()} == {(f"{i:03d}", "000") for i in range(121)}
 
 
 def test_components_of_nothing(spark):
@@ -103,6 +106,43 @@ def test_links_against_brute_force(spark):
     assert found == components(true)
 
 
+def test_known_sites_anywhere(spark):
+    sites = s.known_sites(spark.createDataFrame([("UTB_001",), ("abc 7",), ("x/UTC_1",), (None,), ("fold1_UTB_001",)], "participant string"))
+    assert sites == ["ABC", "UTB"]
+    df = spark.createDataFrame([("fold2_UTB_0012",), ("aug1 utb-12",), ("SESA_012",), ("data/PARTO-3",), ("abc7",)], "n string")
+    assert [r[0] for r in df.select(s.session_of(F.col("n"), sites)).collect()] == ["UTB_12", "UTB_12", "SESA_12", "PARTO_3", "ABC_7"]
+
+
+def test_crowded_bucket_without_links(spark):
+    """Many answers on one form, with more than one word in ten filled in: few pairs are compared, and the links among them are found."""
+    rng = random.Random(8)
+    form = [rng.choice(VOCAB) for _ in range(80)]
+
+    def filled():
+        w = form.copy()
+        for i in range(0, 80, 6):
+            w[i] = f"relleno{rng.randrange(10**6)}"
+        return w
+
+    rows = [(f"UTB_{i + 1:07d}", " ".join(filled())) for i in range(1500)]
+    twin = filled()
+    rows += [("UTC_0000001", " ".join(twin)), ("UTC_0000002", " ".join([*twin[:-3], "uno", "dos", "tres"]))]
+    got = s.link_sessions(answers(spark, rows))
+    assert {tuple(sorted(r)) for r in got.collect()} == {("UTC_1", "UTC_2")}
+
+
+def test_rare_words_meet_in_every_link(spark):
+    """The prefix filter against all pairs."""
+    rng = random.Random(12)
+    base = [text(rng, rng.choice([40, 60, 90])) for _ in range(12)]
+    texts = [edit(rng, t, x) for t in base for x in (0, 0.05, 0.1, 0.1, 0.3)]
+    texts += [" ".join(t.split()[:-3]) for t in base]
+    ids = [np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint32) for t in texts]
+    docs = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(ids)], "rid long, ids binary")
+    got = {tuple(r) for r in s._apart(docs.select(F.lit(1).alias("key"), "rid", F.col("rid").alias("part")), docs, 0.1).collect()}
+    assert {(i, j) for j in range(len(ids)) for i in range(j) if s.same_but_few(ids[i], ids[j], 0.1)} <= got
+
+
 def test_pairs_of_one_person(spark):
     rng = random.Random(5)
     t = text(rng)
