@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.scores import normal_cdf
-from tallyframe.operators.metrics import average_rank, same_keys
+from tallyframe.operators.metrics import average_rank, running_sums, same_keys
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, ident: str) -> DataFrame:
@@ -58,20 +58,16 @@ def wilcoxon(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
     p is 1 where every difference is 0. For few pairs without ties see ``wilcoxon_exact``.
     """
-    d = df.select(*keys, (F.col(a) - F.col(b)).alias("d"))
-    used = d.where((F.col("d").isNotNull()) & (F.abs("d") > 1e-12)).withColumn("m", F.round(F.abs("d"), 12))
-    ranks = average_rank(used, keys, "m")
-    on = same_keys("a", "b", [*keys, "m"])
-    signed = used.groupBy(*keys, "m").agg(F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"), F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).alias("down"))
-    both = signed.alias("a").join(ranks.alias("b"), on).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.up", "a.down", "b.n", "b.avg_rank")
-    sums = both.groupBy(*keys).agg(F.sum("n").alias("pairs"), F.sum(F.col("up") * F.col("avg_rank")).alias("wp"), F.sum(F.col("down") * F.col("avg_rank")).alias("wm"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
+    d = F.col(a) - F.col(b)
+    size = F.when(F.abs(d) > 1e-12, F.round(F.abs(d), 12)).otherwise(0.0)
+    # One pass: signs are counted for each size of the difference before anything is ranked; size 0 keeps groups without any difference.
+    counted = df.select(*keys, F.coalesce(size, F.lit(0.0)).alias("m"), d.alias("d")).groupBy(*keys, "m").agg(F.sum(F.when((F.col("m") > 0) & (F.col("d") > 0), 1).otherwise(0)).alias("up"), F.sum(F.when((F.col("m") > 0) & (F.col("d") < 0), 1).otherwise(0)).alias("down"))
+    ranked = running_sums(counted.withColumn("n", F.col("up") + F.col("down")), keys, "m", ["n"]).withColumn("rank", F.col("n_below") + (F.col("n") + 1) / 2.0)
+    sums = ranked.groupBy(*keys).agg(F.sum("n").alias("pairs"), F.sum(F.col("up") * F.col("rank")).alias("wp"), F.sum(F.col("down") * F.col("rank")).alias("wm"), F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"))
     n = F.col("pairs").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
     z = F.try_divide(F.least("wp", "wm") - n * (n + 1) / 4, spread)
-    done = sums.select(*keys, "pairs", F.least("wp", "wm").alias("w"), F.least(F.lit(1.0), 2 * normal_cdf(z)).alias("p"))
-    groups = d.select(*keys).distinct()
-    found = groups.alias("a").join(done.alias("b"), same_keys("a", "b", keys), "left")
-    return found.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.coalesce("b.pairs", F.lit(0)).alias("pairs"), F.coalesce("b.w", F.lit(0.0)).alias("w"), F.coalesce("b.p", F.lit(1.0)).alias("p"))
+    return sums.select(*keys, "pairs", F.least("wp", "wm").alias("w"), F.coalesce(F.least(F.lit(1.0), 2 * normal_cdf(z)), F.lit(1.0)).alias("p"))
 
 
 def exact_signed_rank_p(w: float, n: int) -> float:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from tallyframe.functions import lexicons as lex
 from tallyframe.functions.text import _ACCENTED, _PLAIN, fold_word
+from tallyframe.operators import features
 from tallyframe.operators.tfidf import stop_words
+from tallyframe.plans import blocks
 
 ORACLES: dict[str, str] = {}
 
@@ -62,9 +64,9 @@ strata as (select participant, phq9_total, gad7_total, case when count(*) over (
 SPLIT = f"""marked as (select *, case when row_number() over (partition by stratum order by {draw("participant", "'42'")}, participant)
   <= round_even(count(*) over (partition by stratum) * 0.3, 0) then 'test' else 'train' end as split from strata)"""
 MEAN = "mean as (select encoder, target, session, avg(y_true) as y_true, avg(y_pred) as y_pred from scored group by all)"
-CLIPPED = f"clipped as (select encoder, target, session, round(y_true, 9) as y_true, round({clip('y_pred')}, 9) as y_pred from mean where encoder is not null and target is not null)"
-BANDED = f"""banded as (select *, {band("y_true")} as bt, {band("y_pred")} as bp, (y_true >= 10)::int as st, (y_pred >= 10)::int as sp from
-  (select encoder, target, family, y_true, {clip("y_pred")} as y_pred from scored) where target is not null and y_pred is not null)"""
+CLIPPED = f"clipped as (select * from (select encoder, target, session, round(y_true, 9) as y_true, round({clip('y_pred')}, 9) as y_pred from mean where encoder is not null and target is not null) where y_pred is not null)"
+BANDED = f"""{MEAN}, {CLIPPED}, banded as (select *, {band("y_true")} as bt, {band("y_pred")} as bp, (y_true >= 10)::int as st, (y_pred >= 10)::int as sp from clipped)"""
+BANDED_FAMILY = BANDED.replace("encoder", "family")
 PAIRS = """pairs as (select a.encoder, a.target, a.session, round(abs(a.y_pred - a.y_true), 6) as ea, round(abs(b.y_pred - a.y_true), 6) as eb
   from clipped a join clipped b on a.session = b.session and a.target = b.target where a.encoder <> 'e0_tfidf_base' and b.encoder = 'e0_tfidf_base')"""
 BASE = f"with {SCORED}, {MEAN}, {CLIPPED}, {PAIRS}"
@@ -159,11 +161,11 @@ O["a1_mean_per_person"] = f"with {SCORED}, {MEAN} select encoder, target, sessio
 O["a13_error_by_granularity"] = f"with {SCORED} select granularity, target, count(*) as n, round(sqrt(avg((y_pred - y_true) ** 2)), 6) as rmse from scored group by all"
 O["a18_mean_baseline"] = f"with {PEOPLE}, {STRATA}, {SPLIT}, p as (select avg(phq9_total) as p from marked where split = 'train'), t as (select phq9_total as y from marked where split = 'test') select count(*) as n, round(sqrt(avg((p - y) ** 2)), 6) as rmse, round(avg(abs(p - y)), 6) as mae, round(1 - sum((p - y) ** 2) / (var_pop(y) * count(*)), 6) as r2 from t, p"
 O["a21_out_of_fold"] = f"with {SCORED}, {MEAN}, {CLIPPED} select encoder, target, count(*) as n, round(sqrt(avg((y_pred - y_true) ** 2)), 6) as rmse from clipped where y_pred is not null group by all"
-O["x1_regression"] = f"with {SCORED} select encoder, target, count(*) as n, round(sqrt(avg((y_pred - y_true) ** 2)), 6) as rmse, round(avg(abs(y_pred - y_true)), 6) as mae, round(1 - sum((y_pred - y_true) ** 2) / nullif(var_pop(y_true) * count(*), 0), 5) as r2 from scored group by all"
+O["x1_regression"] = f"with {SCORED}, {MEAN}, {CLIPPED} select encoder, target, count(*) as n, round(sqrt(avg((y_pred - y_true) ** 2)), 6) as rmse, round(avg(abs(y_pred - y_true)), 6) as mae, round(1 - sum((y_pred - y_true) ** 2) / nullif(var_pop(y_true) * count(*), 0), 5) as r2 from clipped group by all"
 O["f13_bands"] = f"select participant, {band('phq9_total')} as phq_band, {band('gad7_total')} as gad_band, (phq9_total >= 10)::int as phq_screen, (gad7_total >= 10)::int as gad_screen from scores"
-O["f15_clip"] = f"with {SCORED} select target, min(round({clip('y_pred')}, 6)) as low, max(round({clip('y_pred')}, 6)) as high, sum((y_pred <> {clip('y_pred')})::int)::bigint as moved from scored group by all"
+O["f15_clip"] = f"with {SCORED}, {MEAN}, r as (select target, round(y_pred, 9) as raw from mean), k as (select target, raw, round({clip('raw')}, 9) as kept from r) select target, round(min(kept), 6) as low, round(max(kept), 6) as high, sum((raw <> kept)::int)::bigint as moved from k where kept is not null group by all"
 O["f28_standardise"] = f"with {PEOPLE} select participant, round((phq9_total - avg(phq9_total) over ()) / coalesce(nullif(stddev_pop(phq9_total) over (), 0), 1), 6) as z from people"
-O["x2_confusion"] = f"with {SCORED}, {BANDED}, g as (select distinct target, family from banded), l as (select unnest([0, 1, 2, 3]) as l) select g.target, g.family, a.l as bt, b.l as bp, (select count(*) from banded x where x.target = g.target and x.family is not distinct from g.family and x.bt = a.l and x.bp = b.l) as n from g, l a, l b"
+O["x2_confusion"] = f"with {SCORED}, {BANDED_FAMILY}, g as (select distinct target, family from banded), l as (select unnest([0, 1, 2, 3]) as l) select g.target, g.family, a.l as bt, b.l as bp, (select count(*) from banded x where x.target = g.target and x.family is not distinct from g.family and x.bt = a.l and x.bp = b.l) as n from g, l a, l b"
 _LAB = """lab as (select encoder, target, unnest(list_distinct([{t}, {p}])) as label, {t} as t, {p} as p from banded),
 f as (select encoder, target, label, sum((t = label and p = label)::int) as tp, sum((t <> label and p = label)::int) as fp, sum((t = label and p <> label)::int) as fn from lab group by all)"""
 O["x3_f1_macro"] = f"with {SCORED}, {BANDED}, {_LAB.format(t='bt', p='bp')} select encoder, target, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) as f1_macro from f group by all"
@@ -184,14 +186,29 @@ O["x9_wilcoxon"] = f"{BASE}, {_W} select encoder, target, pairs, round(w, 3) as
 O["w3_holm"] = f"{BASE}, {_W}, q as (select encoder, target, round(p, 5) as p, row_number() over (partition by target order by round(p, 5), encoder) as k, count(*) over (partition by target) as m from tested), c as (select *, 0.05 / (m - k + 1) as threshold from q) select encoder, target, p, round(threshold, 9) as threshold, min((p <= threshold)::int) over (partition by target order by k rows unbounded preceding) = 1 as significant from c"
 O["w2_bh"] = f"{BASE}, {_W}, q as (select encoder, target, round(p, 5) as p, row_number() over (partition by target order by round(p, 5), encoder) as k, count(*) over (partition by target) as m from tested) select encoder, target, p, round(least(1.0, min(p * m / k) over (partition by target order by k desc rows unbounded preceding)), 6) as q from q"
 O["w4_average_rank"] = f"with {PEOPLE}, r as (select phq9_total, rank() over (order by phq9_total) + (count(*) over (partition by phq9_total) - 1) / 2.0 as r from people) select phq9_total, count(*) as n, max(r)::double as avg_rank from r group by all"
-_U = draw("'42'", "b::varchar", "session") + " / 4294967296.0"
-_POISSON = " + ".join(f"({_U} >= {s})::int" for s in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))
-O["x7_bootstrap"] = f"{BASE}, v as (select target, session, ea - eb as d from pairs where encoder like 'l%'), w as (select target, b, d, {_POISSON} as w from v, (select unnest(range(1, 201)) as b)), m as (select target, b, sum(d * w) / nullif(sum(w), 0) as m from w group by all) select target, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high from m group by all"
 STATS = f"""ws as (select row_id, participant, w, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0)::double, 0) as mean_word_len from (select row_id, participant, {words("text")} as w from answers))"""
 O["x11_spearman"] = f"with {ANSWERS}, {STATS}, {PEOPLE}, f as (select participant, sum(n_words) as words, round(avg(mean_word_len), 6) as word_len from ws group by all), j as (select * from f join people using (participant)), long as (select 'words' as feature, words::double as x, 'phq9_total' as target, phq9_total as y from j union all select 'words', words::double, 'gad7_total', gad7_total from j union all select 'word_len', word_len, 'phq9_total', phq9_total from j union all select 'word_len', word_len, 'gad7_total', gad7_total from j), {spearman('long', 'x', 'y', 'feature, target')} select feature, target, n, round(rho, 5) as rho from rho"
 O["x12_collinear"] = f"with {log(*_COLS)}, d as (select * from log where run_id is not null and {' and '.join(c + ' is not null' for c in _COLS)}), r as (" + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, abs(corr({a}, {b})) as r from d" for i, a in enumerate(_COLS) for b in _COLS[i + 1 :]) + ") select feature_a, feature_b, round(r, 5) as r from r where r >= 0.8"
-_CON = "c as (select * from (values ('tuned_vs_frozen', 'fine-tuning', 'frozen'), ('named_vs_frozen', 'lexical', 'frozen'), ('cv_vs_tuned', 'fine-tuning-cv', 'fine-tuning')) t(contrast, a, b))"
-O["x15_contrast_table"] = f"with {SCORED}, m as (select family, target, session, round(avg(y_true), 9) as y, round(avg(y_pred), 9) as p from scored where family is not null and target is not null group by all), {_CON}, dd as (select contrast, x.target, round((x.p - x.y) ** 2, 6) as sa, round((z.p - x.y) ** 2, 6) as sb from c join m x on x.family = a join m z on z.family = b and z.target = x.target and z.session = x.session), {wilcoxon('dd', 'contrast, target', 'sa', 'sb')}, q as (select contrast, target, pairs, round(p, 5) as p, row_number() over (partition by target order by round(p, 5), contrast) as k, count(*) over (partition by target) as m from tested) select contrast, target, pairs, p, min((p <= 0.05 / (m - k + 1))::int) over (partition by target order by k rows unbounded preceding) = 1 as significant from q"
+_CON = "c as (select * from (values ('tuned_vs_frozen', 'fine-tuning', 'frozen'), ('named_vs_frozen', 'lexical', 'frozen'), ('cv_vs_tuned', 'fine-tuning-cv', 'fine-tuning'), ('affect_on_lexical', 'l1_lexical', 'l2_lexical__affect')) t(contrast, a, b))"
+_CK = "search, granularity, target"
+O["x15_contrast_table"] = f"""with {SCORED}, {_CON}, s as (select *, family as side from scored union all select *, split_part(encoder, '_v', 1) from scored),
+m as (select {_CK}, side, session, round(avg(y_true), 9) as y, round(avg(y_pred), 9) as p from s where side in (select a from c union select b from c) and target is not null group by all),
+dd as (select c.contrast, x.search, x.granularity, x.target, round((x.p - x.y) ** 2, 6) as sa, round((z.p - x.y) ** 2, 6) as sb, round(abs(x.p - x.y), 6) as aa, round(abs(z.p - x.y), 6) as ab
+  from c join m x on x.side = a join m z on z.side = b and z.target = x.target and z.session = x.session and z.search = x.search and z.granularity = x.granularity),
+{wilcoxon("dd", f"contrast, {_CK}", "sa", "sb")}, n as (select contrast, {_CK}, count(*) as n, round(avg(sa - sb), 6) as d_squared, round(avg(aa - ab), 6) as d_absolute from dd group by all),
+q as (select contrast, {_CK}, pairs, round(p, 5) as p, row_number() over (partition by {_CK} order by round(p, 5), contrast) as k, count(*) over (partition by {_CK}) as m from tested)
+select contrast, {_CK}, n.n, pairs, d_squared, d_absolute, p, min((p <= 0.05 / (m - k + 1))::int) over (partition by {_CK} order by k rows unbounded preceding) = 1 as significant from q join n using (contrast, {_CK})"""
+_KIND = "case split_part(encoder, '_v', 1) " + " ".join(f"when '{a}' then '{b}'" for a, b in {"e0_tfidf_base": "tf-idf", "e1_beto": "beto", "e5_beto-ft": "beto", "e6_beto-cv": "beto", "e2_e5-small": "e5-small", "e2_e5-base": "e5-base", "e2_e5-large": "e5-large", "e5_roberta-ft": "roberta"}.items()) + " else split_part(encoder, '_v', 1) end"
+_SIDES = [("granularity", "participant", "question", "family = 'frozen' and augmentation = 'no_augmentation' and granularity = 'participant'", "family = 'frozen' and augmentation = 'no_augmentation' and granularity = 'question'"),
+          ("stopping", "holdout", "cross-validation", "family = 'fine-tuning'", "family = 'fine-tuning-cv' and augmentation = 'augmented'"),
+          ("fine_tuning", "frozen", "fine-tuned", "family = 'frozen' and augmentation = 'augmented' and granularity = 'question'", "family = 'fine-tuning-cv' and augmentation = 'augmented'")]
+O["x16_checkpoint_contrasts"] = f"""with {log("encoder", "target", "family", "granularity", "augmentation", "split", "rmse")}, t as (select *, {_KIND} as arm from log where split = 'test' and encoder is not null and target is not null and rmse is not null),
+s as ({" union all ".join(f"select '{c}' as contrast, '{na}' as na, '{nb}' as nb, arm, target, avg(rmse) filter ({fa}) as a, avg(rmse) filter ({fb}) as b from t group by arm, target" for c, na, nb, fa, fb in _SIDES)}),
+base as (select target, granularity, avg(rmse) as a from t where augmentation = 'no_augmentation' and split_part(encoder, '_v', 1) = 'e2_e5-small' group by all),
+ad as (select encoder, target, granularity, avg(rmse) as b from t where augmentation = 'no_augmentation' and split_part(encoder, '_v', 1) = 'e3_e5-tsdae' group by all),
+u as (select contrast, na, nb, arm, target, null as granularity, a, b from s where a is not null and b is not null union all select 'tsdae', 'e5-small', 'e5-small adapted', encoder, target, granularity, a, b from ad join base using (target, granularity)),
+r as (select contrast, na, nb, arm, target, granularity, round(a, 6) as a, round(b, 6) as b from u)
+select contrast, arm, target, granularity, a, b, round(b - a, 6) as difference, case when a < b then na else nb end as winner from r"""
 
 O["a19_strata"] = f"with {PEOPLE}, {STRATA} select stratum, count(*) as n from strata group by all"
 O["d1_split"] = f"with {PEOPLE}, {STRATA}, {SPLIT} select participant, stratum, split from marked"
@@ -263,8 +280,9 @@ _COS = "list_inner_product(a.v, b.v) / (a.n * b.n)"
 O["f17_unit"] = f"with {EMB} select vec_id, round(n, 6) as length, round(v[1] / n, 6) as first from e"
 O["t6_mean_pool"] = f"with {EMB}, x as (select label, unnest(range(0, len(v)))::int as i, unnest(v) as x from e) select label, i, round(avg(x), 5) as x from x group by all"
 O["w7_knn"] = f"with {EMB}, p as (select a.vec_id, b.vec_id as neighbour, round({_COS}, 6) as similarity from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) select * from (select *, row_number() over (partition by vec_id order by similarity desc, neighbour)::int as place from p) where place <= 5"
-O["j11_similar"] = f"with {EMB}, p as (select a.vec_id, b.vec_id as neighbour, round({_COS}, 6) as similarity from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) select vec_id, neighbour, similarity from (select *, row_number() over (partition by vec_id order by similarity desc, neighbour) as place from p) where place <= 20 and similarity >= 0.2"
+O["j11_similar"] = f"with {EMB}, p as (select a.vec_id, b.vec_id as neighbour, round({_COS}, 6) as similarity from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) select vec_id, neighbour, similarity from p where similarity >= 0.2"
 O["t8_cosine_spread"] = f"with {EMB}, p as (select {_COS} as c from e a join e b on a.vec_id <> b.vec_id) select (select count(*) from e) as n, round(avg(c), 5) as mean, round(stddev_pop(c), 5) as sd from p"
+O["t8_cosine_percentiles"] = f"with {EMB}, p as (select round({_COS}, 6) as c from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0) select count(*) as pairs, round(quantile_cont(c, 0.05), 5) as p05, round(quantile_cont(c, 0.95), 5) as p95 from p"
 O["t9_silhouette"] = f"with {EMB}, p as (select a.vec_id, a.label, b.label as other, avg(1 - {_COS}) as d from e a join e b on a.vec_id <> b.vec_id group by all), s as (select vec_id, max(d) filter (label = other) as a, min(d) filter (label <> other) as b from p group by all) select count(*) as n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) as silhouette from s"
 O["t10_rank_correlation"] = f"with {EMB}, p as (select round(1 - {_COS}, 6) as d, abs(a.label - b.label)::double as gap from e a join e b on a.vec_id <> b.vec_id where b.vec_id % 100 = 0), {spearman('p', 'd', 'gap')} select n, round(rho, 4) as rho from rho"
 O["t5_scaling"] = f"with {EMB}, x as (select vec_id, unnest(range(0, len(v)))::int as i, unnest(v) as x from e) select vec_id, i, round(coalesce((x - avg(x) over (partition by i)) / nullif(stddev_pop(x) over (partition by i), 0), 0), 4) as z from x"
@@ -280,9 +298,25 @@ O["d3_group_split"] = f"with {SCORED}, g as (select session, count(*) as n from
 O["d6_named_corpora"] = f"with {ANSWERS} select 'interviews' as corpus, count(*) as texts, count(distinct participant) as people, sum(length(text))::bigint as chars from answers union all select 'documents', count(*), count(distinct author), sum(length(text))::bigint from documents where text is not null and author is not null"
 O["o1_mixed_sort"] = f"with {log('family', 'target', 'rmse')} select family, target, count(*) as n, round(min(rmse), 6) as best from log where rmse is not null group by all"
 O["o8_global_first"] = f"select min(doc_id) as doc_id, count(*) as copies from (select doc_id, {fold(FLAT)} as t from documents where text is not null) group by t having count(*) > 1"
-_W2 = wilcoxon("squared", "encoder, target", "ea", "eb")
-O["x8_paired_comparison"] = f"{BASE}, squared as (select encoder, target, round(ea ** 2, 9) as ea, round(eb ** 2, 9) as eb from pairs), {_W2}, m as (select encoder, target, round(avg(ea ** 2 - eb ** 2), 6) as d_squared from pairs group by all) select encoder, target, pairs, d_squared, round(p, 5) as p from m join tested using (encoder, target)"
+_Q = f"{BASE}, squared as (select encoder, target, round(ea ** 2, 9) as ea, round(eb ** 2, 9) as eb from pairs)"
+_W2 = f"with r1 as ({_Q}, {wilcoxon('squared', 'encoder, target', 'ea', 'eb')} select encoder, target, pairs, round(p, 5) as p from tested), r2 as ({BASE}, {wilcoxon('pairs', 'encoder, target', 'ea', 'eb')} select encoder, target, round(p, 5) as p_absolute from tested), m as ({BASE} select encoder, target, round(avg(ea ** 2 - eb ** 2), 6) as d_squared, round(avg(ea - eb), 6) as d_absolute from pairs group by all)"
+O["x8_paired_comparison"] = f"{_W2} select encoder, target, pairs, d_squared, p, d_absolute, p_absolute from m join r1 using (encoder, target) join r2 using (encoder, target)"
 O["x10_all_equal_sets"] = f"with {SCORED}, s as (select encoder, target, list_sort(list(distinct seed) filter (seed is not null)) as seeds from scored where encoder is not null group by all) select encoder, count(distinct seeds) = 1 as same_seeds from s group by all"
 
+_BLOCKS = "with recursive " + blocks.block_sql(ANSWERS, fold, draw, in_list, phrases).replace("{MTLD}", blocks.MTLD_STEPS)
+
+
+def _columns(names) -> str:
+    return ", ".join(f"round({c}, 6) as {c}" for c in names)
+
+
+for _q, _b in (("b1_person", "person"), ("b3_clinical", "clinical"), ("b4_morphosyntax", "morphosyntax"), ("b5_richness", "richness")):
+    O[_q] = f"{_BLOCKS} select row_id, {_columns(features.REGISTRY[_b].features)} from answer"
+O["b7_affect"] = f"{_BLOCKS} select row_id, {_columns(features.feature_names('affect'))} from answer"
+O["b9_answer_features"] = f"{_BLOCKS} select row_id, {_columns(features.feature_names('lexical-affect'))} from answer"
+_SPREAD = features.SPREAD["lexical"] + features.SPREAD["affect"]
+_PER = [*[(f"avg({c})", c) for c in features.feature_names("lexical-affect")], *[(f"stddev_pop({c})", f"{c}_sd") for c in _SPREAD], ("sum(n_words)", "n_words_total"), ("count(*)::double", "n_answers"), ("avg(n_words)", "words_per_answer_mean"), ("stddev_pop(n_words)", "words_per_answer_sd")]
+O["b10_participant_features"] = f"{_BLOCKS}, per as (select participant, {', '.join(f'{e} as {c}' for e, c in _PER)} from answer group by participant) select p.participant, {', '.join(f'round(coalesce(per.{c}, 0), 6) as {c}' for _, c in _PER)} from (select distinct participant from scores where participant is not null) p left join per on per.participant = p.participant"
+
 for _name in ORACLES:
     ORACLES[_name] = steady(ORACLES[_name])

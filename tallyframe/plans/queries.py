@@ -12,6 +12,7 @@ from tallyframe.functions import text as tx
 from tallyframe.functions.scores import band, clip_target, finite, screen
 from tallyframe.functions.vectors import cosine, norm, unit
 from tallyframe.operators import corpus, features, metrics, models, runs, splits, stats, tfidf, vectors
+from tallyframe.plans import blocks
 from tallyframe.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,9 +342,12 @@ def a18_mean_baseline(spark, sf):
     return metrics.regression(both, [], "phq9_total", "y_pred").select("n", r6("rmse").alias("rmse"), r6("mae").alias("mae"), r6("r2").alias("r2"))
 
 
-def _clipped(spark, sf):
-    mean = metrics.aggregate_predictions(scored(spark, sf), ["encoder", "target"], "session")
-    return mean.withColumn("y_pred", F.round(clip_target(F.col("y_pred"), F.col("target")), 9)).withColumn("y_true", F.round("y_true", 9)).where("encoder is not null and target is not null")
+def _clipped(spark, sf, *by: str):
+    """Truth and prediction of each participant: the mean over the rows of one ``by`` and target, then clipped to the scale."""
+    by = by or ("encoder",)
+    mean = metrics.aggregate_predictions(scored(spark, sf), [*by, "target"], "session")
+    known = mean.withColumn("y_pred", F.round(clip_target(F.col("y_pred"), F.col("target")), 9)).withColumn("y_true", F.round("y_true", 9))
+    return known.where(" and ".join(f"{c} is not null" for c in (*by, "target", "y_pred")))
 
 
 @query
@@ -353,12 +357,11 @@ def a21_out_of_fold(spark, sf):
 
 @query
 def x1_regression(spark, sf):
-    return metrics.regression(scored(spark, sf), ["encoder", "target"], "y_true", "y_pred").select("encoder", "target", "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"), rnd("r2", 5).alias("r2"))
+    return metrics.regression(_clipped(spark, sf), ["encoder", "target"], "y_true", "y_pred").select("encoder", "target", "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"), rnd("r2", 5).alias("r2"))
 
 
-def _banded(spark, sf):
-    df = scored(spark, sf).withColumn("y_pred", clip_target(F.col("y_pred"), F.col("target"))).where("target is not null and y_pred is not null")
-    return df.withColumns({"bt": band(F.col("y_true")), "bp": band(F.col("y_pred")), "st": screen(F.col("y_true")), "sp": screen(F.col("y_pred"))})
+def _banded(spark, sf, *by: str):
+    return _clipped(spark, sf, *by).withColumns({"bt": band(F.col("y_true")), "bp": band(F.col("y_pred")), "st": screen(F.col("y_true")), "sp": screen(F.col("y_pred"))})
 
 
 @query
@@ -369,8 +372,10 @@ def f13_bands(spark, sf):
 
 @query
 def f15_clip(spark, sf):
-    df = scored(spark, sf)
-    return df.groupBy("target").agg(F.min(rnd(clip_target(F.col("y_pred"), F.col("target")), 6)).alias("low"), F.max(rnd(clip_target(F.col("y_pred"), F.col("target")), 6)).alias("high"), F.sum((F.col("y_pred") != clip_target(F.col("y_pred"), F.col("target"))).cast("bigint")).alias("moved"))
+    """Clipping comes after the mean of a participant, never before."""
+    mean = metrics.aggregate_predictions(scored(spark, sf), ["encoder", "target"], "session").withColumn("raw", F.round("y_pred", 9))
+    clipped = mean.withColumn("kept", F.round(clip_target(F.col("raw"), F.col("target")), 9)).where("kept is not null")
+    return clipped.groupBy("target").agg(rnd(F.min("kept"), 6).alias("low"), rnd(F.max("kept"), 6).alias("high"), F.sum((F.col("raw") != F.col("kept")).cast("bigint")).alias("moved"))
 
 
 @query
@@ -382,7 +387,7 @@ def f28_standardise(spark, sf):
 
 @query
 def x2_confusion(spark, sf):
-    return metrics.confusion(_banded(spark, sf), ["target", "family"], "bt", "bp", [0, 1, 2, 3])
+    return metrics.confusion(_banded(spark, sf, "family"), ["target", "family"], "bt", "bp", [0, 1, 2, 3])
 
 
 @query
@@ -484,23 +489,39 @@ def x12_collinear(spark, sf):
     return long.where("r >= 0.8").select("feature_a", "feature_b", rnd("r", 5).alias("r"))
 
 
-@query
-def x15_contrast_table(spark, sf):
-    """Holm within one search, granularity and target; a side is a family or, for the named features, an arm over its versions."""
-    contrasts = [("tuned_vs_frozen", "fine-tuning", "frozen"), ("named_vs_frozen", "lexical", "frozen"), ("cv_vs_tuned", "fine-tuning-cv", "fine-tuning"), ("affect_on_lexical", "l1_lexical", "l2_lexical__affect")]
-    used = sorted({x for c in contrasts for x in c[1:]})
+#: Contrasts between two sides; a side is a family or, for the named features, an arm over its versions.
+CONTRASTS = [("tuned_vs_frozen", "fine-tuning", "frozen"), ("named_vs_frozen", "lexical", "frozen"), ("cv_vs_tuned", "fine-tuning-cv", "fine-tuning"), ("affect_on_lexical", "l1_lexical", "l2_lexical__affect")]
+_CELL_KEYS = ["search", "granularity", "target"]
+
+
+def _contrasted(spark, sf):
+    """Squared and absolute errors of both sides of each contrast, a row a participant and (search, granularity, target)."""
+    used = sorted({x for c in CONTRASTS for x in c[1:]})
     sides = F.filter(F.array("family", F.substring_index("encoder", "_v", 1)), lambda x: x.isin(used))
-    keys = ["search", "granularity", "target"]
     rows = scored(spark, sf).where("target is not null").withColumn("side", F.explode(sides))
-    df = metrics.aggregate_predictions(rows, [*keys, "side"], "session").withColumns({"y_true": F.round("y_true", 9), "y_pred": F.round("y_pred", 9)})
-    left = df.join(F.broadcast(spark.createDataFrame(contrasts, "contrast string, a string, b string")), F.col("side") == F.col("a")).select(*keys, "contrast", "session", "b", F.col("y_true").alias("y"), F.col("y_pred").alias("pa"))
-    both = left.join(df.select(*keys, F.col("side").alias("b"), "session", F.col("y_pred").alias("pb")), [*keys, "b", "session"])
-    d = both.select(*keys, "contrast", "session", rnd((F.col("pa") - F.col("y")) ** 2, 6).alias("sa"), rnd((F.col("pb") - F.col("y")) ** 2, 6).alias("sb")).withColumn("d", F.col("sa") - F.col("sb"))
-    tested = stats.wilcoxon(d, [*keys, "contrast"], "sa", "sb").withColumn("p", rnd("p", 5))
-    means = d.groupBy(*keys, "contrast").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("d_squared"))
-    intervals = stats.bootstrap_interval(d, [*keys, "contrast"], "session", "d")
-    whole = stats.holm(tested, keys, "p", "contrast").join(means, [*keys, "contrast"]).join(intervals, [*keys, "contrast"])
-    return whole.select("contrast", *keys, "n", "pairs", "d_squared", r6("low").alias("low"), r6("high").alias("high"), "p", "significant")
+    df = metrics.aggregate_predictions(rows, [*_CELL_KEYS, "side"], "session").withColumns({"y_true": F.round("y_true", 9), "y_pred": F.round("y_pred", 9)})
+    left = df.join(F.broadcast(spark.createDataFrame(CONTRASTS, "contrast string, a string, b string")), F.col("side") == F.col("a")).select(*_CELL_KEYS, "contrast", "session", "b", F.col("y_true").alias("y"), F.col("y_pred").alias("pa"))
+    both = left.join(df.select(*_CELL_KEYS, F.col("side").alias("b"), "session", F.col("y_pred").alias("pb")), [*_CELL_KEYS, "b", "session"])
+    ea, eb = F.col("pa") - F.col("y"), F.col("pb") - F.col("y")
+    made = {"sa": rnd(ea**2, 6), "sb": rnd(eb**2, 6), "aa": rnd(F.abs(ea), 6), "ab": rnd(F.abs(eb), 6)}
+    return both.select(*_CELL_KEYS, "contrast", "session", *[c.alias(n) for n, c in made.items()]).withColumns({"d": F.col("sa") - F.col("sb"), "e": F.col("aa") - F.col("ab")})
+
+
+@query
+def x15_contrast_table(spark, sf):
+    """Holm within one search, granularity and target."""
+    d = _contrasted(spark, sf)
+    tested = stats.wilcoxon(d, [*_CELL_KEYS, "contrast"], "sa", "sb").withColumn("p", rnd("p", 5))
+    means = d.groupBy(*_CELL_KEYS, "contrast").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("d")).alias("d_squared"), r6(F.avg("e")).alias("d_absolute"))
+    whole = stats.holm(tested, _CELL_KEYS, "p", "contrast").join(means, [*_CELL_KEYS, "contrast"])
+    return whole.select("contrast", *_CELL_KEYS, "n", "pairs", "d_squared", "d_absolute", "p", "significant")
+
+
+@query
+def x15_contrast_intervals(spark, sf):
+    """Bootstrap intervals of the contrasts (2000 resamples; no SQL, as the draws are numpy's)."""
+    got = stats.bootstrap_intervals(_contrasted(spark, sf), [*_CELL_KEYS, "contrast"], "session", ["d", "e"])
+    return got.select("contrast", *_CELL_KEYS, r6("d_low").alias("squared_low"), r6("d_high").alias("squared_high"), r6("e_low").alias("absolute_low"), r6("e_high").alias("absolute_high"))
 
 
 # Splits and guards -------------------------------------------------------------------------------------------
@@ -666,6 +687,52 @@ def a11_entity_features(spark, sf):
     return got.select("participant", *[r6(c).alias(c) for c in got.columns if c != "participant"])
 
 
+def _block(spark, sf, name: str):
+    got = features.extract(blocks.annotated(answers(spark, sf)), (name,), ["row_id"])
+    return got.select("row_id", *[r6(c).alias(c) for c in got.columns if c != "row_id"])
+
+
+@query
+def b1_person(spark, sf):
+    return _block(spark, sf, "person")
+
+
+@query
+def b3_clinical(spark, sf):
+    return _block(spark, sf, "clinical")
+
+
+@query
+def b4_morphosyntax(spark, sf):
+    return _block(spark, sf, "morphosyntax")
+
+
+@query
+def b5_richness(spark, sf):
+    return _block(spark, sf, "richness")
+
+
+@query
+def b7_affect(spark, sf):
+    tagged = blocks.annotated(answers(spark, sf))
+    got = features.affect(tagged.select("row_id", "tokens"), blocks.norms(tagged), ["row_id"])
+    return got.select("row_id", *[r6(c).alias(c) for c in features.feature_names("affect")])
+
+
+@query
+def b9_answer_features(spark, sf):
+    """All 72 features of an answer, in the order of the registry."""
+    got = blocks.answer_features(answers(spark, sf))
+    return got.select("row_id", *[r6(c).alias(c) for c in features.feature_names("lexical-affect")])
+
+
+@query
+def b10_participant_features(spark, sf):
+    """The 85 columns of a participant."""
+    got = blocks.participant_features(answers(spark, sf), table(spark, sf, "scores").dropna(subset=["participant"]))
+    return got.select("participant", *[r6(c).alias(c) for c in got.columns if c != "participant"])
+
+
 @query
 def b2_b6_lists(spark, sf):
     df = features.annotate(answers(spark, sf), "text")
@@ -802,11 +869,26 @@ def t9_silhouette(spark, sf):
     return vectors.silhouette(table(spark, sf, "embeddings"), "vec_id", "embedding", "label").select("n", rnd("silhouette", 5).alias("silhouette"))
 
 
+def _query_pairs(spark, sf):
+    """Each vector of the stated query set with each other vector, and their labels."""
+    e = table(spark, sf, "embeddings")
+    near = vectors.similar(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", -2.0)
+    labels = e.select(F.col("vec_id").alias("i"), "label")
+    both = near.join(labels.select(F.col("i").alias("vec_id"), F.col("label").alias("lq")), "vec_id").join(labels.select(F.col("i").alias("neighbour"), F.col("label").alias("lb")), "neighbour")
+    return both.select("vec_id", "neighbour", "similarity", "lq", "lb")
+
+
 @query
-def t10_rank_correlation(spark, sf):
+def t8_cosine_percentiles(spark, sf):
+    """5th and 95th percentile of the cosine over the pairs with the stated query set on one side."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("u"), F.col("label").alias("lq"))
-    pairs = e.join(q, F.col("vec_id") != F.col("q")).select(rnd(1 - cosine(F.col("embedding"), F.col("u")), 6).alias("d"), F.abs(F.col("label") - F.col("lq")).cast("double").alias("gap"))
+    near = vectors.similar(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", -2.0)
+    return near.agg(F.count(F.lit(1)).alias("pairs"), *[rnd(F.percentile("similarity", F.lit(p)), 5).alias(n) for n, p in (("p05", 0.05), ("p95", 0.95))])
+
+
+@query
+def t10_rank_correlation(spark, sf):
+    pairs = _query_pairs(spark, sf).select(F.round(1 - F.col("similarity"), 6).alias("d"), F.abs(F.col("lb") - F.col("lq")).cast("double").alias("gap"))
     return stats.spearman(pairs, [], "d", "gap").select("n", rnd("rho", 4).alias("rho"))
 
 
@@ -889,10 +971,13 @@ def o8_global_first(spark, sf):
 
 @query
 def x8_paired_comparison(spark, sf):
-    pairs = _pairs(spark, sf)
-    tested = stats.wilcoxon(pairs.withColumns({"ea": F.round(F.col("ea") ** 2, 9), "eb": F.round(F.col("eb") ** 2, 9)}), ["encoder", "target"], "ea", "eb")
-    means = pairs.groupBy("encoder", "target").agg(r6(F.avg(F.col("ea") ** 2 - F.col("eb") ** 2)).alias("d_squared"))
-    return means.join(tested, ["encoder", "target"]).select("encoder", "target", "pairs", "d_squared", rnd("p", 5).alias("p"))
+    """Both sides of the paired comparison, squared and absolute errors: mean difference and Wilcoxon p."""
+    keys = ["encoder", "target"]
+    pairs = _pairs(spark, sf).withColumns({"qa": F.round(F.col("ea") ** 2, 9), "qb": F.round(F.col("eb") ** 2, 9)})
+    squared = stats.wilcoxon(pairs, keys, "qa", "qb").select(*keys, "pairs", rnd("p", 5).alias("p"))
+    absolute = stats.wilcoxon(pairs, keys, "ea", "eb").select(*keys, rnd("p", 5).alias("p_absolute"))
+    means = pairs.groupBy(*keys).agg(r6(F.avg(F.col("ea") ** 2 - F.col("eb") ** 2)).alias("d_squared"), r6(F.avg(F.col("ea") - F.col("eb"))).alias("d_absolute"))
+    return means.join(squared, keys).join(absolute, keys).select(*keys, "pairs", "d_squared", "p", "d_absolute", "p_absolute")
 
 
 @query
@@ -902,13 +987,9 @@ def x10_all_equal_sets(spark, sf):
 
 
 @query
-def x8_both_errors(spark, sf):
-    """Both sides of the paired comparison: squared and absolute errors, each with difference, interval and Wilcoxon p."""
+def x8_intervals(spark, sf):
+    """Bootstrap intervals of both sides (2000 resamples; no SQL, as the draws are numpy's)."""
     keys = ["encoder", "target"]
-    pairs = _pairs(spark, sf).withColumns({"qa": F.round(F.col("ea") ** 2, 9), "qb": F.round(F.col("eb") ** 2, 9), "squared": F.col("ea") ** 2 - F.col("eb") ** 2, "absolute": F.col("ea") - F.col("eb")})
-    test = lambda a, b, p: stats.wilcoxon(pairs, keys, a, b).select(*keys, rnd("p", 5).alias(p))
-    means = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("squared")).alias("d_squared"), r6(F.avg("absolute")).alias("d_absolute"))
-    intervals = stats.bootstrap_intervals(pairs, keys, "session", ["squared", "absolute"])
-    whole = means.join(intervals, keys).join(test("qa", "qb", "p_squared"), keys).join(test("ea", "eb", "p_absolute"), keys)
-    sides = [c for s in ("squared", "absolute") for c in (F.col(f"d_{s}"), r6(f"{s}_low").alias(f"{s}_low"), r6(f"{s}_high").alias(f"{s}_high"), F.col(f"p_{s}"))]
-    return whole.select(*keys, "n", *sides)
+    pairs = _pairs(spark, sf).withColumns({"squared": F.col("ea") ** 2 - F.col("eb") ** 2, "absolute": F.col("ea") - F.col("eb")})
+    got = stats.bootstrap_intervals(pairs, keys, "session", ["squared", "absolute"])
+    return got.select(*keys, *[r6(f"{s}_{side}").alias(f"{s}_{side}") for s in ("squared", "absolute") for side in ("low", "high")])

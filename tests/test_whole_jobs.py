@@ -96,34 +96,59 @@ def test_contrast_table_keeps_searches_and_granularities_apart(spark, tmp_path):
             for encoder, family, off in (("L1_lexical_v1", "lexical", 1 + far), ("L2_lexical__affect_v1", "lexical", 2), ("E1_beto_v1", "frozen", 3)):
                 made.append((f"UTB_{i}", 10.0, 10.0 + off + i / 100, encoder, "PHQ9_Total", 1, search, family, "no_augmentation", granularity))
     spark.createDataFrame(made, "participant string, y_true double, y_pred double, encoder string, target string, seed int, search string, family string, augmentation string, granularity string").write.parquet(str(tmp_path / "predictions.parquet"))
-    got = {(r["contrast"], r["search"], r["granularity"]): r for r in QUERIES["x15_contrast_table"](spark, str(tmp_path)).collect()}
-    assert got.keys() == {(c, *k) for c in ("affect_on_lexical", "named_vs_frozen") for k in (("defaults", "participant"), ("defaults", "question"), ("random15", "question"))}
+    got, between = ({(r["contrast"], r["search"], r["granularity"]): r for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("x15_contrast_table", "x15_contrast_intervals"))
+    assert got.keys() == between.keys() == {(c, *k) for c in ("affect_on_lexical", "named_vs_frozen") for k in (("defaults", "participant"), ("defaults", "question"), ("random15", "question"))}
     for (c, s, g), r in got.items():
         far = {("defaults", "participant"): 0, ("defaults", "question"): 1, ("random15", "question"): 2}[s, g]
         a, b = (1 + far, 2) if c == "affect_on_lexical" else (1.5 + far / 2, 3)
         d = np.mean([round((a + i / 100) ** 2, 6) - round((b + i / 100) ** 2, 6) for i in range(1, 25)])
-        assert r["n"] == 24 and abs(r["d_squared"] - d) < 2e-6 and r["low"] - 1e-6 <= d <= r["high"] + 1e-6
+        i = between[c, s, g]
+        assert r["n"] == 24 and abs(r["d_squared"] - d) < 2e-6 and i["squared_low"] - 1e-6 <= d <= i["squared_high"] + 1e-6
+        assert i["absolute_low"] - 1e-6 <= r["d_absolute"] <= i["absolute_high"] + 1e-6
         assert r["significant"] == (abs(a - b) > 0) and r["pairs"] == (24 if a != b else 0)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_paired_comparison_has_both_errors_with_intervals(spark):
-    rows = {n: {(r["encoder"], r["target"]): r for r in QUERIES[n](spark, DATA).collect()} for n in ("x8_both_errors", "x8_paired_comparison", "j3_paired", "x9_wilcoxon", "x7_bootstrap")}
-    got = rows.pop("x8_both_errors")
+    rows = {n: {(r["encoder"], r["target"]): r for r in QUERIES[n](spark, DATA).collect()} for n in ("x8_intervals", "x8_paired_comparison", "j3_paired", "x9_wilcoxon", "x7_bootstrap")}
+    got = rows.pop("x8_paired_comparison")
     assert got and all(got.keys() == r.keys() for r in rows.values())
     for k, r in got.items():
-        old, mean, test, interval = (rows[n][k] for n in ("x8_paired_comparison", "j3_paired", "x9_wilcoxon", "x7_bootstrap"))
-        assert (r["n"], r["d_squared"], r["p_squared"], r["d_absolute"], r["p_absolute"]) == (mean["n"], old["d_squared"], old["p"], mean["d_absolute"], test["p"])
-        assert (r["absolute_low"], r["absolute_high"]) == (interval["low"], interval["high"]) and r["squared_low"] - 1e-6 <= r["d_squared"] <= r["squared_high"] + 1e-6
+        between, mean, test, interval = (rows[n][k] for n in ("x8_intervals", "j3_paired", "x9_wilcoxon", "x7_bootstrap"))
+        assert (r["d_squared"], r["d_absolute"], r["p_absolute"]) == (mean["d_squared"], mean["d_absolute"], test["p"])
+        assert (between["absolute_low"], between["absolute_high"]) == (interval["low"], interval["high"]) and between["squared_low"] - 1e-6 <= r["d_squared"] <= between["squared_high"] + 1e-6
 
 
-def test_given_names_are_refused_not_cut(spark, monkeypatch):
-    from tallyframe.llm import pii
-
-    monkeypatch.setattr(pii, "MOST_NAMES", 2)
-    monkeypatch.setattr(pii, "models_for", lambda given: (given, None))
-    monkeypatch.setattr(pii, "case_evidence", lambda df, text: type("E", (), {"capital": 0, "small": 0, "initial": 0}))
-    names = lambda *x: spark.createDataFrame([(n,) for n in x], "given_name string")
-    assert pii._prepare(names("a"), names("b", "a", None, "b"), "given_name")[2] == ["a", "b"]
-    with pytest.raises(ValueError):
-        pii._prepare(names("a"), names("a", "b", "c"), "given_name")
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_metrics_are_of_participants_not_of_rows(spark):
+    """Means of a participant first, then clipped, then scored: recomputed in pandas."""
+    import pandas as pd
+
+    from tallyframe.plans.queries import scored
+
+    p = scored(spark, DATA).select("encoder", "target", "session", "y_true", "y_pred").toPandas()
+    m = p.groupby(["encoder", "target", "session"], as_index=False).mean()
+    m["y_pred"] = np.clip(m["y_pred"], 0, m["target"].map({"phq9_total": 27.0, "gad7_total": 21.0}))
+    rmse = {k: np.sqrt(((g["y_pred"] - g["y_true"]) ** 2).mean()) for k, g in m.dropna().groupby(["encoder", "target"])}
+    got = {(r["encoder"], r["target"]): r["rmse"] for r in QUERIES["x1_regression"](spark, DATA).collect()}
+    assert got.keys() == rmse.keys() and all(abs(got[k] - rmse[k]) < 2e-6 for k in got) and isinstance(m, pd.DataFrame)
+
+
+def test_blocks_of_queries_give_the_same_neighbours(spark, monkeypatch):
+    """A query set of several blocks, a zero vector, a NULL vector and ties."""
+    from tallyframe.operators import vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)], i % 3) for i in range(60)] + [(60, [0.0] * 4, 1), (61, None, 2), (62, [1.0, 0.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "i long, v array<double>, l int").repartition(3)
+    one = {tuple(r) for r in vectors.neighbours(df, df, "i", "v", 4).collect()}
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    assert {tuple(r) for r in vectors.neighbours(df, df, "i", "v", 4).collect()} == one and len(one) == 62 * 4
+    x = {i: np.array(v) / max(np.linalg.norm(v), 1e-300) for i, v, _ in rows if v is not None}
+    for q in (0, 17, 60):
+        best = sorted((-round(float(x[q] @ x[b]), 6) + 0.0, b) for b in x if b != q)[:4]
+        assert [(b, -s) for s, b in best] == [(r[1], r[2]) for r in sorted((r for r in one if r[0] == q), key=lambda r: r[3])]
+    got = vectors.silhouette(df, "i", "v", "l").first()
+    assert got["n"] == 61 and -1 <= got["silhouette"] <= 1
+    assert vectors.silhouette(df.where("false"), "i", "v", "l").first()["n"] == 0 and vectors.neighbours(df.where("false"), df, "i", "v", 4).count() == 0
+    assert vectors.cosine_moments(df.where("false"), "v").count() == 0
