@@ -79,3 +79,13 @@ def test_operators(spark):
     assert {tuple(r) for r in pii.find_mentions(df, names).select("row_id", "kind", "char_start", "char_end").collect()} == {(1, "email", 13, 26)}
     assert {tuple(r) for r in pii.redact(df, names).collect()} == {(1, "Mi correo es [EMAIL], y  ya."), (2, None), (3, "")}
     assert pii.find_mentions(df.where("false"), names.where("false")).count() == 0
+
+
+def test_given_names_are_refused_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_NAMES", 2)
+    monkeypatch.setattr(pii, "models_for", lambda given: (given, None))
+    monkeypatch.setattr(pii, "case_evidence", lambda df, text: pii.Evidence())
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "given_name string")
+    assert pii._prepare(names("a"), names("b", "a", None, "b"), "given_name")[2] == ["a", "b"]
+    with pytest.raises(ValueError):
+        pii._prepare(names("a"), names("a", "b", "c"), "given_name")
