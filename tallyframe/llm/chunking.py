@@ -43,7 +43,7 @@ def valley_depths(text: str, gaps: list[int], block: int) -> np.ndarray:
     for m in _TOKEN.finditer(text.lower()):
         w = m.group()
         for part in [w] if len(w) < 12 or ord(w[0]) < 0x0E00 else [w[i : i + 2] for i in range(0, len(w), 2)]:
-            words.append(ids.setdefault(part[:6], len(ids)))
+            words.append(ids.setdefault(part, len(ids)))
             ends.append(m.end())
     if not words or not gaps:
         return np.zeros(len(gaps))
@@ -78,9 +78,9 @@ def cut(text: str, limit: int, overlap: int, least: float = 0.5, block: int = 30
     pieces, start = [], 0
     while len(text) - start > limit:
         lo, hi = start + max(int(limit * least), overlap + 1), start + limit
-        inside = np.flatnonzero((at > lo) & (at <= hi))
-        if len(inside):
-            end = int(at[inside[np.lexsort((-at[inside], -np.round(depth[inside], 9)))[0]]])
+        i, j = (int(k) for k in np.searchsorted(at, (lo, hi), side="right"))
+        if j > i:
+            end = int(at[i + np.lexsort((-at[i:j], -np.round(depth[i:j], 9)))[0]])
         else:
             end = text.rfind(" ", lo, hi + 1) + 1 or _safe(text, hi)
             if not lo < end <= hi:
@@ -99,8 +99,8 @@ def _pieces(limit: int, overlap: int, least: float, block: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for ident, raw in zip(batch["ident"], batch["text"]):
-                text, last = collapse(raw), 0
+            for ident, text in zip(batch["ident"], batch["text"]):
+                last = 0
                 for k, (a, b) in enumerate(cut(text, limit, overlap, least, block)):
                     piece = text[a:b].strip(" ")
                     out.append((ident, k, a, b, max(0, last - a), piece))
@@ -115,6 +115,6 @@ def split_oversized(df: DataFrame, ident: str = "row_id", text: str = "text", li
     if not 0 <= overlap < limit * least:
         raise ValueError("the overlap must be smaller than the smallest piece")
     kind = df.schema[ident].dataType.simpleString()
-    large = df.select(F.col(ident).alias("ident"), F.col(text).alias("text")).where(F.char_length(collapsed(F.col("text"))) > limit).distinct()
+    large = df.select(F.col(ident).alias("ident"), collapsed(F.col(text)).alias("text")).where(F.char_length("text") > limit).distinct()
     made = large.mapInPandas(_pieces(limit, overlap, least, block), f"ident {kind}, piece int, char_start int, char_end int, overlap int, text string")
     return made.withColumnRenamed("ident", ident)

@@ -67,13 +67,15 @@ def mix(
     ident: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    block_tokens: int = 2048,
+    block_tokens: int | None = None,
     seed: str = "mix",
     tokenizer: str = TOKENIZER,
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture (``slot``, ``place``, ``source``, ``ident``, ``copy``, ``n_tokens``) and the report of shares.
 
-    Collected: one row for each target (at most 10,000, checked). Order the mixture by ``slot`` and ``place``.
+    Collected: one row for each target (at most 10,000, checked). Order the mixture by ``slot`` and ``place``. Blocks have
+    ``block_tokens`` tokens or, where that is None, a 64th of the smallest quota, between 128 and 2048, so that a small source
+    appears all along the mixture.
     """
     spark = docs.sparkSession
     wanted = targets.select(F.col("source").alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull() & (F.col("target_share") > 0)).groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("m")).limit(MOST_SOURCES + 1).collect()
@@ -89,6 +91,7 @@ def mix(
     have = {r["k1"]: r["t"] for r in sizes.where(F.col("k1").isin(names)).groupBy("k1").agg(F.sum("n_tokens").alias("t")).collect()} if names else {}
     quota = quotas(have, share, {r["source"]: r["m"] or 0 for r in wanted}, total)
     used = [n for n in names if quota[n] > 0]
+    block_tokens = block_tokens or int(min(2048, max(128, min((quota[n] for n in used), default=0) // 64)))
     schema = "ts string, quota double, have bigint, passes int"
     plan = spark.createDataFrame([(n, quota[n], have[n], int(-(-quota[n] // have[n]))) for n in used], schema)
 

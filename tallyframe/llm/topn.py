@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.session import parallelism, scratch_path
 
-FOOTER = "path string, rg int, rows bigint, pure boolean, g bigint, s_min double, s_max double"
+FOOTER = "path string, rg int, rows bigint, pure boolean, keys array<string>, s_min double, s_max double"
 FAR = 2**62
 
 
@@ -80,8 +80,8 @@ def read_footers(names: list[str]):
                     stats = {n: part.column(at[n]).statistics for n in ("g", "s", *names)}
                     pure = all(stats[n] is not None and stats[n].has_min_max and stats[n].min == stats[n].max for n in ("g", *names))
                     known = stats["s"] is not None and stats["s"].has_min_max
-                    out.append((path, rg, part.num_rows, pure, stats["g"].min if pure else None, stats["s"].min if known else float("-inf"), stats["s"].max if known else float("inf")))
-                yield pd.DataFrame(out, columns=["path", "rg", "rows", "pure", "g", "s_min", "s_max"]).astype({"g": "Int64"})
+                    out.append((path, rg, part.num_rows, pure, [stats[n].min for n in names] if pure else None, stats["s"].min if known else float("-inf"), stats["s"].max if known else float("inf")))
+                yield pd.DataFrame(out, columns=["path", "rg", "rows", "pure", "keys", "s_min", "s_max"])
 
     return run
 
@@ -121,8 +121,25 @@ def plan_reading(footers: DataFrame, n: int) -> DataFrame:
     A pure row group of at least N rows proves that the N-th score of its group is at most its largest score; every
     pure row group of the same group whose smallest score lies strictly beyond the least such proof is dropped.
     """
-    proof = footers.where(F.col("pure") & (F.col("rows") >= n)).groupBy("g").agg(F.min("s_max").alias("bound"))
-    return footers.join(proof, "g", "left").where(~F.col("pure") | F.col("bound").isNull() | (F.col("s_min") <= F.col("bound"))).drop("bound")
+    proof = footers.where(F.col("pure") & (F.col("rows") >= n)).groupBy("keys").agg(F.min("s_max").alias("bound"))
+    return footers.join(proof, "keys", "left").where(~F.col("pure") | F.col("bound").isNull() | (F.col("s_min") <= F.col("bound"))).drop("bound")
+
+
+def row_group_size(df: DataFrame, files: int) -> int:
+    """Bytes of a row group: an eighth of a file of the input, from 64 KiB to 16 MiB, so that the number of footers follows the number of files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(16 * 1024 * 1024, max(64 * 1024, size // max(1, files) // 8))
+
+
+def top_n_clustered(spark, path: str, names: list[str], n: int, tasks: int) -> DataFrame:
+    """Columns ``names``, s, t, i and ``place`` of the N best of each group of a table clustered as ``cluster_by_group`` does; nothing is written."""
+    listed = spark.createDataFrame(pd.DataFrame({"path": _list_files(spark, path)}, dtype=object), "path string").repartition(tasks)
+    footers = listed.mapInPandas(read_footers(names), FOOTER)
+    wanted = plan_reading(footers, n).groupBy("path").agg(F.collect_list(F.struct("rg", "s_min")).alias("parts"))
+    fields = ", ".join(f"{k} string" for k in names) + ", s double, t bigint, i bigint"
+    near = wanted.repartition(tasks).mapInPandas(best_first(n, names), fields)
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("s", "t", "i"))
+    return near.withColumn("place", place).where(F.col("place") <= n)
 
 
 def top_n_by_group(
@@ -133,20 +150,18 @@ def top_n_by_group(
     ident: str,
     n: int = 5,
     least: float | None = 0.0,
-    row_group_bytes: int = 256 * 1024,
+    row_group_bytes: int | None = None,
     files: int | None = None,
 ) -> DataFrame:
-    """The N best items of each group as columns ``groups`` (normalised), ``ident``, ``score`` and ``place`` (from 1)."""
+    """The N best items of each group as columns ``groups`` (normalised), ``ident``, ``score`` and ``place`` (from 1).
+
+    Groups are clustered over ``files`` files. A group that fills several of them lies there in the order of its scores, so
+    that the footers of all but its first rule them out.
+    """
     spark = df.sparkSession
     names = [f"k{k}" for k in range(len(groups))]
     path = scratch_path(spark, "topn")
     files = files or parallelism(spark)
-    cluster_by_group(eligible(df, groups, score, time, ident, least), names, path, files, row_group_bytes)
-    listed = spark.createDataFrame(pd.DataFrame({"path": _list_files(spark, path)}, dtype=object), "path string").repartition(files)
-    footers = listed.mapInPandas(read_footers(names), FOOTER)
-    wanted = plan_reading(footers, n).groupBy("path").agg(F.collect_list(F.struct("rg", "s_min")).alias("parts"))
-    fields = ", ".join(f"{k} string" for k in names) + ", s double, t bigint, i bigint"
-    near = wanted.repartition(files).mapInPandas(best_first(n, names), fields)
-    place = F.row_number().over(Window.partitionBy(*names).orderBy("s", "t", "i"))
-    final = near.withColumn("place", place).where(F.col("place") <= n)
+    cluster_by_group(eligible(df, groups, score, time, ident, least), names, path, files, row_group_bytes or row_group_size(df, files))
+    final = top_n_clustered(spark, path, names, n, files)
     return final.select(*[F.col(k).alias(g) for k, g in zip(names, groups)], F.col("i").alias(ident), F.col("s").alias(score), "place")
