@@ -50,8 +50,10 @@ INFLECTIONS = {
     "soledad": ("sola", "solos", "solas"),
 }
 # Forms that count only under these parts of speech.
-ADJECTIVE_ONLY = ("solo", "sola", "solos", "solas", "lento", "lenta", "lentos", "lentas")
-VERB_ONLY = ("como", "come", "comes", "comen")
+PARTS_OF_SPEECH = {
+    "solo": ("ADJ",), "sola": ("ADJ",), "solos": ("ADJ",), "solas": ("ADJ",), "lento": ("ADJ",), "lenta": ("ADJ",), "lentos": ("ADJ",), "lentas": ("ADJ",),
+    "como": ("VERB", "AUX"), "come": ("VERB", "AUX"), "comes": ("VERB", "AUX"), "comen": ("VERB", "AUX"),
+}
 
 # Affect scales (valence and arousal 1 to 9, emotions 1 to 5), neutrals and strict cuts.
 EMOTIONS = ("happiness", "disgust", "anger", "fear", "sadness")

@@ -116,17 +116,27 @@ def _subscale_map() -> Column:
 def subscale_of(form: Column, lemma: Column, pos: Column, folded: bool = False) -> Column:
     """Symptom group of a token: lemma, first word of a lemma of several words, form; a homograph of the wrong part of speech passes on to the next."""
     table = _subscale_map()
-    adjective = [tx.fold_word(w) for w in lex.ADJECTIVE_ONLY]
-    verb = [tx.fold_word(w) for w in lex.VERB_ONLY]
+    allowed: dict[tuple[str, ...], list[str]] = {}
+    for w, tags in lex.PARTS_OF_SPEECH.items():
+        allowed.setdefault(tags, []).append(tx.fold_word(w))
 
     def lookup(word: Column) -> Column:
         w = word if folded else tx.fold(word)
-        wrong = (w.isin(adjective) & ~F.coalesce(pos == "ADJ", F.lit(False))) | (w.isin(verb) & ~F.coalesce(pos.isin("VERB", "AUX"), F.lit(False)))
+        wrong = F.lit(False)
+        for tags, words in allowed.items():
+            wrong = wrong | (w.isin(words) & ~F.coalesce(pos.isin(*tags), F.lit(False)))
         return F.when(~wrong, table[w])
 
     return F.coalesce(lookup(lemma), F.when(lemma.contains(" "), lookup(F.substring_index(lemma, " ", 1))), lookup(form))
 
 
+def is_clinical(form: Column, lemma: Column | None = None) -> Column:
+    """Whether the form or the lemma is a term of the lexicon itself; inflections and parts of speech do not count."""
+    terms = sorted({tx.fold_word(t) for group in lex.SUBSCALES.values() for t in group})
+    hit = F.coalesce(tx.fold(form).isin(terms), F.lit(False))
+    return hit if lemma is None else hit | F.coalesce(tx.fold(lemma).isin(terms), F.lit(False))
+
+
 @block("clinical", [*(f"clin_{n}" for n in lex.SUBSCALES), "clin_total_rate", "clin_coverage"], tags=True)
 def clinical() -> dict[str, Column]:
     groups = F.transform(_alpha(), lambda t: F.struct(subscale_of(t["ff"], t["fl"], t["pos"], folded=True).alias("g"), t["fl"].alias("l")))

@@ -70,6 +70,13 @@ def assert_disjoint(train: DataFrame, protected: DataFrame, on: Column) -> None:
         raise LeakageError("protected units occur in the training rows")
 
 
+def train_frame(plain: DataFrame, augmented: DataFrame | None, protected: DataFrame, on: Column) -> DataFrame:
+    """The rows to train on: the augmented ones where there are any, else the plain ones; either way a protected unit among them raises."""
+    chosen = plain if augmented is None else augmented
+    assert_disjoint(chosen, protected, on)
+    return chosen
+
+
 def fold_audit(df: DataFrame, group: str, k: int) -> DataFrame:
     """For each fold: rows and distinct groups on either side, and groups on both (0 for a sound split)."""
     groups = df.groupBy(group, "fold").agg(F.count(F.lit(1)).alias("n"))

@@ -53,6 +53,59 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return sums.select(*keys, n.cast("bigint").alias("n"), F.coalesce(F.when(low > 1e-12, top / low), F.lit(0.0)).alias("rho"))
 
 
+def _cosine_power(low, high, power, steps: int = 400):
+    """Simpson's rule for the integral of cos(x) ** power."""
+    width = (high - low) / (2.0 * steps)
+    f = lambda k: F.pow(F.greatest(F.cos(low + k * width), F.lit(0.0)), power)
+    weights = F.transform(F.sequence(F.lit(0), F.lit(2 * steps)), lambda k: F.when((k == 0) | (k == 2 * steps), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0) * f(k))
+    return F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) * width / 3.0
+
+
+def student_p(t, freedom):
+    """Two-sided p of Student's t: with x = sqrt(freedom)·tan(angle) the density is a power of the cosine, whose tail and whole are integrated alike."""
+    angle, half = F.atan(F.abs(t) / F.sqrt(freedom)), F.lit(1.5707963267948966)
+    # The power falls to nothing within a few widths, so the interval is cut there and the steps are always fine enough.
+    reach = F.least(half, F.lit(12.0) / F.sqrt(freedom))
+    whole = _cosine_power(F.lit(0.0), reach, freedom - 1)
+    return F.when(angle >= reach, 0.0).otherwise(F.least(F.lit(1.0), _cosine_power(angle, reach, freedom - 1) / whole))
+
+
+def spearman_p(rho, n):
+    """Two-sided p of a rank correlation over n pairs: 1 where it is 0 or n < 3, 0 where it is 1."""
+    r, freedom = rho.cast("double"), (n - 2).cast("double")
+    t = F.abs(r) * F.sqrt(F.try_divide(freedom, 1.0 - r * r))
+    return F.when((n < 3) | (r == 0), 1.0).when(F.abs(r) >= 1 - 1e-12, 0.0).otherwise(student_p(t, freedom))
+
+
+def feature_summary(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
+    """For each feature: mean, sample deviation, least, greatest, share of rows that are not 0, and for each target rank correlation, p and Benjamini-Hochberg q; strongest first."""
+    long = df.select(*targets, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select(*targets, "s.*")
+    out = long.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"), (100 * F.avg((F.col("x") != 0).cast("double"))).alias("pct_nonzero"))
+    for t in targets:
+        rho = spearman(long, ["feature"], "x", t).select("feature", F.round("rho", 9).alias(f"rho_{t}"), F.round(spearman_p(F.round("rho", 9), F.col("n")), 9).alias(f"p_{t}"))
+        out = out.join(benjamini_hochberg(rho, [], f"p_{t}", "feature").withColumnRenamed("q", f"q_{t}"), "feature")
+    return out.withColumn("abs_rho_max", F.greatest(*[F.abs(f"rho_{t}") for t in targets]) if len(targets) > 1 else F.abs(f"rho_{targets[0]}"))
+
+
+def collinear(df: DataFrame, features: list[str], threshold: float = 0.8) -> DataFrame:
+    """Pairs of features whose ranks correlate by ``threshold`` or more, either way, over the rows that have all of them."""
+    rows = df.select(F.monotonically_increasing_id().alias("__i"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    ranked = rows
+    for k, f in enumerate(features):
+        ranks = average_rank(rows.select(f), [], f).select(F.col(f).alias(f"__v{k}"), F.col("avg_rank").alias(f"__r{k}"))
+        ranked = ranked.join(ranks, F.col(f) == F.col(f"__v{k}"))
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    one = ranked.agg(*[F.abs(correlation(f"__r{i}", f"__r{j}")).alias(f"{i}|{j}") for i, j in pairs])
+    long = one.select(F.explode(F.array(*[F.struct(F.lit(features[i]).alias("feature_a"), F.lit(features[j]).alias("feature_b"), F.col(f"`{i}|{j}`").alias("abs_spearman")) for i, j in pairs])).alias("s")).select("s.*")
+    return long.where(F.col("abs_spearman") >= threshold)
+
+
+def neutral_stats(df: DataFrame, keys: list[str], value: str, neutral: float) -> DataFrame:
+    """Mean, population deviation, least, greatest and 5th percentile of a value per key; where there is none, ``neutral`` and deviation 0."""
+    v, n = F.col(value), F.lit(neutral)
+    return df.groupBy(*keys).agg(*[F.coalesce(c, d).alias(name) for name, c, d in (("mean", F.avg(v), n), ("sd", F.stddev_pop(v), F.lit(0.0)), ("min", F.min(v), n), ("max", F.max(v), n), ("p05", F.percentile(v, F.lit(0.05)), n))])
+
+
 def wilcoxon(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Signed-rank statistic W (the smaller rank sum) of ``a - b`` without zeros, and the two-sided p of the normal approximation with ties.
 

@@ -51,3 +51,16 @@ def tfidf(counts: DataFrame, vocab: DataFrame, ident: str, keys: list[str] | Non
     raw = counts.join(F.broadcast(vocab.select(*(keys or []), "term", "idf")), [*(keys or []), "term"]).withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*(keys or []), ident)))
     return raw.select(*(keys or []), ident, "term", "tf", (F.col("w") / length).alias("weight"))
+
+
+def side_by_side(weights: DataFrame, named: DataFrame, ident: str, features: list[str], fitted: DataFrame | None = None) -> DataFrame:
+    """TF-IDF terms beside standardised named columns, as rows (``ident``, ``feature``, ``value``): ``text:<term>`` and ``named:<column>``.
+
+    Means and population deviations (1 where 0) come from ``fitted``, the training rows, or from ``named`` itself. Zero values
+    of terms are no rows; named columns always are.
+    """
+    base = fitted if fitted is not None else named
+    sums = base.agg(*[c for f in features for c in (F.avg(F.col(f).cast("double")).alias(f"__m_{f}"), F.coalesce(F.nullif(F.stddev_pop(F.col(f).cast("double")), F.lit(0.0)), F.lit(1.0)).alias(f"__s_{f}"))])
+    scaled = named.crossJoin(F.broadcast(sums)).select(ident, F.explode(F.array(*[F.struct(F.lit(f"named:{f}").alias("feature"), ((F.col(f).cast("double") - F.col(f"__m_{f}")) / F.col(f"__s_{f}")).alias("value")) for f in features])).alias("s")).select(ident, "s.*")
+    text = weights.select(ident, F.concat(F.lit("text:"), "term").alias("feature"), F.col("weight").alias("value"))
+    return text.unionByName(scaled)

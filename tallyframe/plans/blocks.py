@@ -80,7 +80,8 @@ def block_sql(answers: str, fold, draw, in_list, phrases) -> str:
     morph = ", ".join(f"{_sql_pick('d', divisor, values)} as \"{key.lower()}\"" for key, divisor, values in MORPH)
     table = {tx.fold_word(t): name for part in (lex.SUBSCALES, lex.INFLECTIONS) for name, terms in part.items() for t in terms}
     groups = "case ff " + " ".join(f"when '{w}' then '{g}'" for w, g in table.items()) + " end"
-    wrong = f"(ff in {in_list(lex.ADJECTIVE_ONLY)} and pos <> 'ADJ') or (ff in {in_list(lex.VERB_ONLY)} and pos not in ('VERB', 'AUX'))"
+    only = {tags: [w for w, t in lex.PARTS_OF_SPEECH.items() if t == tags] for tags in lex.PARTS_OF_SPEECH.values()}
+    wrong = " or ".join(f"(ff in {in_list(words)} and pos not in ({', '.join(f'{chr(39)}{t}{chr(39)}' for t in tags)}))" for tags, words in only.items())
     rate = lambda test: f"100.0 * count(*) filter ({test}) / greatest(count(*), 1)"
     first = "(pos = 'PRON' or verbform = 'Fin') and person = '1' and number = 'Sing'"
     who = lambda p, extra="": f"(pos = 'PRON' or verbform = 'Fin') and person = '{p}'{extra}"

@@ -261,7 +261,6 @@ _MASK = f"x as (select doc_id, source, unnest(range(0, len(w))) as i from tok),
 O["f26_mask"] = f"with {TOK}, {_MASK}, c as (select doc_id, count(*) filter (m = 1) as masked, count(*) filter (m = 2) as replaced, count(*) filter (m = 3) as kept from m group by all) select t.doc_id, coalesce(masked, 0) as masked, coalesce(replaced, 0) as replaced, coalesce(kept, 0) as kept from tok t left join c using (doc_id)"
 O["a15_mask_rates"] = f"with {TOK}, {_MASK} select source, round(avg((m > 0)::int), 6) as rate from m group by all"
 O["f27_word_probability"] = f"with {TOK} select doc_id, round(greatest(0.0, least(1.0, coalesce((0.15 * n - 0.5 * k) / nullif(n - k, 0), 0.15))), 6) as p_other from (select doc_id, len(w)::double as n, len(list_filter(w, lambda x: x in {in_list(lex.NEGATION)}))::double as k from tok)"
-O["x14_fertility"] = f"with {TOK}, p as (select source, ceil(length(x) / 6.0) as p from (select source, unnest(w) as x from tok)) select source, count(*) as words, round(avg(p), 6) as fertility, round(100 * avg((p > 1)::int), 6) as pct_split from p group by all"
 _TERMS = ", ".join(f"('{fold_word(t)}', '{n}')" for n, terms in lex.SUBSCALES.items() for t in terms)
 O["j8_lexicon_lookup"] = f"with l as (select * from (values {_TERMS}) t(term, subscale)), w as (select unnest({words('text')}) as w from transcription where text is not null) select subscale, count(*) as hits, count(distinct w) as terms from w join l on w = term group by all"
 _STOP = "(" + ", ".join(f"'{t}'" for t in stop_words()) + ")"
@@ -318,5 +317,7 @@ _SPREAD = features.SPREAD["lexical"] + features.SPREAD["affect"]
 _PER = [*[(f"avg({c})", c) for c in features.feature_names("lexical-affect")], *[(f"stddev_pop({c})", f"{c}_sd") for c in _SPREAD], ("sum(n_words)", "n_words_total"), ("count(*)::double", "n_answers"), ("avg(n_words)", "words_per_answer_mean"), ("stddev_pop(n_words)", "words_per_answer_sd")]
 O["b10_participant_features"] = f"{_BLOCKS}, per as (select participant, {', '.join(f'{e} as {c}' for e, c in _PER)} from answer group by participant) select p.participant, {', '.join(f'round(coalesce(per.{c}, 0), 6) as {c}' for _, c in _PER)} from (select distinct participant from scores where participant is not null) p left join per on per.participant = p.participant"
 
+from tallyframe.plans import further_oracles as _further  # noqa: E402, F401
+
 for _name in ORACLES:
     ORACLES[_name] = steady(ORACLES[_name])

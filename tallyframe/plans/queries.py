@@ -802,13 +802,6 @@ def j10_overlap(spark, sf):
     return corpus.overlaps(a, b, "row_id").groupBy("row_id").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-@query
-def x14_fertility(spark, sf):
-    df = _tokens(spark, sf).select("source", F.explode("w").alias("w"))
-    pieces = F.ceil(F.char_length("w") / 6.0)
-    return df.groupBy("source").agg(F.count(F.lit(1)).alias("words"), r6(F.avg(pieces.cast("double"))).alias("fertility"), r6(100 * F.avg((pieces > 1).cast("double"))).alias("pct_split"))
-
-
 @query
 def j8_lexicon_lookup(spark, sf):
     pairs = {tx.fold_word(t): n for n, terms in lex.SUBSCALES.items() for t in terms}
@@ -993,3 +986,6 @@ def x8_intervals(spark, sf):
     pairs = _pairs(spark, sf).withColumns({"squared": F.col("ea") ** 2 - F.col("eb") ** 2, "absolute": F.col("ea") - F.col("eb")})
     got = stats.bootstrap_intervals(pairs, keys, "session", ["squared", "absolute"])
     return got.select(*keys, *[r6(f"{s}_{side}").alias(f"{s}_{side}") for s in ("squared", "absolute") for side in ("low", "high")])
+
+
+from tallyframe.plans import further as _further  # noqa: E402, F401

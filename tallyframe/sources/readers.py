@@ -61,6 +61,14 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return flat.groupBy("text").agg(F.min(F.struct("session", "round")).alias("f")).select("f.session", "f.round", "text")
 
 
+def read_session_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same store as JSON lines {"session": .., "rounds": [..]}, which is read in parallel; same result as ``read_sessions``."""
+    schema = T.StructType([T.StructField("session", T.StringType()), *schemas.SESSIONS.valueType.fields])
+    rounds = spark.read.json(require(spark, path), schema=schema).select("session", F.explode("rounds").alias("r"))
+    flat = rounds.select("session", F.col("r.round").alias("round"), F.trim(F.regexp_replace("r.patient_input", r"(?U)\s+", " ")).alias("text")).where("text <> ''")
+    return flat.groupBy("text").agg(F.min(F.struct("session", "round")).alias("f")).select("f.session", "f.round", "text")
+
+
 def session_texts(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy("session", "round").select("text")
 
@@ -122,6 +130,16 @@ def read_run_logs(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(require(spark, root))
 
 
+def read_placed_logs(spark: SparkSession, root: str, place: tuple[str, ...] = ("family", "augmentation", "granularity")) -> DataFrame:
+    """All logs under ``root``, at any depth: what a row leaves blank of ``place`` comes from the last folders of its path."""
+    files = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(require(spark, root)).withColumn("__p", F.split(F.col("_metadata.file_path"), "/"))
+    made = {}
+    for k, name in enumerate(reversed(place)):
+        folder = F.element_at("__p", -(k + 2))
+        made[name] = F.coalesce(F.nullif(F.col(name), F.lit("")), folder) if name in files.columns else folder
+    return files.withColumns(made).drop("__p")
+
+
 def union_logs(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

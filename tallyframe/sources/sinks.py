@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,18 +33,43 @@ class StaleCache(ValueError):
     """The cached matrix belongs to other ids or another producer."""
 
 
-def load_or_compute(spark: SparkSession, path: str, ids: DataFrame, signature: str, compute) -> DataFrame:
-    """A cached matrix keyed by ``id``, guarded by the ids and by the signature of its producer; computed and written where there is none."""
+def load_or_compute(spark: SparkSession, path: str, ids: DataFrame, signature: str | None, compute) -> DataFrame:
+    """A cached matrix with a row for each ``id``, guarded by the ids in their order and by the signature of its producer.
+
+    ``ids`` has ``id`` and, where the order of rows matters, ``pos``; what ``compute`` gives has the same columns and is
+    written where there is nothing yet. A cache without a signature is stamped with the first one that is asked for.
+    """
+    stamp = f"{path.rstrip('/')}.signature"
     if exists(spark, path):
+        known = spark.read.text(stamp).first()[0] if exists(spark, stamp) else None
+        if signature is not None and known is not None and known != signature:
+            raise StaleCache(f"{path} was made by {known}, not by {signature}")
         found = spark.read.parquet(path)
-        if found.where(F.col("signature") != signature).limit(1).count():
-            raise StaleCache(f"{path} was made by another producer")
-        a, b = found.select("id"), ids.select("id")
+        keys = ["id", "pos"] if "pos" in ids.columns else ["id"]
+        a, b = found.select(*keys), ids.select(*keys)
         if a.exceptAll(b).limit(1).count() or b.exceptAll(a).limit(1).count():
-            raise StaleCache(f"{path} holds other ids")
-        return found.drop("signature")
-    compute().withColumn("signature", F.lit(signature)).write.parquet(path)
-    return spark.read.parquet(path).drop("signature")
+            raise StaleCache(f"{path} holds other ids or another order")
+        if signature is not None and known is None:
+            _stamp(spark, stamp, signature)
+        return found
+    compute().write.parquet(path)
+    if signature is not None:
+        _stamp(spark, stamp, signature)
+    return spark.read.parquet(path)
+
+
+def _stamp(spark: SparkSession, path: str, signature: str) -> None:
+    spark.createDataFrame([(signature,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def export_diagnostics(root: str, tables: dict[str, DataFrame], facts: dict | None = None) -> None:
+    """Small diagnostic tables as one CSV file each, rounded to four digits, and facts as one line of JSON."""
+    for name, df in tables.items():
+        rounded = df.select(*[F.round(c, 4).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+        rounded.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{root.rstrip('/')}/{name}")
+    if facts is not None:
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/facts")
 
 
 def export_sheets(sheets: dict[str, DataFrame], root: str, kind: str = "csv") -> None:
