@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.scores import band
 from tallyframe.functions.text import draw
-from tallyframe.operators.ranking import class_rank
+from tallyframe.operators.ranking import bits_for, class_rank
 
 
 class LeakageError(ValueError):
@@ -30,31 +30,36 @@ def _sized(df: DataFrame, classes: list[str], size: str = "__n") -> DataFrame:
     return df.join(counts, on).drop(*[f"__c{i}" for i in range(len(classes))])
 
 
-def rank_split(df: DataFrame, ident: str, stratum: str, test: float = 0.3, seed: str = "42", bits: int = 6) -> DataFrame:
+def _bits(df: DataFrame, bits: int | None) -> int:
+    """Buckets for ranks inside strata follow the number of units; counting reads no more than their ids."""
+    return bits_for(df.count()) if bits is None else bits
+
+
+def rank_split(df: DataFrame, ident: str, stratum: str, test: float = 0.3, seed: str = "42", bits: int | None = None) -> DataFrame:
     """Adds ``split``: in each stratum the first round(n·test) units by md5 are the test set. No stratum is sorted in one task."""
-    ranked = class_rank(df, [stratum], [ident], "__r", bits, draw(F.col(ident), F.lit(seed)))
+    ranked = class_rank(df, [stratum], [ident], "__r", _bits(df, bits), draw(F.col(ident), F.lit(seed)))
     return _sized(ranked, [stratum]).withColumn("split", F.when(F.col("__r") < F.bround(F.col("__n") * F.lit(test)), "test").otherwise("train")).drop("__r", "__n")
 
 
-def group_folds(df: DataFrame, group: str, stratum: str | None, k: int = 5, seed: str = "42", bits: int = 6) -> DataFrame:
+def group_folds(df: DataFrame, group: str, stratum: str | None, k: int = 5, seed: str = "42", bits: int | None = None) -> DataFrame:
     """Adds ``fold``: groups are dealt to folds by md5 rank inside their stratum, then carried to the rows."""
     groups = df.groupBy(F.col(group).alias("__g")).agg((F.min(stratum) if stratum else F.lit(0)).alias("__s"))
-    ranked = class_rank(groups, ["__s"], ["__g"], "__r", bits, draw(F.col("__g"), F.lit(seed)))
+    ranked = class_rank(groups, ["__s"], ["__g"], "__r", _bits(groups, bits), draw(F.col("__g"), F.lit(seed)))
     dealt = ranked.select("__g", (F.col("__r") % k).cast("int").alias("fold"))
     return df.join(dealt, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
-def group_split(df: DataFrame, group: str, test: float = 0.2, seed: str = "42", bits: int = 6) -> DataFrame:
+def group_split(df: DataFrame, group: str, test: float = 0.2, seed: str = "42", bits: int | None = None) -> DataFrame:
     """Adds ``split``: round(n·test) whole groups by md5 rank are the test set."""
     groups = df.select(F.col(group).alias("__g")).distinct().withColumn("__s", F.lit(0))
     marked = rank_split(groups, "__g", "__s", test, seed, bits).select("__g", "split")
     return df.join(marked, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
-def hold_out_groups(df: DataFrame, source: str, group: str, fraction: float = 0.1, seed: str = "42", bits: int = 6) -> DataFrame:
+def hold_out_groups(df: DataFrame, source: str, group: str, fraction: float = 0.1, seed: str = "42", bits: int | None = None) -> DataFrame:
     """Adds ``validation``: in each source max(1, round half even(n·fraction)) whole groups are held out."""
     groups = df.select(F.col(source).alias("__s"), F.col(group).alias("__g")).distinct()
-    ranked = _sized(class_rank(groups, ["__s"], ["__g"], "__r", bits, draw(F.col("__s"), F.col("__g"), F.lit(seed))), ["__s"])
+    ranked = _sized(class_rank(groups, ["__s"], ["__g"], "__r", _bits(groups, bits), draw(F.col("__s"), F.col("__g"), F.lit(seed))), ["__s"])
     held = ranked.select("__s", "__g", (F.col("__r") < F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(fraction)))).alias("validation"))
     return df.join(held, F.col(source).eqNullSafe(F.col("__s")) & F.col(group).eqNullSafe(F.col("__g"))).drop("__s", "__g")
 

@@ -903,7 +903,7 @@ def m1_knn_regression(spark, sf):
 def f18_cosine_to_mean(spark, sf):
     e = table(spark, sf, "embeddings")
     mean = vectors.mean_pool(e, ["label"], "embedding").select(F.col("label").alias("l"), F.col("embedding").alias("m"))
-    return e.join(F.broadcast(mean), F.col("label") == F.col("l")).select("vec_id", rnd(cosine(F.col("embedding"), F.col("m")), 5).alias("cosine"))
+    return e.join(mean, F.col("label") == F.col("l")).select("vec_id", rnd(cosine(F.col("embedding"), F.col("m")), 5).alias("cosine"))
 
 
 @query
