@@ -340,12 +340,15 @@ def assign_splits(predictions: DataFrame, answers: DataFrame, shares: dict[str,
     who = persons(names, link_sessions(answers, **options), known_sites(answers)).select(F.col("participant").alias("p"), "person")
     tagged = materialise(names.join(who, F.col("participant") == F.col("p"), "left").select("source", "participant", "rows", F.coalesce("person", F.concat(F.lit("none:"), F.col("source"))).alias("person")), "persons")
     groups = tagged.groupBy("person").agg(F.sum("rows").alias("size"))
+    # Distinct sizes: at most about the square root of twice the number of rows.
     histogram = [(r["size"], r["n"]) for r in groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()]
     labels = list(shares)
     plan = greedy_shares(histogram, [shares[k] for k in labels])
     placed = spark.createDataFrame([(s, labels[k], a, b) for s, k, a, b in plan], "psize bigint, split string, lo bigint, hi bigint")
     ranked = class_rank(groups, ["size"], ["person"], bits=bits_for(sum(n for _, n in histogram)))
-    chosen = ranked.join(F.broadcast(placed), (F.col("size") == F.col("psize")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    # The plan has about three rows for each distinct size; only a small one is broadcast, else Spark decides.
+    small = F.broadcast(placed) if len(plan) <= 100_000 else placed
+    chosen = ranked.join(small, (F.col("size") == F.col("psize")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return tagged.join(chosen.select("person", "split"), "person").select("source", "participant", "person", "rows", "split")
 
 
