@@ -188,7 +188,7 @@ O["w2_bh"] = f"{BASE}, {_W}, q as (select encoder, target, round(p, 5) as p, row
 O["w4_average_rank"] = f"with {PEOPLE}, r as (select phq9_total, rank() over (order by phq9_total) + (count(*) over (partition by phq9_total) - 1) / 2.0 as r from people) select phq9_total, count(*) as n, max(r)::double as avg_rank from r group by all"
 STATS = f"""ws as (select row_id, participant, w, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0)::double, 0) as mean_word_len from (select row_id, participant, {words("text")} as w from answers))"""
 O["x11_spearman"] = f"with {ANSWERS}, {STATS}, {PEOPLE}, f as (select participant, sum(n_words) as words, round(avg(mean_word_len), 6) as word_len from ws group by all), j as (select * from f join people using (participant)), long as (select 'words' as feature, words::double as x, 'phq9_total' as target, phq9_total as y from j union all select 'words', words::double, 'gad7_total', gad7_total from j union all select 'word_len', word_len, 'phq9_total', phq9_total from j union all select 'word_len', word_len, 'gad7_total', gad7_total from j), {spearman('long', 'x', 'y', 'feature, target')} select feature, target, n, round(rho, 5) as rho from rho"
-O["x12_collinear"] = f"with {log(*_COLS)}, d as (select * from log where run_id is not null and {' and '.join(c + ' is not null' for c in _COLS)}), r as (" + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, abs(corr({a}, {b})) as r from d" for i, a in enumerate(_COLS) for b in _COLS[i + 1 :]) + ") select feature_a, feature_b, round(r, 5) as r from r where r >= 0.8"
+O["x12_pearson_pairs"] = f"with {log(*_COLS)}, d as (select * from log where run_id is not null and {' and '.join(c + ' is not null' for c in _COLS)}), r as (" + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, abs(corr({a}, {b})) as r from d" for i, a in enumerate(_COLS) for b in _COLS[i + 1 :]) + ") select feature_a, feature_b, round(r, 5) as r from r where r >= 0.8"
 _CON = "c as (select * from (values ('tuned_vs_frozen', 'fine-tuning', 'frozen'), ('named_vs_frozen', 'lexical', 'frozen'), ('cv_vs_tuned', 'fine-tuning-cv', 'fine-tuning'), ('affect_on_lexical', 'l1_lexical', 'l2_lexical__affect')) t(contrast, a, b))"
 _CK = "search, granularity, target"
 O["x15_contrast_table"] = f"""with {SCORED}, {_CON}, s as (select *, family as side from scored union all select *, split_part(encoder, '_v', 1) from scored),
@@ -300,7 +300,7 @@ O["o8_global_first"] = f"select min(doc_id) as doc_id, count(*) as copies from (
 _Q = f"{BASE}, squared as (select encoder, target, round(ea ** 2, 9) as ea, round(eb ** 2, 9) as eb from pairs)"
 _W2 = f"with r1 as ({_Q}, {wilcoxon('squared', 'encoder, target', 'ea', 'eb')} select encoder, target, pairs, round(p, 5) as p from tested), r2 as ({BASE}, {wilcoxon('pairs', 'encoder, target', 'ea', 'eb')} select encoder, target, round(p, 5) as p_absolute from tested), m as ({BASE} select encoder, target, round(avg(ea ** 2 - eb ** 2), 6) as d_squared, round(avg(ea - eb), 6) as d_absolute from pairs group by all)"
 O["x8_paired_comparison"] = f"{_W2} select encoder, target, pairs, d_squared, p, d_absolute, p_absolute from m join r1 using (encoder, target) join r2 using (encoder, target)"
-O["x10_all_equal_sets"] = f"with {SCORED}, s as (select encoder, target, list_sort(list(distinct seed) filter (seed is not null)) as seeds from scored where encoder is not null group by all) select encoder, count(distinct seeds) = 1 as same_seeds from s group by all"
+O["a6_equal_seeds"] = f"with {SCORED}, s as (select encoder, target, list_sort(list(distinct seed) filter (seed is not null)) as seeds from scored where encoder is not null group by all) select encoder, count(distinct seeds) = 1 as same_seeds from s group by all"
 
 _BLOCKS = "with recursive " + blocks.block_sql(ANSWERS, fold, draw, in_list, phrases).replace("{MTLD}", blocks.MTLD_STEPS)
 

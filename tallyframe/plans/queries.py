@@ -480,7 +480,7 @@ def x11_spearman(spark, sf):
 
 
 @query
-def x12_collinear(spark, sf):
+def x12_pearson_pairs(spark, sf):
     cols = ["rmse", "mae", "r2", "band_f1_macro", "band_qwk", "screening_f1", "screening_auc"]
     df = log(spark, sf, *cols).dropna()
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
@@ -974,7 +974,7 @@ def x8_paired_comparison(spark, sf):
 
 
 @query
-def x10_all_equal_sets(spark, sf):
+def a6_equal_seeds(spark, sf):
     sets = scored(spark, sf).where("encoder is not null").groupBy("encoder", "target").agg(F.sort_array(F.collect_set("seed")).alias("seeds"))
     return sets.groupBy("encoder").agg((F.countDistinct("seeds") == 1).alias("same_seeds"))
 
