@@ -212,9 +212,9 @@ class Finder:
         share, count, opener = self.evidence.of(f)
         named = len(w) >= 2 and ord(w[0]) < 0x400 and not _ELIDED.match(w)
         low = w.lower()
-        street, digit, house = low in seed.STREETS, low in seed.DIGIT_WORDS, low in _HOUSE_WORDS or bool(_COMPOUND_END.search(w))
+        street, digit, house, compound = low in seed.STREETS, low in seed.DIGIT_WORDS, low in _HOUSE_WORDS, bool(_COMPOUND_END.search(w))
         made = self.words[w] = Word(
-            f, f in self.lexicon.given, f in seed.COMMON, f in seed.TITLES, w[0].isupper(), w.isupper(), named, share, count, opener, low in GERMAN, f in seed.CALENDAR, street, digit, house, street + 2 * house + 4 * digit,
+            f, f in self.lexicon.given, f in seed.COMMON, f in seed.TITLES, w[0].isupper(), w.isupper(), named, share, count, opener, low in GERMAN, f in seed.CALENDAR, street, digit, house, street + 2 * house + 4 * digit + 8 * compound,
         )
         return made
 
@@ -255,8 +255,9 @@ class Finder:
                     out.append(("address", *m.span()))
                     at = m.end()
         if house and digits:
-            for pattern in (_HOUSE_FIRST, _COMPOUND):
-                out += [("address", *m.span()) for m in pattern.finditer(text)]
+            out += [("address", *m.span()) for m in _HOUSE_FIRST.finditer(text)]
+        if digits and any(k & 8 for k in kinds):
+            out += [("address", *m.span()) for k, w in enumerate(t.words) if w.flags & 8 and (m := _COMPOUND.match(text, t.starts[k]))]
         out += [("name", t.starts[i], t.ends[j - 1]) for i, j in self.names(t)]
         return out
 
@@ -265,28 +266,29 @@ class Finder:
         words, mixed, out = t.words, t.regime == "mixed", []
         if mixed and not any(w.capital and not (w.common and not w.given) for w in words):
             return out
-        taken = [(m.start(), m.end()) for m in _PLACE.finditer(t.text)] if "[" in t.text else []
+        text, starts, ends = t.text, t.starts, t.ends
+        taken = [(m.start(), m.end()) for m in _PLACE.finditer(text)] if "[" in text else []
         where = [a for a, _ in taken]
+        last = len(words) - 1
         like = bytearray(len(words))
         some = False
         for k, w in enumerate(words):
             if mixed and not w.capital or w.common and not w.given:
                 continue
+            ok = False
             if w.letters and not w.title:
                 if w.given:
                     ok = not mixed or not w.all_capitals or len(w.folded) > 3
                 elif mixed:
-                    ok = (not w.all_capitals or len(w.folded) > 3) and (not t.opens(k) or (w.share > 0.1 or w.count < 0.5) and w.opener < 0.7)
+                    ok = (not w.all_capitals or len(w.folded) > 3) and ((w.share > 0.1 or w.count < 0.5) and w.opener < 0.7 or not t.opens(k))
                 else:
                     ok = (w.share > 0.5 or w.count < 0.5 and len(w.folded) > 3) and w.opener < 0.6
-            else:
-                ok = False
-            if not ok and len(w.folded) >= 3 and t.joined(k):
+            if not ok and k < last and len(w.folded) >= 3:
                 after = words[k + 1]
-                ok = (not mixed or after.capital) and after.share > 0.75
+                ok = (not mixed or after.capital) and after.share > 0.75 and starts[k + 1] - ends[k] == 1 and text[ends[k]] == " "
             if ok and taken:
-                p = bisect_left(where, t.starts[k] + 1) - 1
-                ok = p < 0 or t.starts[k] >= taken[p][1]
+                p = bisect_left(where, starts[k] + 1) - 1
+                ok = p < 0 or starts[k] >= taken[p][1]
             if ok:
                 like[k] = some = True
         if not some:
@@ -294,7 +296,7 @@ class Finder:
         k = like.find(1)
         while k >= 0:
             end = k + 1
-            while end < len(words) and like[end] and t.joined(end - 1):
+            while end <= last and like[end] and starts[end] - ends[end - 1] == 1 and text[ends[end - 1]] == " ":
                 end += 1
             out += [(i, j) for i in range(k, end) for j in range(i + 1, min(end, i + 4) + 1)]
             if end - k > 4:
