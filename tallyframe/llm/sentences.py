@@ -31,6 +31,7 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -276,6 +277,7 @@ class Tagger:
         events: list[tuple[float, int, int]] = [(m[1] - 0.5, 0, k) for k, m in enumerate(marks)] + [(float(s[0]), 1, k) for k, s in enumerate(spans)]
         events.sort()
         ends = [e[0] for e in events]
+        marks_before = [0, *accumulate(1 - e[1] for e in events)]
         best = [[float("-inf")] * 2 for _ in range(len(events) + 1)]
         came: list[list] = [[None, None] for _ in range(len(events) + 1)]
         best[0][0] = 0.0
@@ -289,7 +291,7 @@ class Tagger:
                     moves = [(e + 1, old, here, None)]
                     a, b, feats = spans[k]
                     to = bisect_left(ends, b)
-                    gain = sum(self.w.get(f, 0.0) for f in feats) + self.w.get(f"{feats[0]}|each", 0.0) * sum(1 for x in events[e + 1 : to] if not x[1])
+                    gain = sum(self.w.get(f, 0.0) for f in feats) + self.w.get(f"{feats[0]}|each", 0.0) * (marks_before[to] - marks_before[e + 1])
                     moves.append((to, old, here + gain, k))
                 else:
                     tag, key = marks[k][2], marks[k][3]

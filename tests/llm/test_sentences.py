@@ -75,7 +75,7 @@ def test_held_out_compositions(model):
 def test_long_texts_and_hard_runs(model):
     long = "Hoy dormí mal. " * 20_000
     assert len(model.spans(long)) == 20_000
-    for hard in ("je" * 50_000, "." * 50_000, '"' * 20_000, "(" * 20_000, "a@" * 20_000):
+    for hard in ("je" * 50_000, "." * 50_000, '"' * 20_000, "(" * 20_000, "a@" * 20_000, "(" * 20_000 + "a. B" + ")" * 20_000, "(a. B) " * 10_000):
         model.spans(hard)
 
 
