@@ -339,19 +339,32 @@ def _segments(weights: dict[str, float], net: ByteNet, chunk: int = 500):
                 batch = whole.iloc[s : s + chunk]
                 docs = [(ident, label, text, model.spans(text)) for ident, label, text in zip(batch["ident"], batch["label"], batch["text"])]
                 scorer.learn({text[a:b] for _, _, text, spans in docs for a, b in spans})
-                out = []
+                known = [scorer.known[text[a:b]] for _, _, text, spans in docs for a, b in spans]
+                letters = np.array([n for n, _ in known], dtype=float)
+                scores = np.stack([v for _, v in known]) if known else np.zeros((0, len(LANGS)))
+                alone = np.where(letters > 0, scores.argmax(1), -1) if known else np.zeros(0, int)
+                surest = np.exp(scores.max(1)) * letters if known else np.zeros(0)
+                out, at = [], 0
                 for ident, label, text, every in docs:
-                    known = [scorer.known[text[a:b]] for a, b in every]
-                    spans = [x for x, (n, _) in zip(every, known) if n]
-                    if not spans:
-                        continue
-                    found = segment(spans, np.array([n for n, _ in known if n], dtype=float), np.stack([v for n, v in known if n]))
-                    total: dict[int, int] = {}
-                    for r in found:
-                        total[r[2]] = total.get(r[2], 0) + r[3]
-                    main = max(total, key=lambda k: (total[k], -k))
-                    for k, (a, b, lang, n, sents, sure) in enumerate(found):
-                        out.append((ident, label, k, a, b, LANGS[lang], sure, n, sents, LANGS[main], len(total)))
+                    end = at + len(every)
+                    mine = alone[at:end]
+                    heard = mine >= 0
+                    if heard.any():
+                        first = int(mine[heard.argmax()])
+                        if (mine[heard] == first).all():
+                            # One language throughout: no path can be better.
+                            n = letters[at:end].sum()
+                            where = np.flatnonzero(heard)
+                            found = [[every[where[0]][0], every[where[-1]][1], first, int(n), len(where), round(float(surest[at:end].sum() / n), 4)]]
+                        else:
+                            found = segment([x for x, h in zip(every, heard) if h], letters[at:end][heard], scores[at:end][heard])
+                        total: dict[int, int] = {}
+                        for r in found:
+                            total[r[2]] = total.get(r[2], 0) + r[3]
+                        main = max(total, key=lambda k: (total[k], -k))
+                        for k, (a, b, lang, n, sents, sure) in enumerate(found):
+                            out.append((ident, label, k, a, b, LANGS[lang], sure, n, sents, LANGS[main], len(total)))
+                    at = end
                 if out:
                     yield pd.DataFrame(out, columns=["ident", "label", "segment", "char_start", "char_end", "seg_lang", "confidence", "letters", "sentences", "doc_lang", "doc_langs"])
 
