@@ -83,7 +83,7 @@ def matrix(parts: list[bytes]) -> np.ndarray:
 class ByteNet:
     """Embedding, multi-width filters, max pooling, softmax; Adam on cross entropy."""
 
-    def __init__(self, dim: int = 8, filters: int = 28, seed: int = 3) -> None:
+    def __init__(self, dim: int = 8, filters: int = 24, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         self.dim, self.filters = dim, filters
         self.p = {"E": rng.normal(0, 0.5, (256, dim)), "W": rng.normal(0, 0.1, (filters * len(WIDTHS), len(LANGS))), "c": np.zeros(len(LANGS))}
@@ -342,21 +342,23 @@ def _segments(weights: dict[str, float], net: ByteNet, chunk: int = 500):
                 known = [scorer.known[text[a:b]] for _, _, text, spans in docs for a, b in spans]
                 letters = np.array([n for n, _ in known], dtype=float)
                 scores = np.stack([v for _, v in known]) if known else np.zeros((0, len(LANGS)))
-                alone = np.where(letters > 0, scores.argmax(1), -1) if known else np.zeros(0, int)
-                surest = np.exp(scores.max(1)) * letters if known else np.zeros(0)
+                alone = np.where(letters > 0, scores.argmax(1), -1).tolist() if known else []
+                letters_to = np.concatenate([[0.0], np.cumsum(letters)]).tolist()
+                surest_to = np.concatenate([[0.0], np.cumsum(np.exp(scores.max(1)) * letters)]).tolist() if known else [0.0]
                 out, at = [], 0
                 for ident, label, text, every in docs:
                     end = at + len(every)
                     mine = alone[at:end]
-                    heard = mine >= 0
-                    if heard.any():
-                        first = int(mine[heard.argmax()])
-                        if (mine[heard] == first).all():
+                    langs = set(mine)
+                    langs.discard(-1)
+                    if langs:
+                        if len(langs) == 1:
                             # One language throughout: no path can be better.
-                            n = letters[at:end].sum()
-                            where = np.flatnonzero(heard)
-                            found = [[every[where[0]][0], every[where[-1]][1], first, int(n), len(where), round(float(surest[at:end].sum() / n), 4)]]
+                            n = letters_to[end] - letters_to[at]
+                            where = [k for k, x in enumerate(mine) if x >= 0]
+                            found = [[every[where[0]][0], every[where[-1]][1], langs.pop(), int(n), len(where), round((surest_to[end] - surest_to[at]) / n, 4)]]
                         else:
+                            heard = np.array(mine) >= 0
                             found = segment([x for x, h in zip(every, heard) if h], letters[at:end][heard], scores[at:end][heard])
                         total: dict[int, int] = {}
                         for r in found:

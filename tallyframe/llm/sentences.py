@@ -71,6 +71,9 @@ INSIDE, BOUNDARY = 0, 1
 SHORT, CAUTION = 4, 1.0
 
 
+_KINDS = {".": "dot", "…": "ellipsis", "...": "ellipsis", "!": "ask", "?": "ask", "؟": "ask", "！": "ask", "？": "ask", "。": "stop", "।": "stop"}
+
+
 def _kind_after(text: str, at: int) -> tuple[str, int]:
     """What follows ``at``: its kind and its place, blanks skipped."""
     n = len(text)
@@ -148,35 +151,41 @@ def places(line: str) -> list[tuple[int, int, int, tuple]]:
     out: list[tuple[int, int, int, tuple]] = []
     regime = ""
     odd: frozenset[int] | None = None
+    n = len(line)
     for m in _MARK.finditer(line):
         a, b = m.span()
         core = b - a
-        while core > 1 and line[a + core - 1] in _CLOSERS:
-            core -= 1
-        if b > a + core and line[b - 1] == '"':
-            # A straight quotation mark after the end mark may open the next quotation.
-            if odd is None:
-                odd = frozenset([i for i, c in enumerate(line) if c == '"'][::2])
-            while b > a + core and b - 1 in odd:
-                b -= 1
-        kind, nxt = _kind_after(line, b)
+        closers = ""
+        if core > 1:
+            while core > 1 and line[a + core - 1] in _CLOSERS:
+                core -= 1
+            if b > a + core and line[b - 1] == '"':
+                # A straight quotation mark after the end mark may open the next quotation.
+                if odd is None:
+                    odd = frozenset([i for i, c in enumerate(line) if c == '"'][::2])
+                while b > a + core and b - 1 in odd:
+                    b -= 1
+            closers = line[a + core : b].strip()
+        if b + 1 < n and line[b] == " " and line[b + 1].isupper():
+            kind, nxt = "upper", b + 1
+        else:
+            kind, nxt = _kind_after(line, b)
         if kind == "end":
             continue
         if not regime:
             regime = _regime(line)
         gap = nxt > b
-        closers = line[a + core : b].strip()
         mark = line[a : a + core]
         prev = line[a - 1] if a else ""
-        prev_nocase = bool(prev and _NOCASE.match(prev))
-        if mark == ".":
-            kind_of = "dot"
-        elif set(mark) <= {".", "…"}:
-            kind_of = "ellipsis"
-        elif any(c in "!?؟！？" for c in mark):
-            kind_of = "ask"
-        else:
-            kind_of = "stop"
+        prev_nocase = prev >= "\u0600" and bool(_NOCASE.match(prev))
+        kind_of = _KINDS.get(mark)
+        if kind_of is None:
+            if set(mark) <= {".", "…"}:
+                kind_of = "ellipsis"
+            elif any(c in "!?؟！？" for c in mark):
+                kind_of = "ask"
+            else:
+                kind_of = "stop"
         k = a
         while k and ((c := line[k - 1]).isalnum() or c in _SIGNS):
             k -= 1
