@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyframe import schemas
 from tallyframe.functions import lexicons as lex
 from tallyframe.functions import text as tx
 from tallyframe.functions import tokenizer
 from tallyframe.functions.vectors import norm, unit
 from tallyframe.operators import arms, corpus, features, linear, metrics, models, splits, stats, tfidf, vectors
 from tallyframe.plans import blocks
-from tallyframe.plans.queries import BASE_ARM, answers, log, people, query, r6, rnd, scored, word_stats
+from tallyframe.plans.queries import BASE_ARM, QUERIES, answers, log, people, query, r6, rnd, scored, word_stats
 from tallyframe.session import materialise, scratch_path, table
-from tallyframe.sources import readers, sinks
+from tallyframe.sources import readers, sinks, workbook
 
 LISTS = {"absolutist": lex.ABSOLUTIST, "negation": lex.NEGATION, "marker": lex.MARKERS, "intensifier": lex.INTENSIFIERS}
 PERSON_FEATURES = ["words", "word_len", *(f"{k}_rate" for k in LISTS)]
@@ -139,6 +141,49 @@ def s16_migration(spark, sf):
     return plan.join(moved, ["family", "granularity"]).select("family", "granularity", F.col("rows").alias("planned"), "moved")
 
 
+@query
+def s2_score_workbook(spark, sf):
+    """Scores written as a workbook and read from its first sheet."""
+    path = scratch_path(spark, "scores") + ".xlsx"
+    workbook.write_workbook(spark, {"scores": table(spark, sf, "scores").select("participant", *TARGETS)}, path)
+    return workbook.read_workbooks(spark, path, schemas.SCORES).select("participant", *TARGETS)
+
+
+@query
+def s3_csv(spark, sf):
+    """Scores written as CSV and read under an explicit schema."""
+    root = scratch_path(spark, "csv")
+    sinks.export_sheets({"scores": table(spark, sf, "scores").select("participant", *TARGETS)}, root)
+    return readers.read_csv(spark, f"{root}/scores", schemas.SCORES)
+
+
+def results_sheets(spark, sf) -> dict[str, DataFrame]:
+    """The sheets of the results workbook: summary, best runs, mean baseline, clinical metrics, contrasts."""
+    return {"summary": QUERIES["a2_summary"](spark, sf), "best": QUERIES["a4_best_arm"](spark, sf), "baseline": QUERIES["a18_mean_baseline"](spark, sf), "clinical": QUERIES["a22_metric_means"](spark, sf), "contrasts": QUERIES["x16_contrasts"](spark, sf)}
+
+
+@query
+def s14_summary_sheet(spark, sf):
+    """The summary as it comes back from the first sheet of the results workbook."""
+    path = scratch_path(spark, "results") + ".xlsx"
+    workbook.write_workbook(spark, {"summary": QUERIES["a2_summary"](spark, sf)}, path)
+    keys = ["family", "granularity", "encoder", "search", "target"]
+    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], *[T.StructField(k, T.DoubleType()) for k in ("mean", "sd", "n")]])
+    return workbook.read_workbooks(spark, path, schema).select(*keys, "mean", "sd", F.col("n").cast("bigint").alias("n"))
+
+
+@query
+def s15_results_workbook(spark, sf):
+    """Rows of each of the five sheets of the results workbook, counted in the written file."""
+    path, sheets = scratch_path(spark, "results") + ".xlsx", results_sheets(spark, sf)
+    workbook.write_workbook(spark, sheets, path)
+    out = None
+    for k, name in enumerate(sheets):
+        rows = workbook.read_workbooks(spark, path, T.StructType([T.StructField(sheets[name].columns[0], T.StringType())]), sheet=k).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("sheet"), "rows")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query
 def f19_round_trip(spark, sf):
     """Nested fields written as JSON and read again."""

@@ -146,3 +146,6 @@ O["d5_train_frame"] = f"with {o.PEOPLE}, {o.STRATA}, {o.SPLIT}, p as (select {o.
 O["d6_corpora"] = f"with {o.ANSWERS} select 'interviews' as corpus, count(*) as texts, count(distinct participant) as people from answers union all select 'documents', count(*), count(distinct author) from documents where text is not null and author is not null"
 O["a4_first_per_column"] = f"with {o.log('family', 'granularity', 'target', 'rmse', 'r2', 'screening_auc')} select family, granularity, target, " + ", ".join(f"round(first({c} order by rmse, run_id) filter ({c} is not null), 6) as {c}" for c in ("rmse", "r2", "screening_auc")) + " from log where log.rmse is not null group by all"
 O["w4_rank_of_runs"] = f"with {o.log('encoder', 'target', 'rmse')}, m as (select encoder, target, round(avg(rmse) + 1e-9, 2) as rmse from log where encoder is not null and target is not null and rmse is not null group by encoder, target), r as (select target, rmse, rank() over (partition by target order by rmse) + (count(*) over (partition by target, rmse) - 1) / 2.0 as r from m) select target, rmse, count(*) as n, max(r)::double as avg_rank from r group by all"
+O["s2_score_workbook"] = O["s3_csv"] = "select participant, phq9_total, gad7_total from scores"
+O["s14_summary_sheet"] = O["a2_summary"]
+O["s15_results_workbook"] = " union all ".join(f"select '{n}' as sheet, (select count(*) from ({O[q]})) as rows" for n, q in (("summary", "a2_summary"), ("best", "a4_best_arm"), ("baseline", "a18_mean_baseline"), ("clinical", "a22_metric_means"), ("contrasts", "x16_contrasts")))
