@@ -55,6 +55,12 @@ def _folded_tokens() -> Column:
     return F.transform(alpha, lambda t: F.struct(*[t[f].alias(f) for f in fields], tx.fold(t["form"]).alias("ff"), tx.fold(t["lemma"]).alias("fl")))
 
 
+def _hits() -> Column:
+    """Symptom group ``g`` and lemma ``l`` of the tokens that have one."""
+    groups = F.transform(_alpha(), lambda t: F.struct(subscale_of(t["ff"], t["fl"], t["pos"], folded=True).alias("g"), t["fl"].alias("l")))
+    return F.filter(groups, lambda g: g["g"].isNotNull())
+
+
 def _n() -> Column:
     return F.size(_alpha())
 
@@ -68,7 +74,8 @@ def _rate(count: Column) -> Column:
 
 
 def _lemmas() -> Column:
-    return F.transform(_alpha(), lambda t: t["fl"])
+    """The folded lemmas, a column of their own: windows over them must not make them again."""
+    return F.col("__lemmas")
 
 
 def _listed(t: Column, terms: tuple[str, ...], lemma: bool = True) -> Column:
@@ -115,7 +122,7 @@ def _subscale_map() -> Column:
 
 def subscale_of(form: Column, lemma: Column, pos: Column, folded: bool = False) -> Column:
     """Symptom group of a token: lemma, first word of a lemma of several words, form; a homograph of the wrong part of speech passes on to the next."""
-    table = _subscale_map()
+    table, terms = _subscale_map(), {tx.fold_word(t) for part in (lex.SUBSCALES, lex.INFLECTIONS) for group in part.values() for t in group}
     allowed: dict[tuple[str, ...], list[str]] = {}
     for w, tags in lex.PARTS_OF_SPEECH.items():
         allowed.setdefault(tags, []).append(tx.fold_word(w))
@@ -125,7 +132,8 @@ def subscale_of(form: Column, lemma: Column, pos: Column, folded: bool = False)
         wrong = F.lit(False)
         for tags, words in allowed.items():
             wrong = wrong | (w.isin(words) & ~F.coalesce(pos.isin(*tags), F.lit(False)))
-        return F.when(~wrong, table[w])
+        # Membership is a hash lookup; only words that are in the map are looked for in it.
+        return F.when(w.isin(sorted(terms)) & ~wrong, table[w])
 
     return F.coalesce(lookup(lemma), F.when(lemma.contains(" "), lookup(F.substring_index(lemma, " ", 1))), lookup(form))
 
@@ -139,8 +147,7 @@ def is_clinical(form: Column, lemma: Column | None = None) -> Column:
 
 @block("clinical", [*(f"clin_{n}" for n in lex.SUBSCALES), "clin_total_rate", "clin_coverage"], tags=True)
 def clinical() -> dict[str, Column]:
-    groups = F.transform(_alpha(), lambda t: F.struct(subscale_of(t["ff"], t["fl"], t["pos"], folded=True).alias("g"), t["fl"].alias("l")))
-    hits = F.filter(groups, lambda g: g["g"].isNotNull())
+    hits = F.col("__hits")
     terms = len({t for group in lex.SUBSCALES.values() for t in group})
     in_group = lambda n: F.size(F.filter(hits, lambda g: g["g"] == n))
     out = {f"clin_{n}": _rate(in_group(n)) for n in lex.SUBSCALES}
@@ -228,7 +235,11 @@ def extract(annotated: DataFrame, blocks: tuple[str, ...] = SETS["lexical"], kee
         if tuple(made) != REGISTRY[b].features:
             raise ValueError(f"block {b} does not keep its declared order")
         columns |= made
+    # Arrays that many features read are columns of their own, made once an answer.
     prepared = annotated.withColumn("__alpha", _folded_tokens())
+    prepared = prepared.withColumn("__lemmas", F.transform(_alpha(), lambda t: t["fl"]))
+    if "clinical" in blocks:
+        prepared = prepared.withColumn("__hits", _hits())
     return prepared.select(*(keep or []), *[F.coalesce(c, F.lit(0.0)).cast("double").alias(n) for n, c in columns.items()])
 
 

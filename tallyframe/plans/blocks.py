@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import lexicons as lex
 from tallyframe.functions import text as tx
 from tallyframe.operators import features
+from tallyframe.session import materialise
 
 POS = ("NOUN", "VERB", "ADJ", "ADV", "PRON", "AUX", "PROPN", "DET", "ADP", "CCONJ", "SCONJ", "INTJ")
 RATED = ("NOUN", "VERB", "ADJECTIVE", "ADVERB", None)
@@ -20,30 +21,28 @@ MORPH = [("Person", 12, ("1", "2", "3", None)), ("Number", 48, ("Sing", "Plur"))
 
 
 def _pick(n, divisor: int, values: tuple):
-    turn = F.pmod(F.floor(n / F.lit(divisor)), F.lit(len(values)))
-    out = F.lit(None).cast("string")
-    for k, v in enumerate(values):
-        if v is not None:
-            out = F.when(turn == k, F.lit(v)).otherwise(out)
-    return out
+    """The value whose turn it is; ``n`` is evaluated once."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.pmod(F.floor(n / F.lit(divisor)), F.lit(len(values))).cast("int"))
 
 
 def annotated(answers: DataFrame) -> DataFrame:
     """Answers with tokens whose tags are drawn by their folded word."""
     plain = features.annotate(answers.select("row_id", "participant", "text"), "text")
 
-    def tag(t):
-        n = tx.draw(F.lit("tag"), tx.fold(t["form"]))
+    def tag(x):
+        t, n = x["t"], x["n"]
         morph = F.create_map(*[x for key, divisor, values in MORPH for x in (F.lit(key), _pick(n, divisor, values))])
         return F.struct(t["form"].alias("form"), t["lemma"].alias("lemma"), _pick(n, 1, POS).alias("pos"), morph.alias("morph"), t["is_alpha"].alias("is_alpha"), t["sent"].alias("sent"))
 
-    return plain.withColumn("tokens", F.transform("tokens", tag).cast(features.TOKEN)).withColumn("n_words", F.size("tokens").cast("double"))
+    # The draw is bound first, so that it is made once a token.
+    drawn = F.transform("tokens", lambda t: F.struct(t.alias("t"), tx.draw(F.lit("tag"), tx.fold(t["form"])).alias("n")))
+    return plain.withColumn("tokens", F.transform(drawn, tag).cast(features.TOKEN)).withColumn("n_words", F.size("tokens").cast("double"))
 
 
 def norms(tagged: DataFrame) -> DataFrame:
     """Ratings of half of the words, drawn like their tags; some ratings are missing."""
     words = tagged.select(F.explode("tokens").alias("t")).select(tx.fold(F.col("t.form")).alias("key")).distinct()
-    n = tx.draw(F.lit("norm"), F.col("key"))
+    words, n = words.withColumn("n", tx.draw(F.lit("norm"), F.col("key"))), F.col("n")
     turn = lambda divisor, size: F.pmod(F.floor(n / F.lit(divisor)), F.lit(size))
     scale = lambda divisor, low, size: (F.lit(low) + turn(divisor, size) / 10.0)
     rated = words.where(turn(1, 2) == 0)
@@ -53,7 +52,7 @@ def norms(tagged: DataFrame) -> DataFrame:
 
 def answer_features(answers: DataFrame) -> DataFrame:
     """The 72 features of an answer, in registry order, with its participant and number of words."""
-    tagged = annotated(answers)
+    tagged = materialise(annotated(answers), "tagged")
     lexical = features.extract(tagged, features.SETS["lexical"], ["row_id", "participant", "n_words"])
     rated = features.affect(tagged.select("row_id", "tokens"), norms(tagged), ["row_id"])
     return lexical.join(rated, "row_id").select("row_id", "participant", "n_words", *features.feature_names("lexical-affect"))

@@ -13,7 +13,7 @@ from tallyframe.functions.scores import band, clip_target, finite, screen
 from tallyframe.functions.vectors import cosine, norm, unit
 from tallyframe.operators import corpus, features, metrics, models, runs, splits, stats, tfidf, vectors
 from tallyframe.plans import blocks
-from tallyframe.session import table
+from tallyframe.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -714,7 +714,7 @@ def b5_richness(spark, sf):
 
 @query
 def b7_affect(spark, sf):
-    tagged = blocks.annotated(answers(spark, sf))
+    tagged = materialise(blocks.annotated(answers(spark, sf)), "tagged")
     got = features.affect(tagged.select("row_id", "tokens"), blocks.norms(tagged), ["row_id"])
     return got.select("row_id", *[r6(c).alias(c) for c in features.feature_names("affect")])
 
