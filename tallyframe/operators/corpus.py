@@ -86,12 +86,13 @@ def split_to_fit(text: Column, limit: int) -> Column:
 def weighted_mask_plan(tokens: Column, listed: tuple[str, ...], share: float, p_listed: float, seed: str, ident: Column) -> Column:
     """``mask_plan`` with probability ``p_listed`` for listed words and, for the others, the one that keeps the mean; where no word is drawn, the one with the smallest draw is masked."""
     known = F.array(*[F.lit(t) for t in listed])
-    n, k = F.size(tokens).cast("double"), F.size(F.filter(tokens, lambda w: F.array_contains(known, w))).cast("double")
-    other = F.when(n > k, word_probability(share, p_listed, n, k)).otherwise(F.lit(0.0))
-    drawn = F.transform(tokens, lambda w, i: F.struct((draw(F.lit(seed), ident, i) / F.lit(4294967296.0)).alias("u"), i.alias("i"), F.when(F.array_contains(known, w), F.lit(p_listed)).otherwise(other).alias("p")))
     how = lambda i: draw(F.lit(seed + "|how"), ident, i) / F.lit(4294967296.0)
-    # Each step is bound to a lambda's variable, so that draws are made once a word.
-    whole = F.transform(F.array(drawn), lambda d: F.struct(d.alias("d"), (F.size(F.filter(d, lambda x: x["u"] < x["p"])) > 0).alias("hit"), F.array_min(d)["i"].alias("first")))
+    # Each step is bound to a lambda's variable, so that tokens are made and listed words counted once a text, draws once a word.
+    marked = F.transform(F.array(tokens), lambda w: F.transform(w, lambda x: F.array_contains(known, x)))
+    counted = F.transform(marked, lambda l: F.struct(l.alias("l"), F.size(l).cast("double").alias("n"), F.size(F.filter(l, lambda x: x)).cast("double").alias("k")))
+    weighed = F.transform(counted, lambda c: F.struct(c["l"].alias("l"), F.when(c["n"] > c["k"], word_probability(share, p_listed, c["n"], c["k"])).otherwise(F.lit(0.0)).alias("other")))
+    drawn = F.transform(weighed, lambda t: F.transform(t["l"], lambda x, i: F.struct((draw(F.lit(seed), ident, i) / F.lit(4294967296.0)).alias("u"), i.alias("i"), F.when(x, F.lit(p_listed)).otherwise(t["other"]).alias("p"))))
+    whole = F.transform(drawn, lambda d: F.struct(d.alias("d"), (F.size(F.filter(d, lambda x: x["u"] < x["p"])) > 0).alias("hit"), F.array_min(d)["i"].alias("first")))
     plan = F.transform(whole, lambda t: F.transform(t["d"], lambda x: F.when(~F.when(t["hit"], x["u"] < x["p"]).otherwise(x["i"] == t["first"]), 0).when(how(x["i"]) < 0.8, 1).when(how(x["i"]) < 0.9, 2).otherwise(3)))
     return F.get(plan, F.lit(0))
 

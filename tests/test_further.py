@@ -147,6 +147,20 @@ def test_weighted_mask_always_takes_a_word(spark):
     assert hit[:, ::3].mean() > 0.6 > 0.2 > np.delete(hit, np.s_[::3], axis=1).mean()
 
 
+def test_weighted_mask_takes_time_in_proportion_to_the_text(spark):
+    import time
+
+    df = spark.range(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(16000)), lambda i: F.when(i % 10 == 0, "no").otherwise("sol")).alias("w")).cache()
+    df.count()
+    plan = df.select(corpus.weighted_mask_plan(F.col("w"), ("no",), 0.15, 0.5, "7", F.col("id")).alias("m"))
+    began = time.perf_counter()
+    hit = np.array(plan.first()["m"]) > 0
+    assert time.perf_counter() - began < 20
+    assert abs(hit.mean() - 0.15) < 0.02 and abs(hit[9::10].mean() - 0.5) < 0.05
+    df.unpersist()
+
+
+
 def test_word_spans_skip_placeholders(spark):
     got = spark.createDataFrame([("Vi a [NOMBRE] ayer, sí.",)], "t string").select(corpus.word_spans(F.col("t")).alias("w")).first()["w"]
     assert [(x["s"], x["e"], x["form"]) for x in got] == [(0, 2, "Vi"), (3, 4, "a"), (14, 18, "ayer"), (20, 22, "sí")]
